@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Unicode whitespace as one class, so that Java, RE2 and Python agree on what a blank is.
 BLANK = (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -50,12 +51,12 @@ def strip_blank(col: Column) -> Column:
     return F.trim(col, F.lit(BLANK_CHARS))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
@@ -85,7 +86,7 @@ def boilerplate_patterns() -> list[str]:
 
 def drop_boilerplate(col: Column) -> Column:
     """Delete boilerplate runs. Texts without a hint word keep their value untouched."""
-    lowered = F.lower(F.translate(col, "ſK", "sk"))
+    lowered = F.lower(F.translate(col, "\u017f\u212a", "sk"))
     hinted = F.lit(False)
     for hint in BOILERPLATE_HINTS:
         hinted = hinted | lowered.contains(hint)

@@ -9,10 +9,11 @@ from claimgrain.functions import scoring
 
 
 def rank_evidence(hits: DataFrame, as_of: Column, key: str = "query_id",
-                  tiebreak: str = "retrieval_rank", k: int | None = None) -> DataFrame:
+                  tiebreak: tuple[str, ...] = ("retrieval_rank",),
+                  k: int | None = None) -> DataFrame:
     """Composite score and rank per query; equal scores keep their retrieval order."""
     scored = hits.withColumn("score", F.round(scoring.evidence_score(
         F.col("evidence_tier"), F.col("similarity"), F.col("published_at"), as_of), 9))
-    order = Window.partitionBy(key).orderBy(F.desc("score"), tiebreak)
+    order = Window.partitionBy(key).orderBy(F.desc("score"), *tiebreak)
     ranked = scored.withColumn("rank", F.row_number().over(order))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
