@@ -35,7 +35,7 @@ def isoformat(ts: Column) -> Column:
     """ISO-8601 text; the fraction is left out when it is zero."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.date_format(ts, "SSSSSS")
-    return F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
 
 
 def document_id(url: Column, acquired_at: Column, name: Column,

@@ -58,7 +58,8 @@ def coverage_factor(n: Column) -> Column:
 
 def confidence(mean_weight: Column, n: Column) -> Column:
     """Mean tier weight times coverage, at most 1, rounded half up to 4 places."""
-    score = F.coalesce(mean_weight, F.lit(0.0)) * coverage_factor(n)
+    # nine places first: the mean must not depend on the order rows were summed in
+    score = F.round(F.coalesce(mean_weight, F.lit(0.0)), 9) * coverage_factor(n)
     return F.round(F.least(F.lit(1.0), score), 4)
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from claimgrain import dims
 from claimgrain.functions import scoring
+from claimgrain.functions.terms import contains_any
 from claimgrain.functions.text import strip_blank
+from claimgrain.operators.safety import evaluate
 
 
 def _ordered(order: str, value: Column, sep: str) -> Column:
@@ -145,7 +147,7 @@ def evidence_summary(ranked: DataFrame, key: str = "query_id") -> DataFrame:
         .alias("parts"),
         F.sum("n").alias("n_chunks"),
         (F.sum(weight * F.col("n")) / F.sum("n")).alias("tier_score"))
-    score = scoring.confidence(F.round("tier_score", 9), F.col("n_chunks"))
+    score = scoring.confidence(F.col("tier_score"), F.col("n_chunks"))
     return per_query.withColumn("confidence", score).select(
         key, "n_chunks", "confidence",
         F.concat_ws(" | ", "parts", confidence_phrase(F.col("confidence")))
@@ -158,12 +160,37 @@ def tiers_used(ranked: DataFrame, key: str = "query_id") -> DataFrame:
 
 
 def evidence_per_query(ranked: DataFrame, key: str = "query_id") -> DataFrame:
-    """One row per query with everything an answer needs from its ranked chunks."""
-    base = (evidence_summary(ranked, key)
-            .join(context_block(ranked, key), key)
-            .join(sources_block(citations(ranked, key), key), key))
-    from claimgrain.operators.safety import mentions_growth
-    return base.join(mentions_growth(ranked, key), key)
+    """One row per query with everything an answer needs from its ranked chunks.
+
+    All parts come from one aggregate: ranking has already placed a query's rows together,
+    so numbering and grouping add no shuffle.
+    """
+    first = Window.partitionBy(key, "source_id").orderBy("rank")
+    upto = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    source = F.coalesce(F.nullif(F.col("document_id"), F.lit("")), F.col("chunk_id"))
+    numbered = (ranked.withColumn("source_id", source)
+                .withColumn("is_first", F.row_number().over(first) == 1)
+                .withColumn("number", F.count_if("is_first").over(upto)))
+    # array_join leaves out the NULL lines of repeated sources
+    cited_line = F.when(F.col("is_first"), source_line())
+    grouped = numbered.groupBy(key).agg(
+        _ordered("rank", context_entry(), "\n").alias("context"),
+        _ordered("rank", cited_line, "\n").alias("lines"),
+        F.count_if("is_first").alias("n_citations"),
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.avg(scoring.tier_weight(F.col("evidence_tier"))).alias("tier_score"),
+        F.sort_array(F.collect_list("evidence_tier")).alias("tier_list"),
+        F.bool_or(contains_any(F.col("content"), dims.GROWTH_TERMS)).alias("chunks_mention"))
+    phrases = F.transform(F.array_distinct("tier_list"), lambda t: tier_phrase(
+        t, F.size(F.filter("tier_list", lambda x: x == t))))
+    score = scoring.confidence(F.col("tier_score"), F.col("n_chunks"))
+    return grouped.withColumn("confidence", score).select(
+        key, "context", F.concat(F.lit("\n\n**Sources:**\n"), F.col("lines")).alias("sources"),
+        "n_citations", "n_chunks", "confidence", "chunks_mention",
+        F.array_join(F.transform(F.array_distinct("tier_list"), lambda t: t.cast("string")), ",")
+        .alias("tiers"),
+        F.concat_ws(" | ", F.array_join(phrases, " | "), confidence_phrase(F.col("confidence")))
+        .alias("evidence_summary"))
 
 
 def batch_answers(requests: DataFrame, evidence: DataFrame, product: str = "this service") -> DataFrame:
@@ -172,7 +199,6 @@ def batch_answers(requests: DataFrame, evidence: DataFrame, product: str = "this
     ``evidence`` has one row per distinct query text, so the join is many to one; a query
     asked by a third of all requests is split by the skew-join rule, never grouped.
     """
-    from claimgrain.operators.safety import evaluate
     joined = requests.join(evidence, "query_id", "left")
     flagged = evaluate(joined)
     context = F.coalesce(F.col("context"), F.lit(dims.NO_CONTEXT))
@@ -184,4 +210,5 @@ def batch_answers(requests: DataFrame, evidence: DataFrame, product: str = "this
             .withColumn("label", scoring.confidence_label(F.col("confidence")))
             .withColumn("evidence_summary", F.coalesce("evidence_summary", F.lit(dims.NO_EVIDENCE)))
             .withColumn("n_citations", F.coalesce("n_citations", F.lit(0).cast("bigint")))
+            .withColumn("tiers", F.coalesce("tiers", F.lit("")))
             .withColumn("disclaimer", disclaimer(F.col("flags"), product)))

@@ -75,7 +75,7 @@ def chat_events(answers: DataFrame, at: Column) -> DataFrame:
     payload = F.to_json(F.struct(
         ids.query_hash(F.col("query")).alias("query_hash"), F.col("confidence"),
         F.transform("flags", lambda f: f["code"]).alias("safety_flags"),
-        F.col("n_citations").alias("citations")))
+        F.col("n_citations").alias("citations"), F.col("tiers").alias("source_tiers_used")))
     return answers.select(F.lit("chat_query").alias("event_type"), at.alias("timestamp"),
                           F.col("request_id"), F.col("role"), payload.alias("data"))
 

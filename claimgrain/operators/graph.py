@@ -41,7 +41,8 @@ def build_nodes(triples: DataFrame, seq: str = "seq") -> DataFrame:
     both = F.array(
         F.struct(F.col("subject").alias("id"), F.col("subject_type").alias("entity_type"),
                  F.lit(0).alias("side")),
-        F.struct(F.col("object"), F.col("object_type"), F.lit(1)))
+        F.struct(F.col("object").alias("id"), F.col("object_type").alias("entity_type"),
+                 F.lit(1).alias("side")))
     ends = complete_triples(triples).select(F.col(seq).alias("seq"), F.inline(both))
     return ends.groupBy("id").agg(
         F.max_by("entity_type", F.struct("seq", "side")).alias("entity_type"))
@@ -49,11 +50,10 @@ def build_nodes(triples: DataFrame, seq: str = "seq") -> DataFrame:
 
 def graph_counts(triples: DataFrame) -> DataFrame:
     """Number of nodes, edges and complete triples, from one scan of the triples."""
-    items = F.array(
-        F.struct(F.lit("edges").alias("kind"), F.col("subject").alias("a"),
-                 F.col("object").alias("b")),
-        F.struct(F.lit("nodes"), F.col("subject"), F.lit("")),
-        F.struct(F.lit("nodes"), F.col("object"), F.lit("")))
+    item = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    subject, object_, none = F.col("subject"), F.col("object"), F.lit("")
+    items = F.array(item("edges", subject, object_), item("nodes", subject, none),
+                    item("nodes", object_, none))
     distinct = (complete_triples(triples).select(F.inline(items))
                 .groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n")))
     return distinct.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgrain.functions import scoring
+from claimgrain.operators.graph import expand_hits
 
 
 def rank_evidence(hits: DataFrame, as_of: Column, key: str = "query_id",
@@ -17,3 +18,26 @@ def rank_evidence(hits: DataFrame, as_of: Column, key: str = "query_id",
     order = Window.partitionBy(key).orderBy(F.desc("score"), *tiebreak)
     ranked = scored.withColumn("rank", F.row_number().over(order))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
+# stands behind every vector hit when scores are equal
+_AFTER_HITS = 1_000_000_000
+
+
+def hybrid_topk(hits: DataFrame, edges: DataFrame, meta: DataFrame, as_of: Column,
+                k: int = 20) -> DataFrame:
+    """Vector hits plus the chunks their graph neighbourhood rests on, ranked together.
+
+    ``hits(query_id, id, similarity, retrieval_rank)``, ``meta(id, chunk_id, evidence_tier,
+    published_at)``. Chunks found through the graph have no similarity and score with the
+    default relevance.
+    """
+    grown = expand_hits(hits.withColumnRenamed("id", "chunk_id"), edges).withColumnRenamed(
+        "chunk_id", "id")
+    new = (grown.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+           .withColumn("similarity", F.lit(None).cast("double"))
+           .withColumn("retrieval_rank", F.lit(_AFTER_HITS)))
+    pool = hits.select("query_id", "id", "similarity", "retrieval_rank").unionByName(new)
+    ranked = rank_evidence(pool.join(meta, "id"), as_of,
+                           tiebreak=("retrieval_rank", "chunk_id"), k=k)
+    return ranked.withColumn("from_graph", F.col("retrieval_rank") == _AFTER_HITS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimgrain import dims
 from claimgrain.functions.terms import matched_terms
 from claimgrain.operators import answers, safety
+from claimgrain.operators.audit import chat_events, gate_events
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
 from claimgrain.plans.retrieval_queries import ranked_chunks
@@ -216,9 +217,18 @@ def low_tier_only(spark, sf):
 _DISC = dims.DISCLAIMER.format(product="this service")
 
 
-@register("batch_answers", q.query(
-    ",\n".join([q.RANKED, _GROWN, _FACTS, _CITED, _SOURCES, _CONTEXT, _CONF, _SUMMARY,
-                f"flags AS ({_FLAGS})"]), f"""
+_TIERS = """tiers AS (
+  SELECT query_id, string_agg(DISTINCT evidence_tier, ',' ORDER BY evidence_tier) AS tiers FROM ranked GROUP BY query_id)"""
+_ALL = ",\n".join([q.RANKED, _GROWN, _FACTS, _CITED, _SOURCES, _CONTEXT, _CONF, _SUMMARY, _TIERS,
+                   f"flags AS ({_FLAGS})"])
+
+
+def _answered(spark, sf):
+    evidence = answers.evidence_per_query(_ranked(spark, sf))
+    return answers.batch_answers(ad.requests(spark, sf), evidence)
+
+
+@register("batch_answers", q.query(_ALL, f"""
 SELECT r.request_id, r.role, '**Query:** ' || r.query || '\n\n**Note:** LLM synthesis is currently unavailable. '
     || 'The following evidence was retrieved:\n\n' || c.context || '\n\nPlease review the cited sources directly.'
     || s.sources AS answer,
@@ -229,20 +239,32 @@ FROM requests r JOIN context c USING (query_id) JOIN sources s USING (query_id)
   LEFT JOIN (SELECT request_id, string_agg(code, ',' ORDER BY code) AS codes,
     bool_or(severity = 'critical') AS critical FROM flags GROUP BY request_id) f USING (request_id)"""))
 def batch_answers(spark, sf):
-    evidence = answers.evidence_per_query(_ranked(spark, sf))
-    done = answers.batch_answers(ad.requests(spark, sf), evidence)
-    return done.select(
+    return _answered(spark, sf).select(
         "request_id", "role", "answer",
         F.array_join(F.transform("flags", lambda f: f["code"]), ",").alias("flags"),
         "confidence", "label", "evidence_summary", "n_citations", "disclaimer")
 
 
+@register("chat_log", q.query(_ALL, """
+SELECT r.request_id, r.role, r.query_id AS query_hash, COALESCE(f.codes, '') AS safety_flags, conf.confidence,
+  s.n_citations AS citations, t.tiers AS source_tiers_used
+FROM requests r JOIN sources s USING (query_id) JOIN conf USING (query_id) JOIN tiers t USING (query_id)
+  LEFT JOIN (SELECT request_id, string_agg(code, ',' ORDER BY code) AS codes FROM flags GROUP BY request_id) f USING (request_id)"""))
+def chat_log(spark, sf):
+    """Audit rows of all answered requests, read back from their JSON payload."""
+    events = chat_events(_answered(spark, sf), ad.ntz(ad.RUN_AT))
+    p = F.from_json("data", "query_hash string, confidence double, safety_flags array<string>, "
+                            "citations bigint, source_tiers_used string")
+    return events.select("request_id", "role", p.alias("p")).select(
+        "request_id", "role", "p.query_hash", F.array_join("p.safety_flags", ",")
+        .alias("safety_flags"), "p.confidence", "p.citations", "p.source_tiers_used")
+
+
 @register("gate_log", q.query(q.REQUESTS, f"""
 SELECT request_id, role, '{ad.RUN_AT}' AS logged_at, 'access_denied' AS event_type,
   '{{"rule":"SR-005","decision":"deny","reason":"role not permitted: researcher"}}' AS data
 FROM requests WHERE restricted AND role = 'researcher'"""))
 def gate_log(spark, sf):
-    from claimgrain.operators.audit import gate_events
     gated = safety.access_gate(ad.requests(spark, sf), F.lit(True))
     return gate_events(gated, ad.ntz(ad.RUN_AT)).select(
         "request_id", "role", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("logged_at"),

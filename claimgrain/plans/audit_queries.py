@@ -143,16 +143,3 @@ SELECT job_id, n AS count, CASE WHEN failed THEN 'failed' ELSE 'completed' END A
   CASE WHEN failed THEN 'source unreachable' END AS error FROM results"""))
 def job_outcome(spark, sf):
     return audit.job_outcome(ad.run_results(spark, sf)).select("job_id", "count", "status", "error")
-
-
-@register("chat_log", q.query(q.REQUESTS, f"""
-SELECT request_id, role, 'chat_query' AS event_type, query_id AS query_hash FROM requests"""))
-def chat_log(spark, sf):
-    """Audit rows of answered requests (unanswered evidence: the log needs only the request)."""
-    blank = ad.requests(spark, sf).select(
-        "request_id", "role", "query", F.lit(0.0).alias("confidence"),
-        F.array().cast("array<struct<code:string>>").alias("flags"),
-        F.lit(0).alias("n_citations"))
-    events = audit.chat_events(blank, ad.ntz(ad.RUN_AT))
-    return events.select("request_id", "role", "event_type",
-                         F.get_json_object("data", "$.query_hash").alias("query_hash"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from claimgrain.functions import scoring, text
 from claimgrain.functions.embedding import bucket_counts, bucket_letters
-from claimgrain.operators import graph, ingest, retrieval
-from claimgrain.operators.ranking import rank_evidence
+from claimgrain.operators import ingest, retrieval
+from claimgrain.operators.ranking import hybrid_topk, rank_evidence
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
 from claimgrain.sources import adapters as ad
@@ -149,23 +149,10 @@ FROM s QUALIFY rank <= 20"""))
 def hybrid_retrieval(spark, sf):
     """Vector hits joined by chunks that share graph entities with them, ranked together."""
     hits = retrieval.vector_topk(ad.label_queries(spark, sf),
-                                 ad.chunk_vectors(spark, sf).select(
-                                     F.col("doc_id").cast("string").alias("id"), "vector"), 10)
-    return hybrid(spark, sf, hits).select(
+                                 _corpus(ad.chunk_vectors(spark, sf), "doc_id"), 10)
+    # edges name their supporting chunk by document number here
+    meta = ad.first_chunk_ids(spark, sf).select(
+        F.col("doc_id").cast("string").alias("id"), "chunk_id", "evidence_tier", "published_at")
+    return hybrid_topk(hits, ad.edges(spark, sf), meta, ad.as_of(), 20).select(
         "query_id", "chunk_id", "from_graph", F.round("score", 6).alias("score"),
         F.col("rank").cast("bigint").alias("rank"))
-
-
-def hybrid(spark, sf, hits: DataFrame) -> DataFrame:
-    # doc_id order in the corpus ids differs from text order only between exact ties
-    grown = graph.expand_hits(hits.withColumnRenamed("id", "chunk_id"), ad.edges(spark, sf))
-    pool = hits.select("query_id", F.col("id").alias("doc"), "similarity", "retrieval_rank").unionByName(
-        grown.withColumnRenamed("chunk_id", "doc").join(
-            hits.select("query_id", F.col("id").alias("doc")), ["query_id", "doc"], "left_anti")
-        .withColumn("similarity", F.lit(None).cast("double"))
-        .withColumn("retrieval_rank", F.lit(1000000000)))
-    meta = ad.first_chunk_ids(spark, sf).select(
-        F.col("doc_id").cast("string").alias("doc"), "chunk_id", "evidence_tier", "published_at")
-    ranked = rank_evidence(pool.join(meta, "doc"), ad.as_of(),
-                           tiebreak=("retrieval_rank", "chunk_id"), k=20)
-    return ranked.withColumn("from_graph", F.col("retrieval_rank") == 1000000000)

@@ -137,8 +137,10 @@ def abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def course_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as JSON course exports, one per document, with levels left out in turn."""
     title = F.concat(F.lit("Lesson "), F.col("doc_id").cast("string"))
-    lesson = F.struct(title.alias("title"), F.col("text").alias("content"))
-    lesson_text = F.struct(F.col("text").alias("text"))
+    lesson = F.struct(title.alias("title"), F.col("text").alias("content"),
+                      F.lit(None).cast("string").alias("text"))
+    lesson_text = F.struct(F.lit(None).cast("string").alias("title"),
+                           F.lit(None).cast("string").alias("content"), F.col("text").alias("text"))
     course = F.col("source").alias("course_name")
     full = F.to_json(F.struct(course, F.array(F.struct(
         F.array(lesson, lesson_text).alias("lessons"))).alias("modules")))
@@ -217,10 +219,11 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit(0).cast("bigint").alias("total_chunks"),
                  F.lit(None).cast("string").alias("error"),
                  F.col("o_orderdate").alias("updated_at")),
-        F.struct(F.lit(1), later,
-                 F.when(done & ~failed, F.col("o_totalprice").cast("bigint")).otherwise(F.lit(0)),
-                 F.when(done & failed, "source unreachable"),
-                 F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR"))),
+        F.struct(F.lit(1).alias("step"), later.alias("status"),
+                 F.when(done & ~failed, F.col("o_totalprice").cast("bigint")).otherwise(F.lit(0))
+                 .alias("total_chunks"),
+                 F.when(done & failed, "source unreachable").alias("error"),
+                 (F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("updated_at"))),
         lambda e: e["status"].isNotNull())
     return table(spark, sf_dir, "orders").select(
         key.cast("string").alias("job_id"), source_type(F.col("o_custkey")).alias("source_type"),
