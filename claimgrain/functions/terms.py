@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimgrain.functions.text import holds_any
+
 
 def contains_any(text: Column, terms: list[str]) -> Column:
     """True if the lower-cased text contains any term. NULL text contains none."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(lambda a, b: a | b, [lowered.contains(t) for t in terms])
+    return holds_any(F.lower(F.coalesce(text, F.lit(""))), terms)
 
 
 def matched_terms(text: Column, terms: list[str]) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -17,6 +18,10 @@ BLANK_CHARS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
                + "".join(map(chr, range(0x2000, 0x200B)))
                + "\u2028\u2029\u202f\u205f\u3000")
 
+# The blanks an ASCII text can hold, as single characters: one table lookup each in Java.
+ASCII_BLANK = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f ]"
+WIDE_BLANKS = [c for c in BLANK_CHARS if ord(c) > 0x7F]
+
 # Characters NFKC leaves alone, whatever stands next to them: ASCII, most Latin letters and
 # the usual quotation marks and dashes. Text made only of these skips the Python step.
 NFKC_STABLE = (r"^[\x00-\x7f\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}"
@@ -46,6 +51,15 @@ ENTITIES = {
 }
 
 
+def is_ascii(col: Column) -> Column:
+    return F.length(col) == F.octet_length(col)
+
+
+def holds_any(col: Column, needles: list[str]) -> Column:
+    """Byte-wise substring tests, far cheaper than one regular expression."""
+    return reduce(lambda a, b: a | b, [col.contains(n) for n in needles])
+
+
 def strip_blank(col: Column) -> Column:
     """Trim Unicode whitespace from both ends."""
     return F.trim(col, F.lit(BLANK_CHARS))
@@ -62,14 +76,21 @@ def _unescape(text: pd.Series) -> pd.Series:
 
 
 def nfkc(col: Column) -> Column:
-    """Unicode NFKC. Only text with characters that NFKC can change is sent to Python."""
-    return F.coalesce(_nfkc(F.when(~col.rlike(NFKC_STABLE), col)), col)
+    """Unicode NFKC. Only text with characters that NFKC can change is sent to Python.
+
+    Give it a stored column, not a long expression: the value is read three times.
+    """
+    return F.coalesce(_nfkc(F.when(~is_ascii(col) & ~col.rlike(NFKC_STABLE), col)), col)
 
 
 def collapse_blank(col: Column) -> Column:
-    """Runs of spaces to one, three or more newlines to two, then trim."""
-    col = F.regexp_replace(col, r"[ \t\x{a0}\x{200b}\x{feff}]+", " ")
-    col = F.regexp_replace(col, r"\n{3,}", "\n\n")
+    """Runs of spaces to one, three or more newlines to two, then trim.
+
+    Text with nothing to collapse skips the regular expressions.
+    """
+    spaced = holds_any(col, ["  ", "\t", "\xa0", "\u200b", "\ufeff"])
+    col = F.when(spaced, F.regexp_replace(col, r"[ \t\x{a0}\x{200b}\x{feff}]+", " ")).otherwise(col)
+    col = F.when(col.contains("\n\n\n"), F.regexp_replace(col, r"\n{3,}", "\n\n")).otherwise(col)
     return strip_blank(col)
 
 
@@ -86,10 +107,9 @@ def boilerplate_patterns() -> list[str]:
 
 def drop_boilerplate(col: Column) -> Column:
     """Delete boilerplate runs. Texts without a hint word keep their value untouched."""
-    lowered = F.lower(F.translate(col, "\u017f\u212a", "sk"))
-    hinted = F.lit(False)
-    for hint in BOILERPLATE_HINTS:
-        hinted = hinted | lowered.contains(hint)
+    # two letters outside ASCII also match s and k when case is ignored
+    hinted = (holds_any(F.lower(col), BOILERPLATE_HINTS)
+              | (~is_ascii(col) & holds_any(col, ["\u017f", "\u212a"])))
     cleaned = col
     for pattern in boilerplate_patterns():
         # d: only \n ends a line; u: letters fold as Unicode
@@ -123,14 +143,20 @@ def element_patterns() -> list[str]:
 TAG = r"(?s)<!--.*?-->|<[!?][^>]*>|</?[a-zA-Z][^>]*>"
 
 
-def clean_html(col: Column) -> Column:
-    """Visible text of a page: dropped elements removed, text nodes joined by one space."""
+def visible_text(col: Column) -> Column:
+    """Dropped elements removed, text nodes joined by one space; references undecoded."""
     col = F.coalesce(col, F.lit(""))
     for pattern in element_patterns():
         col = F.regexp_replace(col, pattern, "<br>")
     nodes = F.transform(F.split(col, TAG), strip_blank)
-    text = F.array_join(F.filter(nodes, lambda n: n != ""), " ")
-    return decode_entities(text)
+    return F.array_join(F.filter(nodes, lambda n: n != ""), " ")
+
+
+def clean_html(df: DataFrame, column: str, into: str) -> DataFrame:
+    """Text of a page column. In two steps, so that the markup chain runs once per row and
+    the decoder reads its stored result."""
+    return (df.withColumn(into, visible_text(F.col(column)))
+            .withColumn(into, decode_entities(F.col(into))))
 
 
 def detect_language(col: Column) -> Column:
@@ -141,5 +167,7 @@ def detect_language(col: Column) -> Column:
 def words(col: Column) -> Column:
     """Whitespace-separated words; empty array for blank text."""
     trimmed = strip_blank(col)
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, BLANK + "+"))
+    wide = ~is_ascii(trimmed) & holds_any(trimmed, WIDE_BLANKS)
+    return (F.when(trimmed == "", F.array().cast("array<string>"))
+            .when(wide, F.split(trimmed, BLANK + "+"))
+            .otherwise(F.split(trimmed, ASCII_BLANK + "+")))

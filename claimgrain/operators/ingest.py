@@ -13,6 +13,19 @@ CHUNK_COLUMNS = ["chunk_id", "document_id", "source_type", "source_name", "sourc
                  "chunk_index"]
 
 
+def spread(rows: DataFrame, key: str, tasks_per_core: int = 4) -> DataFrame:
+    """Spread a scan over the cores if its files give too few tasks for CPU-heavy text work.
+
+    A large table has far more splits than the cluster has cores and is left as it is, so
+    no text is shuffled there. The key is hashed, not dealt out, so a retried task sees the
+    same rows.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores * tasks_per_core, key)
+
+
 def with_document_ids(docs: DataFrame) -> DataFrame:
     """Stable ids: re-ingesting the same document gives the same id."""
     return docs.withColumn("document_id", ids.document_id(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgrain.functions import scoring, text
-from claimgrain.functions.embedding import bucket_counts, bucket_letters
+from claimgrain.functions import scoring
+from claimgrain.functions.embedding import hash_vector
 from claimgrain.operators import ingest, retrieval
 from claimgrain.operators.ranking import hybrid_topk, rank_evidence
 from claimgrain.plans import sqltext as q
@@ -89,9 +89,7 @@ def evidence_rank(spark, sf):
 
 def embed(rows: DataFrame, ident: str, content: str, name: str) -> DataFrame:
     """Hash vectors of a text column: (name, vector)."""
-    letters = rows.select(F.col(ident).alias(name),
-                          bucket_letters(text.words(F.col(content))).alias("letters"))
-    return letters.select(name, bucket_counts(F.col("letters")).alias("vector"))
+    return rows.select(F.col(ident).alias(name), hash_vector(F.col(content)).alias("vector"))
 
 
 def text_hits(spark, sf, queries: DataFrame, k: int) -> DataFrame:

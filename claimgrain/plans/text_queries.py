@@ -31,7 +31,7 @@ def remove_boilerplate(spark, sf):
 
 @register("clean_html", f"SELECT page_id, {q.html('html')} AS text FROM pages")
 def clean_html(spark, sf):
-    return ad.page_html(spark, sf).select("page_id", text.clean_html(F.col("html")).alias("text"))
+    return text.clean_html(ad.page_html(spark, sf), "html", "text").select("page_id", "text")
 
 
 @register("detect_language", q.query(q.DOCS, """
@@ -58,7 +58,7 @@ c AS (SELECT *, unnest(range(0, n)) AS chunk_index FROM n)
 SELECT doc_id, chunk_index, array_to_string(words[chunk_index*462+1 : chunk_index*462+512], ' ') AS content
 FROM c""" % q.words("text"))
 def chunk_tokens(spark, sf):
-    split = ad.table(spark, sf, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
+    split = ad.documents(spark, sf).select("doc_id", text.words(F.col("text")).alias("w"))
     return split.select("doc_id", F.posexplode(chunking.token_windows(F.col("w")))
                         .alias("i", "content")).select(
         "doc_id", F.col("i").cast("bigint").alias("chunk_index"), "content")
@@ -71,7 +71,7 @@ SELECT doc_id, chunk_index, array_to_string(paras[chunk_index*3+1 : chunk_index*
 FROM c""" % q.paras("replace(text, '\n', '\n\n')"))
 def chunk_paragraphs(spark, sf):
     doubled = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    split = ad.table(spark, sf, "documents").select(
+    split = ad.documents(spark, sf).select(
         "doc_id", chunking.paragraphs(doubled).alias("p"))
     return split.select("doc_id", F.posexplode(chunking.paragraph_groups(F.col("p"), 3))
                         .alias("i", "content")).select(
@@ -91,7 +91,7 @@ c AS (SELECT *, unnest(range(0, CAST(ceil(len(parts) / 8.0) AS BIGINT))) AS chun
 SELECT doc_id, chunk_index, array_to_string(parts[chunk_index*8+1 : chunk_index*8+8], ' ') AS content FROM c
 """ % ("chr(2)", q.strip("replace(x, chr(1), '')"), q.text.BLANK))
 def chunk_sentences(spark, sf):
-    split = ad.table(spark, sf, "documents").select(
+    split = ad.documents(spark, sf).select(
         "doc_id", chunking.sentences(F.col("text")).alias("s"))
     return split.select("doc_id", F.posexplode(chunking.sentence_groups(F.col("s")))
                         .alias("i", "content")).select(
@@ -143,7 +143,7 @@ def document_files(spark, sf):
     name = F.concat(F.when(doc % 9 == 0, ".hidden").otherwise("file.v"), doc.cast("string"),
                     F.lit("."), F.get(F.array(*map(F.lit, ["txt", "MD", "pdf", "docx"])),
                                       (doc % 4).cast("int")))
-    listing = ad.table(spark, sf, "documents").select(
+    listing = ad.documents(spark, sf).select(
         F.concat(F.lit("/landing/"), name).alias("path"), F.col("text").alias("value"))
     return files.document_files(listing).select("source_name", "file_path", "raw_content")
 

@@ -32,6 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def ntz(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
@@ -49,7 +53,7 @@ def source_type(number):
 
 
 def docs_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape_docs(table(spark, sf_dir, "documents"))
+    return shape_docs(documents(spark, sf_dir))
 
 
 def shape_docs(documents: DataFrame) -> DataFrame:
@@ -108,7 +112,7 @@ def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return ingest.spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", "url", "html")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +129,7 @@ def abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.transform(F.sequence(F.lit(1), F.lit(8)),
                         lambda i: F.concat(F.lit("Author "), i.cast("string")))
     doc = F.col("doc_id")
-    return (table(spark, sf_dir, "documents").join(labels, "doc_id").select(
+    return (documents(spark, sf_dir).join(labels, "doc_id").select(
         doc.cast("string").alias("pmid"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("abstract"),
@@ -149,7 +153,7 @@ def course_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
         course, F.array(lesson).alias("modules"))))
     bare = F.to_json(F.struct(F.col("text").alias("content")))
     kind = F.col("doc_id") % 4
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.concat(F.lit("export_"), F.col("doc_id").cast("string")).alias("stem"),
         F.when(kind == 0, full).when(kind == 1, no_modules).when(kind == 2, no_lessons)
         .otherwise(bare).alias("value"))
@@ -311,7 +315,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(kind == 1, F.concat(F.lit("```\n"), body, F.lit("\n```")))
            .when(kind == 2, body)
            .otherwise(F.expr("substring(b, 1, length(b) - 5)")))
-    docs = table(spark, sf_dir, "documents").withColumn("b", body)
+    docs = documents(spark, sf_dir).withColumn("b", body)
     return docs.select(
         F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"),
         (F.col("doc_id") % 5 + 1).cast("int").alias("evidence_tier"), raw.alias("raw"))
