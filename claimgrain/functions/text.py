@@ -75,6 +75,11 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+# Marked as non-deterministic so that the optimizer never copies the columns built on them
+# into their readers: long cleaning chains would otherwise run once per reference.
+_nfkc, _unescape = _nfkc.asNondeterministic(), _unescape.asNondeterministic()
+
+
 def nfkc(col: Column) -> Column:
     """Unicode NFKC. Only text with characters that NFKC can change is sent to Python.
 

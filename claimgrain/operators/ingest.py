@@ -63,7 +63,9 @@ def chunk_documents(docs: DataFrame, size: int = dims.WINDOW_TOKENS,
 def ingest(docs: DataFrame, size: int = dims.WINDOW_TOKENS,
            overlap: int = dims.WINDOW_OVERLAP) -> DataFrame:
     """Clean, chunk, identify and hash. No shuffle; a single pass over the input."""
-    chunks = chunk_documents(clean_documents(with_document_ids(docs)), size, overlap)
+    if "document_id" not in docs.columns:
+        docs = with_document_ids(docs)
+    chunks = chunk_documents(clean_documents(docs), size, overlap)
     if "evidence_tier" not in chunks.columns:
         chunks = chunks.withColumn(
             "evidence_tier", scoring.infer_tier(F.col("source_type"), F.col("source_name")))

@@ -99,13 +99,13 @@ def text_hits(spark, sf, queries: DataFrame, k: int) -> DataFrame:
 
 
 def ranked_chunks(spark, sf, queries: DataFrame, k: int) -> DataFrame:
-    """Hits with their text and rank. Only the documents of surviving chunks are read and
-    cut again; text never travels with the vectors."""
-    hits = text_hits(spark, sf, queries, k).withColumnRenamed("id", "chunk_id")
-    wanted = hits.select(F.substring_index("chunk_id", "_", 1).alias("document_id")).distinct()
-    docs = ingest.with_document_ids(ad.docs_meta(spark, sf)).join(wanted, "document_id", "left_semi")
-    found = retrieval.hydrate(ingest.ingest(docs))
-    return rank_evidence(hits.join(found, "chunk_id"), ad.as_of())
+    """Hits with their text and rank. Only the documents that were hit are cut again, so text
+    never travels with the vectors."""
+    hits = text_hits(spark, sf, queries, k).withColumnRenamed("id", "hit_id").withColumn(
+        "document_id", F.substring_index("hit_id", "_", 1))
+    docs = ingest.with_document_ids(ad.docs_meta(spark, sf)).join(hits, "document_id")
+    found = ingest.ingest(docs).filter(F.col("chunk_id") == F.col("hit_id"))
+    return rank_evidence(retrieval.hydrate(found), ad.as_of())
 
 
 @register("hash_embed", q.query(q.ALL_CHUNKS, f"""
