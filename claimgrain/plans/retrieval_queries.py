@@ -57,7 +57,23 @@ def vector_topk_blocks(spark, sf):
                                         max_broadcast=64))
 
 
-@register("ann_topk")
+def _signature(vector: str) -> str:
+    planes = retrieval.hyperplanes(64, 6)
+    bits = [f"CASE WHEN list_dot_product({vector}, [{', '.join(repr(float(w)) for w in p)}]::DOUBLE[]) >= 0 "
+            f"THEN {1 << b} ELSE 0 END" for b, p in enumerate(planes)]
+    return "(" + " + ".join(bits) + ")"
+
+
+@register("ann_topk", q.query(
+    f"""{q.FIRST},\n{q.VECTORS},
+cb AS (SELECT chunk_id, vector, {_signature('vector')} AS bucket FROM vecs),
+qb AS (SELECT query_id, vector, {_signature('vector')} AS bucket FROM label_queries),
+scored AS (
+  SELECT q.query_id, c.chunk_id AS id, round(list_cosine_similarity(q.vector, c.vector), 9) AS similarity
+  FROM qb q JOIN cb c ON bit_count(xor(q.bucket, c.bucket)) <= 2),
+hits AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS retrieval_rank
+  FROM scored QUALIFY retrieval_rank <= 10)""", f"SELECT {_HIT} FROM hits"))
 def ann_topk(spark, sf):
     return _shape(retrieval.ann_topk(ad.label_queries(spark, sf),
                                      _corpus(ad.chunk_vectors(spark, sf)), 10))

@@ -161,16 +161,14 @@ def course_pages(files: DataFrame) -> DataFrame:
     """Exported course HTML files to documents."""
     return (clean_html(files, "value", "text")
             .select(F.col("stem").alias("source_name"),
-                    normalize_whitespace(F.col("text")).alias("content")))
+                    normalize_whitespace(F.col("text")).alias("content"))
+            .filter("content <> ''"))
 
 
 def web_documents(pages: DataFrame) -> DataFrame:
-    """Pages to documents named after their host.
-
-    Pages without text stay as blank documents, which ingestion counts as skipped: a filter
-    here would be pushed below the markup chain and run it twice.
-    """
+    """Pages with text to documents named after their host."""
     return (clean_html(pages, "html", "raw_content").drop("html")
+            .filter(F.col("raw_content") != "")
             .withColumn("source_name", F.get(F.split("url", "/"), F.lit(2)))
             .withColumn("source_url", F.col("url"))
             .withColumn("source_type", F.lit("website"))
