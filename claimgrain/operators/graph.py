@@ -76,75 +76,70 @@ def contraindications(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return neighbors(edges, entities, dims.CONTRAINDICATION)
 
 
-def _first_paths(paths: DataFrame, limit: int) -> DataFrame:
-    """The first paths of each pair in node order."""
-    order = Window.partitionBy("source", "target").orderBy("path")
-    return (paths.withColumn("pos", F.row_number().over(order))
-            .filter(F.col("pos") <= limit).drop("pos"))
+def _keep_first(rows: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
+    """The first rows of each group; cut per task before the shuffle, then finally."""
+    window = Window.partitionBy(*by).orderBy(*order)
+    return (rows.withColumn("_pos", F.row_number().over(window))
+            .filter(F.col("_pos") <= limit).drop("_pos"))
 
 
 def evidence_paths(edges: DataFrame, pairs: DataFrame, limit: int = MAX_PATHS) -> DataFrame:
     """Directed simple paths of at most four edges, shortest first, ``limit`` per pair.
 
-    Works in rising length, so a pair that already has enough short paths is dropped
-    before the longer, larger joins. Nothing enumerates all walks through a hub: two-edge
-    heads from the source meet, at their end node, a bounded list of tails to the target.
-    The list keeps the first ``limit + 1`` tails. One of them at most can clash with the
-    head's own middle node, so the first ``limit`` usable tails of every head are exact.
+    Built in rising length; a pair with enough short paths is left out of the longer joins.
+    Longer paths are a head source -> x -> y and a tail y -> z -> target that share y. Heads
+    are made once per source and tails once per target, and both keep only the first
+    ``limit + 2`` middle nodes per end node. That is exact: a path using a later middle node
+    can swap it for any kept one except the at most two that already occur in the path, so
+    at least ``limit`` paths come before it. A hub with a third of all edges therefore adds
+    a bounded list per node instead of all its in-out combinations.
     """
+    pair = ["source", "target"]
     links = edges.filter("src <> dst").select("src", "dst").distinct()
-    wanted = pairs.select("source", "target").filter("source <> target").distinct()
-
-    one = wanted.join(links, (links.src == wanted.source) & (links.dst == wanted.target)).select(
-        "source", "target", F.array("source", "target").alias("path"))
-
-    # heads: source -> x, and source -> x -> y (neither passes the target)
-    head1 = wanted.join(links, links.src == wanted.source).filter("dst <> target").select(
-        "source", "target", F.col("dst").alias("x"))
     into = links.select(F.col("src").alias("last"), F.col("dst").alias("end"))
-    two = head1.join(into, (F.col("x") == F.col("last")) & (F.col("target") == F.col("end"))).select(
-        "source", "target", F.array("source", "x", "target").alias("path"))
+    wanted = pairs.select(*pair).filter("source <> target").distinct()
+    ends_at = lambda node: (F.col(node) == F.col("last")) & (F.col("target") == F.col("end"))
 
     def short_of(found: DataFrame) -> DataFrame:
-        enough = (found.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-                  .filter(F.col("n") >= limit).select("source", "target"))
-        return wanted.join(enough, ["source", "target"], "left_anti")
+        enough = (found.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"))
+                  .filter(F.col("n") >= limit).select(*pair))
+        return wanted.join(enough, pair, "left_anti")
+
+    one = wanted.join(into, ends_at("source")).select(*pair, F.array(*pair).alias("path"))
 
-    one, two = _first_paths(one, limit), _first_paths(two, limit)
+    first_hop = wanted.select("source").distinct().join(
+        links, F.col("source") == F.col("src")).select("source", F.col("dst").alias("x"))
+    two = _keep_first(
+        wanted.join(first_hop, "source").filter("x <> target").join(into, ends_at("x"))
+        .select(*pair, F.array("source", "x", "target").alias("path")), pair, ["path"], limit)
+
+    heads = _keep_first(
+        first_hop.join(links, F.col("x") == F.col("src")).filter("dst <> source")
+        .select("source", "x", F.col("dst").alias("y")), ["source", "y"], ["x"], limit + 2)
     upto2 = one.unionByName(two)
-    need3 = short_of(upto2)
-    head2 = (head1.join(need3, ["source", "target"], "left_semi")
-             .join(links, F.col("x") == F.col("src"))
-             .filter("dst <> source and dst <> target")
-             .select("source", "target", "x", F.col("dst").alias("y")))
-    three = _first_paths(
-        head2.join(into, (F.col("y") == F.col("last")) & (F.col("target") == F.col("end")))
-        .select("source", "target", F.array("source", "x", "y", "target").alias("path")), limit)
-    upto3 = upto2.unionByName(three)
+    three = _keep_first(
+        short_of(upto2).join(heads, "source").filter("x <> target and y <> target")
+        .join(into, ends_at("y"))
+        .select(*pair, F.array("source", "x", "y", "target").alias("path")), pair, ["path"], limit)
 
+    upto3 = upto2.unionByName(three)
     need4 = short_of(upto3)
-    # tails y -> z -> target, first limit + 1 per (pair, y)
-    last = need4.join(into, F.col("target") == F.col("end")).filter("last <> source").select(
-        "source", "target", F.col("last").alias("z"))
-    by_tail = Window.partitionBy("source", "target", "y").orderBy("z")
-    tails = (last.join(links, F.col("z") == F.col("dst"))
-             .filter("src <> source and src <> target")
-             .select("source", "target", F.col("src").alias("y"), "z")
-             .withColumn("pos", F.row_number().over(by_tail)).filter(F.col("pos") <= limit + 1)
-             .groupBy("source", "target", "y")
-             .agg(F.array_sort(F.collect_list("z")).alias("zs")))
-    heads = head2.join(need4, ["source", "target"], "left_semi")
-    meet = (heads.join(tails, ["source", "target", "y"])
-            .withColumn("zs", F.slice(F.filter("zs", lambda z: z != F.col("x")), 1, limit))
-            .filter(F.size("zs") > 0))
-    by_head = Window.partitionBy("source", "target").orderBy("x", "y")
-    four = _first_paths(
-        meet.withColumn("pos", F.row_number().over(by_head)).filter(F.col("pos") <= limit)
-        .select("source", "target", "x", "y", F.explode("zs").alias("z"))
-        .select("source", "target", F.array("source", "x", "y", "z", "target").alias("path")),
-        limit)
-
-    ranked = Window.partitionBy("source", "target").orderBy("hops", "path")
+    last_hop = need4.select("target").distinct().join(
+        into, F.col("target") == F.col("end")).select("target", F.col("last").alias("z"))
+    tails = _keep_first(
+        last_hop.join(links, F.col("z") == F.col("dst")).filter("src <> target")
+        .select("target", F.col("src").alias("y"), "z"), ["target", "y"], ["z"], limit + 2)
+    tail_lists = tails.groupBy("target", "y").agg(F.array_sort(F.collect_list("z")).alias("zs"))
+    usable = F.slice(F.filter("zs", lambda z: (z != F.col("x")) & (z != F.col("source"))), 1, limit)
+    meet = (need4.join(heads, "source").filter("x <> target and y <> target")
+            .join(tail_lists, ["target", "y"]).withColumn("zs", usable).filter(F.size("zs") > 0))
+    four = _keep_first(
+        _keep_first(meet, pair, ["x", "y"], limit)
+        .select(*pair, "x", "y", F.explode("zs").alias("z"))
+        .select(*pair, F.array("source", "x", "y", "z", "target").alias("path")),
+        pair, ["path"], limit)
+
+    ranked = Window.partitionBy(*pair).orderBy("hops", "path")
     return (upto3.unionByName(four).withColumn("hops", F.size("path") - 1)
             .withColumn("path_rank", F.row_number().over(ranked))
             .filter(F.col("path_rank") <= limit))

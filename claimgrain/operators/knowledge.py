@@ -71,13 +71,10 @@ def parse_triples(responses: DataFrame, floor: float | None = None) -> DataFrame
 
 def synonym_table(spark) -> DataFrame:
     """name -> canonical, for the fixed entity list (under a hundred rows)."""
-    pairs = {}
-    for canonical, names in dims.SYNONYMS.items():
-        for name in [canonical, *names]:
-            pairs[name.lower()] = canonical
-    entries = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("canonical"))
-                        for k, v in pairs.items()])
-    return spark.range(1).select(F.inline(entries))
+    pairs = {name.lower(): canonical for canonical, names in dims.SYNONYMS.items()
+             for name in [canonical, *names]}
+    rows = ", ".join(f"('{name}', '{canonical}')" for name, canonical in pairs.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, canonical)")
 
 
 def link_entities(triples: DataFrame, columns: tuple[str, ...] = ("subject", "object")) -> DataFrame:

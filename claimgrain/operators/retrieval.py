@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_QUERIES = 2048
-QUERIES_PER_BLOCK = 512
+QUERIES_PER_BLOCK = 8192
 ROWS_PER_BLOCK = 50_000
 SCORE_SCHEMA = "query_id string, id string, similarity double"
 # Scores are compared at nine places, so equal vectors tie whatever block they sit in.

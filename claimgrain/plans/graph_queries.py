@@ -8,6 +8,7 @@ from claimgrain import dims
 from claimgrain.operators import graph, knowledge
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
+from claimgrain.session import stored
 from claimgrain.sources import adapters as ad
 
 _CLAIMS = """claims AS (
@@ -128,7 +129,7 @@ SELECT source, target, len(path) - 1 AS hops, array_to_string(path, ' > ') AS pa
 FROM found QUALIFY path_rank <= 5"""))
 def evidence_paths(spark, sf):
     """Paths back from the object of every contraindication to its subject."""
-    edges = ad.edges(spark, sf)
+    edges = stored(ad.edges(spark, sf), "edges")
     pairs = edges.filter(F.col("relation") == dims.CONTRAINDICATION).select(
         F.col("dst").alias("source"), F.col("src").alias("target"))
     return graph.evidence_paths(edges, pairs).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for the plans in this package. Partition counts are left to AQE:
 # the initial number is high and coalesced at run time.
@@ -44,3 +44,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="claimgrain-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    For a table read many times by one query: its lineage ends here, so the plan stays small
+    and a lost executor costs a re-read instead of the whole history.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -83,14 +83,18 @@ def paragraph_chunks(parts: DataFrame, key: str = "thread_id",
     offsets = (cut.select(key, "part", F.size("paras").alias("n"))
                .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
                .select(key, "part", "offset"))
-    placed = cut.join(offsets, [key, "part"]).withColumn(
-        "pieces", F.transform("paras", lambda p, i: F.struct(
-            F.floor((F.col("offset") + i) / size).alias("g"), p.alias("p"))))
+    # group g holds paragraphs g*size .. g*size+size-1 of the document; a part holds those
+    # from its offset on
+    n, offset = F.size("paras").cast("bigint"), F.col("offset")
+    last = F.floor((offset + n - 1) / size).cast("bigint")
+    start = lambda g: F.greatest(g * size - offset, F.lit(0)).cast("int")
+    stop = lambda g: F.least((g + 1) * size - offset, n).cast("int")
     groups = F.transform(
-        F.array_distinct(F.transform("pieces", lambda x: x["g"])),
-        lambda g: F.struct(g.alias("chunk_index"), F.array_join(F.transform(F.filter(
-            "pieces", lambda x: x["g"] == g), lambda x: x["p"]), "\n\n").alias("piece")))
-    rows = placed.select(key, "part", F.inline(groups))
+        F.sequence(F.floor(offset / size).cast("bigint"), last),
+        lambda g: F.struct(g.alias("chunk_index"), F.array_join(
+            F.slice("paras", start(g) + 1, stop(g) - start(g)), "\n\n").alias("piece")))
+    rows = (cut.join(offsets, [key, "part"]).filter(F.size("paras") > 0)
+            .select(key, "part", F.inline(groups)))
     return rows.groupBy(key, "chunk_index").agg(
         F.expr("listagg(piece, '\\n\\n') WITHIN GROUP (ORDER BY part)").alias("content"))
 
