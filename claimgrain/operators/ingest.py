@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from claimgrain import dims
 from claimgrain.functions import chunking, ids, scoring, text
+from claimgrain.functions.embedding import hash_vector
 
 CHUNK_COLUMNS = ["chunk_id", "document_id", "source_type", "source_name", "source_url",
                  "acquired_at", "published_at", "evidence_tier", "content_hash", "content",
                  "chunk_index"]
 
 
-def spread(rows: DataFrame, key: str, tasks_per_core: int = 4) -> DataFrame:
+def spread(rows: DataFrame, *keys: str, tasks_per_core: int = 4) -> DataFrame:
     """Spread a scan over the cores if its files give too few tasks for CPU-heavy text work.
 
     A large table has far more splits than the cluster has cores and is left as it is, so
-    no text is shuffled there. The key is hashed, not dealt out, so a retried task sees the
-    same rows.
+    no text is shuffled there. The keys, unique per row, are hashed rather than rows dealt
+    out, so a retried task sees the same rows.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
         return rows
-    return rows.repartition(cores * tasks_per_core, key)
+    return rows.repartition(cores * tasks_per_core, *keys)
 
 
 def with_document_ids(docs: DataFrame) -> DataFrame:
@@ -145,6 +146,13 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataF
     return kept.unionByName(latest.select(*base.columns))
 
 
+def reindex(chunks: DataFrame, store: DataFrame) -> DataFrame:
+    """The vector store with every given chunk embedded anew; other rows stay."""
+    vectors = chunks.select("chunk_id", hash_vector(F.col("content")).alias("vector"),
+                            F.lit(1).alias("version"))
+    return upsert(store, vectors, "chunk_id", "version")
+
+
 def register_sources(registry: DataFrame, requested: DataFrame) -> DataFrame:
     """Requested URLs with a verdict: added, already registered, repeated or unsupported."""
     supported = list(dims.URL_LISTS)

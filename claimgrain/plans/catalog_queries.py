@@ -65,53 +65,61 @@ def chunk_lookup(spark, sf):
 
 
 def _deletes(spark, sf):
-    """Every 50th document, and one id nobody has."""
-    docs = ad.first_chunk_ids(spark, sf).filter("doc_id % 50 = 0")
+    """Documents labelled toxic, each with an id nobody has."""
+    toxic = ad.table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
+    docs = ad.first_chunk_ids(spark, sf).join(toxic, "doc_id", "left_semi")
     return docs.select("document_id").unionByName(
         docs.select(F.concat(F.lit("missing-"), "document_id").alias("document_id")))
 
 
-@register("delete_source", q.query(q.ALL_CHUNKS, "SELECT chunk_id, source_type FROM chunks WHERE doc_id % 50 <> 0"))
+@register("delete_source", q.query(q.ALL_CHUNKS, "SELECT chunk_id, source_type FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
 def delete_source(spark, sf):
     remaining, _ = catalog.delete_sources(ad.chunks(spark, sf), _deletes(spark, sf))
     return remaining.select("chunk_id", "source_type")
 
 
 @register("delete_source_report", q.query(q.ALL_CHUNKS, """
-SELECT document_id, count(*) AS chunks_deleted FROM chunks WHERE doc_id % 50 = 0 GROUP BY document_id
-UNION ALL SELECT 'missing-' || document_id, 0 FROM ided WHERE doc_id % 50 = 0"""))
+SELECT document_id, count(*) AS chunks_deleted FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY document_id
+UNION ALL SELECT 'missing-' || document_id, 0 FROM ided WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"""))
 def delete_source_report(spark, sf):
     return catalog.delete_sources(ad.chunks(spark, sf), _deletes(spark, sf))[1]
 
 
 @register("delete_chunk", q.query(q.ALL_CHUNKS, """
-SELECT chunk_id, document_id FROM chunks WHERE NOT (chunk_index = 0 AND doc_id % 3 = 0)"""))
+SELECT chunk_id, document_id FROM chunks WHERE NOT (chunk_index = 0 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))"""))
 def delete_chunk(spark, sf):
-    first = ad.first_chunk_ids(spark, sf).filter("doc_id % 3 = 0").select("chunk_id")
+    poor = ad.table(spark, sf, "labels").filter("quality = 0").select("doc_id")
+    first = ad.first_chunk_ids(spark, sf).join(poor, "doc_id", "left_semi").select("chunk_id")
     return catalog.delete_chunks(ad.chunks(spark, sf), first).select("chunk_id", "document_id")
 
 
 def _patched(spark, sf):
-    doc = F.col("doc_id")
-    patches = ad.first_chunk_ids(spark, sf).filter("doc_id % 20 IN (1, 2, 3)").select(
-        "chunk_id",
-        F.when(doc % 20 == 1, (doc % 5 + 1)).when(doc % 20 == 3, F.lit(9)).cast("int")
-        .alias("tier_override"),
-        F.when(doc % 20 != 1, F.concat(F.lit("note "), doc.cast("string"))).alias("notes"))
+    """Patches from the labels: poor documents to tier 5, toxic good ones to a tier that does
+    not exist, the rest only a note."""
+    tier = F.when(F.col("quality") == 0, 5).when(F.col("toxic") == 1, 9)
+    patches = ad.first_chunk_ids(spark, sf).join(ad.table(spark, sf, "labels"), "doc_id").select(
+        "chunk_id", tier.alias("tier_override"),
+        F.when(F.col("quality") == 1, F.concat(F.lit("note "), F.col("doc_id").cast("string")))
+        .alias("notes"))
     return catalog.patch_chunks(ad.chunks(spark, sf), patches)
 
 
-@register("patch_chunks", q.query(q.ALL_CHUNKS, """
-SELECT chunk_id, CASE WHEN chunk_index = 0 AND doc_id % 20 = 1 THEN CAST(doc_id % 5 + 1 AS INT) ELSE evidence_tier END AS evidence_tier,
-  CASE WHEN chunk_index = 0 AND doc_id % 20 = 2 THEN 'note ' || doc_id END AS notes FROM chunks"""))
+_JOINED = """patched AS (
+  SELECT c.*, c.chunk_index = 0 AND l.quality = 0 AS poor,
+    c.chunk_index = 0 AND l.quality = 1 AND l.toxic = 0 AS good
+  FROM chunks c LEFT JOIN labels l USING (doc_id))"""
+
+
+@register("patch_chunks", q.query(f"{q.ALL_CHUNKS},\n{_JOINED}", """
+SELECT chunk_id, CASE WHEN poor THEN 5 ELSE evidence_tier END AS evidence_tier,
+  CASE WHEN good THEN 'note ' || doc_id END AS notes FROM patched"""))
 def patch_chunks(spark, sf):
     return _patched(spark, sf).select("chunk_id", "evidence_tier", "notes")
 
 
-@register("patch_log", q.query(q.ALL_CHUNKS, """
-SELECT chunk_id, evidence_tier AS before, CASE WHEN doc_id % 20 = 1 THEN CAST(doc_id % 5 + 1 AS INT) ELSE evidence_tier END AS after,
-  CASE WHEN doc_id % 20 = 2 THEN 'note ' || doc_id END AS notes
-FROM chunks WHERE chunk_index = 0 AND doc_id % 20 IN (1, 2)"""))
+@register("patch_log", q.query(f"{q.ALL_CHUNKS},\n{_JOINED}", """
+SELECT chunk_id, evidence_tier AS before, CASE WHEN poor THEN 5 ELSE evidence_tier END AS after,
+  CASE WHEN good THEN 'note ' || doc_id END AS notes FROM patched WHERE poor OR good"""))
 def patch_log(spark, sf):
     return catalog.change_log(_patched(spark, sf))
 

@@ -10,6 +10,7 @@ from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
 from claimgrain.session import stored
 from claimgrain.sources import adapters as ad
+from claimgrain.sources import files
 
 _CLAIMS = """claims AS (
   SELECT 'c' || doc_id AS source_chunk_id, CAST(doc_id % 5 + 1 AS INT) AS evidence_tier, position,
@@ -61,6 +62,15 @@ def confident_triples(spark, sf):
         "source_chunk_id", "subject", "relation", "object", "confidence")
 
 
+@register("load_triples", """
+SELECT p_brand AS subject, (%s)[1 + CAST(p_partkey %% 12 AS INT)] AS relation, p_name AS object,
+  p_size %% 10 / 10.0 AS confidence FROM part WHERE p_partkey %% 5 <> 0""" % q.strings([*dims.RELATIONS, "RELATED_TO"]))
+def load_triples(spark, sf):
+    """Triple files as stored after extraction, one per part; every fifth is cut short."""
+    stored_files = ad.triple_files(spark, sf)
+    return files.load_triples(stored_files).select("subject", "relation", "object", "confidence")
+
+
 @register("link_entities", q.query(q.TRIPLES, """
 SELECT subject, relation, object, count(*) AS triples FROM triples GROUP BY ALL"""))
 def link_entities(spark, sf):

@@ -97,10 +97,10 @@ def registry_append(spark, sf):
 
 
 @register("tier_override", q.query(q.DOCS, f"""
-SELECT doc_id, COALESCE(CASE WHEN source_url IS NOT NULL AND doc_id % 4 = 1 THEN CAST(doc_id % 5 + 1 AS INT) END,
-  {q.tier()}) AS evidence_tier FROM docs"""))
+SELECT d.doc_id, COALESCE(CASE WHEN source_url IS NOT NULL THEN 2 - l.quality + 2 * l.toxic END, {q.tier()}) AS evidence_tier
+FROM docs d LEFT JOIN labels l ON l.doc_id = d.doc_id"""))
 def tier_override(spark, sf):
     docs = ad.docs_meta(spark, sf).drop("raw_content")
-    registry = docs.filter("source_url IS NOT NULL AND doc_id % 4 = 1").select(
-        "source_url", (F.col("doc_id") % 5 + 1).cast("int").alias("tier_override"))
+    registry = docs.filter("source_url IS NOT NULL").join(ad.table(spark, sf, "labels"), "doc_id").select(
+        "source_url", (2 - F.col("quality") + 2 * F.col("toxic")).alias("tier_override"))
     return ingest.apply_tier_overrides(docs, registry).select("doc_id", "evidence_tier")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimgrain.functions import scoring
 from claimgrain.functions.embedding import hash_vector
 from claimgrain.operators import ingest, retrieval
+from claimgrain.operators.catalog import snippet
 from claimgrain.operators.ranking import hybrid_topk, rank_evidence
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
@@ -108,19 +109,24 @@ def embed(rows: DataFrame, ident: str, content: str, name: str) -> DataFrame:
     return rows.select(F.col(ident).alias(name), hash_vector(F.col(content)).alias("vector"))
 
 
-def text_hits(spark, sf, queries: DataFrame, k: int) -> DataFrame:
+def text_hits(spark, sf, queries: DataFrame, k: int, where: str = "true") -> DataFrame:
     return retrieval.vector_topk(
         embed(queries, "query_id", "query", "query_id"),
-        embed(ad.chunks(spark, sf), "chunk_id", "content", "id"), k)
+        embed(ad.chunks(spark, sf).filter(where), "chunk_id", "content", "id"), k)
 
 
-def ranked_chunks(spark, sf, queries: DataFrame, k: int) -> DataFrame:
-    """Hits with their text and rank. Only the documents that were hit are cut again, so text
-    never travels with the vectors."""
-    hits = text_hits(spark, sf, queries, k).withColumnRenamed("id", "hit_id").withColumn(
+def with_text(spark, sf, hits: DataFrame) -> DataFrame:
+    """Hits with their chunk. Only the documents that were hit are cut again, so text never
+    travels with the vectors."""
+    hits = hits.withColumnRenamed("id", "hit_id").withColumn(
         "document_id", F.substring_index("hit_id", "_", 1))
     docs = ingest.with_document_ids(ad.docs_meta(spark, sf)).join(hits, "document_id")
-    found = ingest.ingest(docs).filter(F.col("chunk_id") == F.col("hit_id"))
+    return ingest.ingest(docs).filter(F.col("chunk_id") == F.col("hit_id"))
+
+
+def ranked_chunks(spark, sf, queries: DataFrame, k: int) -> DataFrame:
+    """Hits with their text, metadata defaults and evidence rank."""
+    found = with_text(spark, sf, text_hits(spark, sf, queries, k))
     return rank_evidence(retrieval.hydrate(found), ad.as_of())
 
 
@@ -134,14 +140,54 @@ def hash_embed(spark, sf):
         F.transform("vector", lambda v: v.cast("int").cast("string")), ",").alias("counts"))
 
 
+_BENCH = "bq AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark)"
+
+
+def _benchmark_queries(spark, sf):
+    return ad.table(spark, sf, "benchmark").select(
+        F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+
+
 @register("text_search", q.query(
-    f"""{q.ALL_CHUNKS},
-bq AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark),
-{q.text_hits('bq', 5)}""", f"SELECT {_HIT} FROM hits"))
+    f"{q.ALL_CHUNKS},\n{_BENCH},\n{q.text_hits('bq', 5)}", f"SELECT {_HIT} FROM hits"))
 def text_search(spark, sf):
-    queries = ad.table(spark, sf, "benchmark").select(
-        F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    return _shape(text_hits(spark, sf, queries, 5))
+    return _shape(text_hits(spark, sf, _benchmark_queries(spark, sf), 5))
+
+
+@register("chunk_search", q.query(
+    f"""{q.ALL_CHUNKS.replace("chunks AS (", "every_chunk AS (")},
+chunks AS (SELECT * FROM every_chunk WHERE source_type = 'document' AND evidence_tier = 2),
+{_BENCH},\n{q.text_hits('bq', 5)}""", """
+SELECT h.query_id, h.retrieval_rank AS rank, c.chunk_id, c.document_id, c.source_name,
+  substr(c.content, 1, 200) || CASE WHEN length(c.content) > 200 THEN '…' ELSE '' END AS snippet
+FROM hits h JOIN chunks c ON c.chunk_id = h.id"""))
+def chunk_search(spark, sf):
+    """Semantic search within a metadata filter, with snippets."""
+    hits = text_hits(spark, sf, _benchmark_queries(spark, sf), 5,
+                     "source_type = 'document' AND evidence_tier = 2")
+    return with_text(spark, sf, hits).select(
+        "query_id", F.col("retrieval_rank").cast("bigint").alias("rank"), "chunk_id",
+        "document_id", "source_name", snippet(F.col("content")).alias("snippet"))
+
+
+@register("hydrate_defaults", q.query(q.DOCS, f"""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE source_type END AS source_type,
+  CASE WHEN doc_id % 5 = 0 THEN 'Unknown Source' ELSE source_name END AS source_name, source_url,
+  CASE WHEN doc_id % 6 = 0 THEN 3 ELSE {q.tier()} END AS evidence_tier,
+  strftime(CASE WHEN doc_id % 7 = 0 THEN TIMESTAMP '2024-01-01' ELSE acquired_at END, '%Y-%m-%d %H:%M:%S') AS acquired_at
+FROM docs"""))
+def hydrate_defaults(spark, sf):
+    doc, name = F.col("doc_id"), F.col("source_name")
+    sparse = ad.shape_docs(ad.table(spark, sf, "documents")).select(
+        "doc_id", scoring.infer_tier(F.col("source_type"), name).alias("tier"),
+        F.when(doc % 4 != 0, F.col("source_type")).otherwise("").alias("source_type"),
+        F.when(doc % 5 != 0, name).alias("source_name"),
+        F.coalesce("source_url", F.lit("")).alias("source_url"),
+        F.when(doc % 7 != 0, F.col("acquired_at")).alias("acquired_at"))
+    sparse = sparse.withColumn("evidence_tier", F.when(doc % 6 != 0, F.col("tier")))
+    return retrieval.hydrate(sparse).select(
+        "doc_id", "source_type", "source_name", "source_url", "evidence_tier",
+        F.date_format("acquired_at", "yyyy-MM-dd HH:mm:ss").alias("acquired_at"))
 
 
 @register("hybrid_retrieval", q.query(

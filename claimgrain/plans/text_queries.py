@@ -242,6 +242,15 @@ def web_ingest(spark, sf):
                                       "chunk_id", "content")
 
 
+@register("course_pages", f"""
+WITH t AS (SELECT 'page_' || page_id AS source_name, {q.norm(q.html('html'))} AS content FROM pages)
+SELECT * FROM t WHERE content <> ''""")
+def course_pages(spark, sf):
+    return exports.course_pages(ad.page_html(spark, sf).select(
+        F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("stem"),
+        F.col("html").alias("value")))
+
+
 @register("load_chunks", q.query(q.ALL_CHUNKS, """
 SELECT chunk_id, document_id, CASE WHEN doc_id % 6 = 0 THEN 'unknown' ELSE source_type END AS source_type,
   source_url, CASE WHEN doc_id % 6 = 0 THEN 3 ELSE evidence_tier END AS evidence_tier,
@@ -249,25 +258,26 @@ SELECT chunk_id, document_id, CASE WHEN doc_id % 6 = 0 THEN 'unknown' ELSE sourc
     '%Y-%m-%d %H:%M:%S') AS acquired_at, content, chunk_index
 FROM chunks WHERE doc_id % 10 <> 3"""))
 def load_chunks(spark, sf):
-    """Chunk table to JSON and back: a sixth lose optional fields, a tenth are cut short."""
-    sparse = F.col("doc_id") % 6 == 0
-    whole = ad.chunks(spark, sf).select(
-        "doc_id", "chunk_id", "document_id",
-        F.when(~sparse, F.col("source_type")).alias("source_type"), "source_name",
-        F.coalesce("source_url", F.lit("")).alias("source_url"),
-        F.when(~sparse, ids.isoformat(F.col("acquired_at"))).alias("acquired_at"),
-        ids.isoformat(F.col("published_at")).alias("published_at"),
-        F.when(~sparse, F.col("evidence_tier")).alias("evidence_tier_default"),
-        F.lit(None).cast("string").alias("jurisdiction"), "content_hash", "content", "chunk_index")
-    rows = whole.select("doc_id", F.struct(*[c for c in whole.columns if c != "doc_id"]).alias("r"))
-    flat = rows.select("doc_id", F.to_json("r").alias("value"))
-    cut = F.when(F.col("doc_id") % 10 == 3, F.substring("value", 1, 30)).otherwise(F.col("value"))
-    return files.load_chunks(flat.select(cut.alias("value"))).select(
+    return files.load_chunks(ad.chunk_lines(spark, sf)).select(
         "chunk_id", "document_id", "source_type", "source_url", "evidence_tier",
         F.date_format("acquired_at", "yyyy-MM-dd HH:mm:ss").alias("acquired_at"), "content",
         F.col("chunk_index").cast("bigint").alias("chunk_index"))
 
 
+@register("reindex", q.query(q.ALL_CHUNKS, f"""
+SELECT chunk_id, array_to_string(list_transform(range(0, 64),
+  lambda b: len(list_filter(bs, lambda x: x = b))), ',') AS counts
+FROM (SELECT chunk_id, list_transform({q.words('content')}, lambda w: {q.bucket('w')}) AS bs
+  FROM chunks WHERE doc_id % 10 <> 3)
+UNION ALL SELECT document_id || '_0000', '-1' FROM ided WHERE doc_id % 10 = 3"""))
+def reindex(spark, sf):
+    """Loaded chunks embedded over a store of first chunks; unreadable ones keep their row."""
+    store = ad.first_chunk_ids(spark, sf).select("chunk_id", F.array(F.lit(-1.0)).alias("vector"))
+    return ingest.reindex(files.load_chunks(ad.chunk_lines(spark, sf)), store).select(
+        "chunk_id", F.array_join(F.transform("vector", lambda v: v.cast("int").cast("string")), ",")
+        .alias("counts"))
+
+
 @register("landing_validation", """
 WITH f AS (SELECT doc_id, n_chars * 2000 AS size_bytes,
   (['pdf', 'TXT', 'md', 'exe', ''])[1 + CAST(doc_id % 5 AS INT)] AS ext FROM documents)

@@ -82,6 +82,23 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest(docs_meta(spark, sf_dir))
 
 
+def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table as JSON lines: a sixth lose optional fields, a tenth are cut short."""
+    sparse = F.col("doc_id") % 6 == 0
+    whole = chunks(spark, sf_dir).select(
+        "doc_id", "chunk_id", "document_id",
+        F.when(~sparse, F.col("source_type")).alias("source_type"), "source_name",
+        F.coalesce("source_url", F.lit("")).alias("source_url"),
+        F.when(~sparse, ids.isoformat(F.col("acquired_at"))).alias("acquired_at"),
+        ids.isoformat(F.col("published_at")).alias("published_at"),
+        F.when(~sparse, F.col("evidence_tier")).alias("evidence_tier_default"),
+        F.lit(None).cast("string").alias("jurisdiction"), "content_hash", "content", "chunk_index")
+    lines = whole.select("doc_id", F.to_json(F.struct(
+        *[c for c in whole.columns if c != "doc_id"])).alias("line"))
+    return lines.select(F.when(F.col("doc_id") % 10 == 3, F.substring("line", 1, 30))
+                        .otherwise(F.col("line")).alias("value"))
+
+
 def first_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id and ranking metadata of every document's first chunk, without cutting the text."""
     docs = ingest.with_document_ids(docs_meta(spark, sf_dir))
@@ -323,6 +340,24 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triple_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as model responses holding one triple, some as a single object, some unfenced."""
+    body = _triple_json()
+    raw = (F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+           .when(F.col("p_partkey") % 3 == 1, body)
+           .otherwise(F.concat(F.lit("```\n"), body, F.lit("\n```"))))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("chunk_id"), raw.alias("raw"))
+
+
+def triple_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as stored triple files; every fifth is cut short."""
+    body = _triple_json()
+    cut = F.when(F.col("p_partkey") % 5 == 0, F.substring(body, 1, 20)).otherwise(body)
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("/triples/"), F.col("p_partkey").cast("string"), F.lit("_triples.json"))
+        .alias("path"), cut.alias("value"))
+
+
+def _triple_json():
     relation = F.get(F.array(*[F.lit(r) for r in [*dims.RELATIONS, "RELATED_TO"]]),
                      (F.col("p_partkey") % 12).cast("int"))
     triple = F.struct(
@@ -330,10 +365,5 @@ def triple_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         relation.alias("relation"), F.col("p_name").alias("object"),
         F.lit("Condition").alias("object_type"),
         (F.col("p_size") % 10 / 10).alias("confidence"))
-    body = F.when(F.col("p_partkey") % 2 == 0, F.to_json(F.array(triple))).otherwise(
+    return F.when(F.col("p_partkey") % 2 == 0, F.to_json(F.array(triple))).otherwise(
         F.to_json(triple))
-    raw = (F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-           .when(F.col("p_partkey") % 3 == 1, body)
-           .otherwise(F.concat(F.lit("```\n"), body, F.lit("\n```"))))
-    return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("chunk_id"), raw.alias("raw"))

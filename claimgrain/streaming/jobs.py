@@ -28,7 +28,8 @@ def ingest_stream(docs: DataFrame, table: str, checkpoint: str) -> None:
     executor or driver leaves one copy. ``current_chunks`` reads the log as a keyed table.
     """
     def write(batch: DataFrame, number: int) -> None:
-        (ingest.ingest(batch).withColumn("version", F.lit(number).cast("bigint"))
+        docs = ingest.spread(batch, "source_url", "source_name", "acquired_at")
+        (ingest.ingest(docs).withColumn("version", F.lit(number).cast("bigint"))
          .write.mode("overwrite").parquet(f"{table}/batch={number}"))
 
     _drain(docs.writeStream.foreachBatch(write), checkpoint)
