@@ -110,18 +110,21 @@ def embed(rows: DataFrame, ident: str, content: str, name: str) -> DataFrame:
 
 
 def text_hits(spark, sf, queries: DataFrame, k: int, where: str = "true") -> DataFrame:
-    return retrieval.vector_topk(
-        embed(queries, "query_id", "query", "query_id"),
-        embed(ad.chunks(spark, sf).filter(where), "chunk_id", "content", "id"), k)
+    """Top-k chunks of each query; ``doc_id`` leads back to the text."""
+    chunks = ad.chunks(spark, sf).filter(where).withColumn(
+        "key", F.concat_ws("|", "chunk_id", F.col("doc_id").cast("string")))
+    hits = retrieval.vector_topk(embed(queries, "query_id", "query", "query_id"),
+                                 embed(chunks, "key", "content", "id"), k)
+    return hits.withColumn("doc_id", F.substring_index("id", "|", -1).cast("bigint")).withColumn(
+        "id", F.substring_index("id", "|", 1))
 
 
 def with_text(spark, sf, hits: DataFrame) -> DataFrame:
-    """Hits with their chunk. Only the documents that were hit are cut again, so text never
-    travels with the vectors."""
-    hits = hits.withColumnRenamed("id", "hit_id").withColumn(
-        "document_id", F.substring_index("hit_id", "_", 1))
-    docs = ingest.with_document_ids(ad.docs_meta(spark, sf)).join(hits, "document_id")
-    return ingest.ingest(docs).filter(F.col("chunk_id") == F.col("hit_id"))
+    """Hits with their chunk. Only the documents that were hit are hashed and cut again, so
+    text never travels with the vectors."""
+    docs = ad.shape_docs(ad.table(spark, sf, "documents"))
+    found = docs.join(hits.withColumnRenamed("id", "hit_id"), "doc_id")
+    return ingest.ingest(found).filter(F.col("chunk_id") == F.col("hit_id"))
 
 
 def ranked_chunks(spark, sf, queries: DataFrame, k: int) -> DataFrame:
