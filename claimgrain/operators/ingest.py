@@ -68,8 +68,8 @@ def ingest(docs: DataFrame, size: int = dims.WINDOW_TOKENS,
         docs = with_document_ids(docs)
     chunks = chunk_documents(clean_documents(docs), size, overlap)
     if "evidence_tier" not in chunks.columns:
-        chunks = chunks.withColumn(
-            "evidence_tier", scoring.infer_tier(F.col("source_type"), F.col("source_name")))
+        # every source has its type's tier; names are only consulted by enrich_metadata
+        chunks = chunks.withColumn("evidence_tier", scoring.source_type_tier(F.col("source_type")))
     return (chunks
             .withColumn("chunk_id", ids.chunk_id(F.col("document_id"), F.col("chunk_index")))
             .withColumn("content_hash", ids.content_hash(F.col("content"))))
@@ -180,6 +180,6 @@ def source_line(url: Column, label: Column) -> Column:
 
 def apply_tier_overrides(docs: DataFrame, overrides: DataFrame) -> DataFrame:
     """The tier given at registration wins over the inferred one."""
-    inferred = scoring.infer_tier(F.col("source_type"), F.col("source_name"))
+    inferred = scoring.source_type_tier(F.col("source_type"))
     return (docs.join(overrides.select("source_url", "tier_override"), "source_url", "left")
             .withColumn("evidence_tier", F.coalesce("tier_override", inferred)))

@@ -97,18 +97,20 @@ def _final(partial: DataFrame, k: int) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
-                max_broadcast: int = MAX_BROADCAST_QUERIES,
-                rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                max_broadcast: int = MAX_BROADCAST_QUERIES, rows_per_block: int = ROWS_PER_BLOCK,
+                corpus_rows: int | None = None) -> DataFrame:
     """Exact cosine top-k. ``queries(query_id, vector)``, ``corpus(id, vector)``.
 
     Returns ``query_id, id, similarity, retrieval_rank``; ids are strings, vectors doubles.
+    ``corpus_rows``, if known, saves counting the corpus when blocks are needed.
     """
     queries = queries.select(F.col("query_id").cast("string"), "vector")
     corpus = corpus.select(F.col("id").cast("string"), "vector")
     small = queries.limit(max_broadcast + 1).toArrow()
     if small.num_rows <= max_broadcast:
         return _final(_scan(small, corpus, k), k)
-    return _final(_blocks(queries, corpus, k, rows_per_block), k)
+    rows = corpus.count() if corpus_rows is None else corpus_rows
+    return _final(_blocks(queries, corpus, k, max(1, -(-rows // rows_per_block))), k)
 
 
 def _scan(queries: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
@@ -140,9 +142,8 @@ def _block(col: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
 
-def _blocks(queries: DataFrame, corpus: DataFrame, k: int, rows_per_block: int) -> DataFrame:
+def _blocks(queries: DataFrame, corpus: DataFrame, k: int, n_corpus: int) -> DataFrame:
     """Blocked product: every corpus block meets every query block in one task each."""
-    n_corpus = max(1, -(-corpus.count() // rows_per_block))
     n_query = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
     left = (corpus.withColumn("cb", _block(F.col("id"), n_corpus))
             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))))

@@ -106,7 +106,7 @@ def first_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", "document_id", "source_type", "source_name", "source_url", "published_at",
         ids.chunk_id(F.col("document_id"), F.lit(0)).alias("chunk_id"),
-        scoring.infer_tier(F.col("source_type"), F.col("source_name")).alias("evidence_tier"))
+        scoring.source_type_tier(F.col("source_type")).alias("evidence_tier"))
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
