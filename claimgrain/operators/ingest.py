@@ -146,6 +146,20 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataF
     return kept.unionByName(latest.select(*base.columns))
 
 
+def latest_per_key(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """The newest row per key of a stored log in which most keys occur once.
+
+    Only keys and counts of the whole log are shuffled. Full rows meet in an aggregate for
+    repeated keys alone; the others pass through an anti-join that Spark can broadcast.
+    """
+    cols = [c for c in rows.columns if c != key]
+    repeated = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+                .filter(F.col("n") > 1).select(key))
+    newest = (rows.join(repeated, key, "left_semi").groupBy(key)
+              .agg(F.max_by(F.struct(*cols), version).alias("row")).select(key, "row.*"))
+    return rows.join(repeated, key, "left_anti").unionByName(newest)
+
+
 def reindex(chunks: DataFrame, store: DataFrame) -> DataFrame:
     """The vector store with every given chunk embedded anew; other rows stay."""
     vectors = chunks.select("chunk_id", hash_vector(F.col("content")).alias("vector"),

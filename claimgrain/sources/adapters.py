@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgrain import dims
-from claimgrain.functions import ids
+from claimgrain.functions import ids, scoring
 from claimgrain.operators import graph, ingest, knowledge
 
 AS_OF = "2024-06-30 00:00:00"
@@ -101,8 +101,7 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id and ranking metadata of every document's first chunk, without cutting the text."""
-    docs = ingest.with_document_ids(docs_meta(spark, sf_dir))
-    from claimgrain.functions import scoring
+    docs = ingest.with_document_ids(shape_docs(table(spark, sf_dir, "documents")))
     return docs.select(
         "doc_id", "document_id", "source_type", "source_name", "source_url", "published_at",
         ids.chunk_id(F.col("document_id"), F.lit(0)).alias("chunk_id"),

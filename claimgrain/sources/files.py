@@ -76,9 +76,9 @@ def validate_landing(files: DataFrame, max_bytes: int = dims.MAX_UPLOAD_BYTES) -
 
 
 def write_chunks(chunks: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Chunk table partitioned by source type. Rows are spread by chunk id first, so a
-    source type with most of the rows is written by many tasks."""
-    (chunks.repartition("source_type", F.pmod(F.xxhash64("chunk_id"), F.lit(64)))
+    """Chunk table partitioned by source type. Rebalancing gives files of the advisory size:
+    small types share tasks, a type with most of the rows is split over many."""
+    (chunks.hint("rebalance", "source_type")
      .write.mode(mode).partitionBy("source_type").format(fmt).save(path))
 
 

@@ -38,9 +38,7 @@ def ingest_stream(docs: DataFrame, table: str, checkpoint: str) -> None:
 def current_chunks(spark: SparkSession, table: str) -> DataFrame:
     """Latest row per chunk id over all batches."""
     log = spark.read.parquet(table).drop("batch")
-    cols = [c for c in log.columns if c not in ("chunk_id", "version")]
-    return (log.groupBy("chunk_id")
-            .agg(F.max_by(F.struct(*cols), "version").alias("row")).select("chunk_id", "row.*"))
+    return ingest.latest_per_key(log, "chunk_id", "version").drop("version")
 
 
 def alert_stream(events: DataFrame, table: str, checkpoint: str) -> None:

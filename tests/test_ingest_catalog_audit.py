@@ -161,3 +161,9 @@ def test_downgrade(spark):
                                 (2, True, True, False), (1, False, False, True)],
                                "evidence_tier int, stale boolean, marketing boolean, retracted boolean")
     assert [r.new_tier for r in catalog.downgrade_tiers(df).collect()] == [1, 2, 5, 5, 5]
+
+
+def test_latest_per_key(spark):
+    log = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("a", "z", 2), ("b", "w", 1)],
+                                "k string, v string, version int")
+    assert sorted(map(tuple, ingest.latest_per_key(log, "k", "version").collect())) == [("a", "y", 3), ("b", "w", 1)]
