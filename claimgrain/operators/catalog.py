@@ -85,9 +85,14 @@ def patch_chunks(chunks: DataFrame, patches: DataFrame) -> DataFrame:
     """Chunks with tier and notes replaced where a valid patch (tier 1..5) exists.
 
     Keeps the old tier in ``tier_before`` and marks changed rows, which is the change log.
+    Several patches of a chunk are allowed if they carry ``seq``: per field the last value
+    set wins. Without ``seq`` there must be one patch per chunk.
     """
     valid = patches.filter(F.col("tier_override").isNull()
                            | F.col("tier_override").between(1, 5))
+    if "seq" in patches.columns:
+        last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+        valid = valid.groupBy("chunk_id").agg(last("tier_override"), last("notes"))
     return (chunks.join(valid.select("chunk_id", "tier_override", "notes"), "chunk_id", "left")
             .withColumn("tier_before", F.col("evidence_tier"))
             .withColumn("evidence_tier", F.coalesce("tier_override", "evidence_tier"))

@@ -167,3 +167,11 @@ def test_latest_per_key(spark):
     log = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("a", "z", 2), ("b", "w", 1)],
                                 "k string, v string, version int")
     assert sorted(map(tuple, ingest.latest_per_key(log, "k", "version").collect())) == [("a", "y", 3), ("b", "w", 1)]
+
+
+def test_later_patches_win_per_field(spark):
+    chunks = spark.createDataFrame([("c", 3)], "chunk_id string, evidence_tier int")
+    patches = spark.createDataFrame([("c", 1, "first", 1), ("c", None, "second", 2), ("c", 9, "third", 3)],
+                                    "chunk_id string, tier_override int, notes string, seq int")
+    rows = catalog.patch_chunks(chunks, patches).collect()
+    assert [(r.evidence_tier, r.notes) for r in rows] == [(1, "second")]
