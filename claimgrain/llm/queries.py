@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgrain.llm import (bpe, chat_format, language_id, license_scan, mixing, quality_rules,
-                            sharding, url_filter, vector_search)
+from claimgrain.llm import (bpe, chat_format, language_id, license_scan, mixing, ngram_join,
+                            quality_rules, sharding, url_filter, vector_search)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,6 +121,29 @@ def op5(spark, sf_dir):
                          "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# ---- 6 ------------------------------------------------------------------------------------
+@register("op6_ngram_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+g AS (SELECT DISTINCT doc_id, ws[i:i + 2] AS gram FROM (
+  SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, least(len(ws), 1)))) AS i
+  FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have
+  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * both_have >= 90 * (x.n + y.n - both_have)),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION
+  SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id)
+JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+""")
+def op6(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 # ---- 7 ------------------------------------------------------------------------------------
 @register("op7_vector_search", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
