@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgrain.llm.common import map_slices
+from claimgrain.llm.common import fields, map_slices
 
 # Fixed value: the pattern that cuts text into words before merging.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -146,8 +146,7 @@ def _on_column(df: DataFrame, spec: str, column: str, out: str, kind: str) -> Da
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, made)],
                                           names=[*batch.schema.names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_slices(df, run, f"{schema}, `{out}` {kind}")
+    return map_slices(df, run, fields(*df.schema.fields, f"`{out}` {kind}"))
 
 
 def encode(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "text") -> DataFrame:

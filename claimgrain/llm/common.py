@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Fixed value: the blanks between words, as in ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,7 +53,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def map_slices(df: DataFrame, fn, schema: str, max_bytes: int = 8 << 20) -> DataFrame:
+def fields(*parts: StructField | str) -> StructType:
+    """A schema of existing fields, whatever their names and types, and new ones as DDL."""
+    out: list[StructField] = []
+    for part in parts:
+        out += StructType.fromDDL(part).fields if isinstance(part, str) else [part]
+    return StructType(out)
+
+
+def map_slices(df: DataFrame, fn, schema, max_bytes: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` over slices of at most about ``max_bytes`` (one row at least).
 
     ``fn(batch)`` gets a record batch and returns one; memory per task is then bounded by

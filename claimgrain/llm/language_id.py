@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgrain.llm.common import map_slices
+from claimgrain.llm.common import fields, map_slices
 
 #: Bounds of the sample a model is fitted on.
 MAX_LANGUAGES = 64         # the most frequent ones
@@ -121,7 +121,6 @@ def classify(docs: DataFrame, model: dict[str, bytes], key: str = "doc_id", text
             [batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
             names=["key", "lang_pred", "score"])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    judged = map_slices(rows, run, f"key {kind}, lang_pred string, score double")
+    judged = map_slices(rows, run, fields(rows.schema["key"], "lang_pred string, score double"))
     rejected = (F.col("score") < margin) | (F.col("lang_pred") == UNKNOWN)
     return judged.select(F.col("key").alias(key), "lang_pred", "score", rejected.alias("rejected"))

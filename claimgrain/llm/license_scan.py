@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgrain.llm.common import lower_ascii, map_slices
+from claimgrain.llm.common import fields, lower_ascii, map_slices
 
 #: Fixed value: words are runs of letters and digits (ASCII) and of all other characters.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -229,8 +229,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text",
             [batch.column(0), batch.column(1), pa.array(plain, kind), pa.array(formed, kind)],
             names=["key", "n_words", "phrase_spans", "template_spans"])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    found = map_slices(rows, run, f"key {kind}, n_words long, phrase_spans {SPAN}, template_spans {SPAN}")
+    found = map_slices(rows, run, fields(
+        rows.schema["key"], f"n_words long, phrase_spans {SPAN}, template_spans {SPAN}"))
     return found.withColumnRenamed("key", key)
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgrain.llm.common import map_slices, written
+from claimgrain.llm.common import fields, map_slices, written
 from claimgrain.llm.components import connected_components
 
 SHINGLE = 3
@@ -172,10 +172,10 @@ def _prefixes(rows: DataFrame, levels, size: int, percent: int) -> DataFrame:
              *[pa.array(columns[:, i]) for i in range(SKETCH)], pa.array(parts, longs),
              pa.array(salts, ints), pa.array(others[0], ints), pa.array(others[1], ints)], names=names)
 
-    kind = rows.schema["key"].dataType.simpleString()
     sketch = ", ".join(f"s{i} long" for i in range(SKETCH))
-    return map_slices(rows, run, f"key {kind}, c long, nk long, {sketch}, p0 array<long>, "
-                                 "salt array<int>, p1 array<int>, p2 array<int>", SLICE)
+    return map_slices(rows, run, fields(
+        rows.schema["key"], f"c long, nk long, {sketch}, p0 array<long>, salt array<int>, "
+                            "p1 array<int>, p2 array<int>"), SLICE)
 
 
 def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +274,7 @@ def _sets(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
             [chosen.column(0), pa.array(c, pa.int64()), pa.array(sets, pa.binary())],
             names=["key", "c", "tokens"])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return map_slices(hashed, run, f"key {kind}, c long, tokens binary", SLICE)
+    return map_slices(hashed, run, fields(rows.schema["key"], "c long, tokens binary"), SLICE)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -297,8 +296,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
             good.append(100 * shared >= percent * (len(x) + len(y) - shared))
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return written(map_slices(both, run, f"a {kind}, b {kind}"), "links")
+    return written(map_slices(both, run, fields(both.schema["a"], both.schema["b"])), "links")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgrain.llm.common import written
+from claimgrain.llm.common import fields, written
 
 
 def _inside(group: str, size: str):
@@ -57,9 +57,8 @@ def running_sums(rows: DataFrame, group: str, order: list[str], size: str) -> Da
     ranged = (rows.withColumn("_row", F.monotonically_increasing_id())
               .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_row")
               .withColumn("_part", F.spark_partition_id()))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
-    kept = written(ranged.mapInArrow(_inside(group, size), f"{schema}, inside long, nth long"),
-                   "ranges")
+    schema = fields(*ranged.schema.fields, "inside long, nth long")
+    kept = written(ranged.mapInArrow(_inside(group, size), schema), "ranges")
     totals = kept.groupBy(group, "_part").agg(F.sum(size).alias("part_sum"),
                                               F.count("*").alias("part_rows"))
     ahead = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
