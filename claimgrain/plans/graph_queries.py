@@ -14,8 +14,7 @@ from claimgrain.sources import files
 
 _CLAIMS = """claims AS (
   SELECT 'c' || doc_id AS source_chunk_id, CAST(doc_id % 5 + 1 AS INT) AS evidence_tier, position,
-    CASE position WHEN 0 THEN CASE WHEN contains(text, '.') THEN substr(text, 1, strpos(text, '.') - 1) ELSE text END
-      ELSE source END AS claim_text, lang,
+    CASE position WHEN 0 THEN text ELSE source END AS claim_text, lang,
     CASE position WHEN 0 THEN 0.85 ELSE 0.5 END AS confidence
   FROM documents CROSS JOIN (VALUES (0), (1)) p(position) WHERE doc_id % 4 <> 3)"""
 

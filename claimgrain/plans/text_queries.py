@@ -160,7 +160,7 @@ def id_list(spark, sf):
 
 
 @register("forum_threads", f"""
-SELECT conv_id AS thread_id, 0::BIGINT AS part, {q.norm("""'Thread: Thread ' || conv_id || chr(10) || chr(10)
+SELECT conv_id AS thread_id, {q.norm("""'Thread: Thread ' || conv_id || chr(10) || chr(10)
   || string_agg(CASE WHEN text <> '' THEN '[' || role || ']: ' || text END, chr(10) || chr(10) ORDER BY turn)""")} AS content
 FROM conversations GROUP BY conv_id""")
 def forum_threads(spark, sf):
@@ -168,7 +168,7 @@ def forum_threads(spark, sf):
 
 
 @register("community_posts", f"""
-SELECT conv_id AS thread_id, 0::BIGINT AS part, {q.norm("""string_agg(
+SELECT conv_id AS thread_id, {q.norm("""string_agg(
   CASE WHEN text = '' THEN NULL WHEN turn = 0 THEN text ELSE '[Reply from ' || role || ']: ' || text END,
   chr(10) || chr(10) ORDER BY turn)""")} AS content
 FROM conversations GROUP BY conv_id""")
@@ -177,7 +177,7 @@ def community_posts(spark, sf):
 
 
 @register("transcripts", f"""
-SELECT conv_id AS thread_id, 0::BIGINT AS part, {q.norm("string_agg(text, ' ' ORDER BY turn)")} AS content,
+SELECT conv_id AS thread_id, {q.norm("string_agg(text, ' ' ORDER BY turn)")} AS content,
   'YouTube:' || conv_id AS source_name, {q.lit(dims.VIDEO_URL)} || conv_id AS source_url
 FROM conversations GROUP BY conv_id""")
 def transcripts(spark, sf):
@@ -193,15 +193,27 @@ c AS (SELECT *, unnest(range(0, CAST(ceil(len(paras) / 4.0) AS BIGINT))) AS chun
 SELECT conv_id AS thread_id, chunk_index,
   array_to_string(paras[chunk_index*4+1 : chunk_index*4+4], '\n\n') AS content FROM c""")
 def thread_chunks(spark, sf):
-    # three posts per part, so that the groups of nearly every thread cross part borders
-    return exports.paragraph_chunks(exports.thread_documents(ad.turns(spark, sf), part_size=3))
+    return exports.thread_chunks(ad.turns(spark, sf))
+
+
+@register("transcript_chunks", f"""
+WITH t AS (SELECT conv_id, {q.norm("string_agg(text, ' ' ORDER BY turn)")} AS content
+  FROM conversations GROUP BY conv_id),
+w AS (SELECT conv_id, {q.words('content')} AS words FROM t),
+c AS (SELECT *, unnest(range(0, CASE WHEN len(words) = 0 THEN 0
+  ELSE greatest(1, CAST(ceil((len(words) - 12) / 28.0) AS BIGINT)) END)) AS chunk_index FROM w)
+SELECT conv_id AS thread_id, chunk_index,
+  array_to_string(words[chunk_index*28+1 : chunk_index*28+40], ' ') AS content FROM c""")
+def transcript_chunks(spark, sf):
+    """Windows of 40 words, so that most of them span several segments."""
+    return exports.transcript_chunks(ad.turns(spark, sf), size=40, overlap=12)
 
 
 @register("abstract_format", f"""
 WITH a AS (
   SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS title,
     CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS abstract
-  FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+  FROM documents)
 SELECT CAST(doc_id AS VARCHAR) AS pmid, 'PubMed:' || doc_id AS source_name,
   {q.lit(dims.ABSTRACT_URL)} || doc_id || '/' AS source_url, {q.norm("""'Title: ' || title || chr(10) || chr(10) || 'Abstract: ' || abstract
   || CASE WHEN doc_id % 8 > 0 THEN chr(10) || chr(10) || 'Authors: ' || array_to_string(
@@ -213,6 +225,26 @@ def abstract_format(spark, sf):
         "pmid", "source_name", "source_url", "content")
 
 
+_POSTS = """WITH t AS (SELECT conv_id, {own} AS content FROM conversations GROUP BY conv_id)
+SELECT {name} || conv_id AS source_name, {place} AS position, {norm} AS content FROM t"""
+
+
+@register("thread_files", _POSTS.format(name="'threads_'", place="0", norm=q.norm("content"), own="""
+  'Thread: Thread ' || conv_id || chr(10) || chr(10) || string_agg(CASE WHEN text <> ''
+    THEN '[' || role || ']: ' || text END, chr(10) || chr(10) ORDER BY turn)"""))
+def thread_files(spark, sf):
+    """conversations as exported thread files."""
+    return exports.thread_export(ad.thread_files(spark, sf))
+
+
+@register("community_files", _POSTS.format(name="'Skool Community: posts_'", place="0", norm=q.norm("content"), own="""
+  string_agg(CASE WHEN text = '' THEN NULL WHEN turn = 0 THEN text ELSE '[Reply from ' || role || ']: ' || text END,
+    chr(10) || chr(10) ORDER BY turn)"""))
+def community_files(spark, sf):
+    """conversations as exported community files: the first turn is the post."""
+    return exports.community_export(ad.community_files(spark, sf))
+
+
 @register("course_lessons", f"""
 WITH d AS (SELECT *, doc_id % 4 AS kind, {q.norm('text')} AS content FROM documents WHERE text <> '')
 SELECT 'export_' || doc_id AS stem, lesson_pos,
@@ -251,6 +283,22 @@ def course_pages(spark, sf):
         F.col("html").alias("value")))
 
 
+@register("chunk_export", q.query(q.ALL_CHUNKS, f"""
+SELECT chunk_id, source_type, source_type AS meta_type, evidence_tier,
+  {q.iso('acquired_at')} AS acquired_at, content_hash, chunk_index, content, true AS same_id
+FROM chunks"""))
+def chunk_export(spark, sf):
+    """Chunks as JSON documents, read back field by field."""
+    chunks = ad.chunks(spark, sf).withColumn("jurisdiction", F.lit(None).cast("string"))
+    lines = files.chunk_json(chunks.withColumnRenamed("evidence_tier", "evidence_tier_default"))
+    parsed = F.from_json("value", f"{files.CHUNK_SCHEMA}, metadata struct<source_type:string,chunk_id:string>")
+    return lines.select(parsed.alias("c")).select(
+        "c.chunk_id", "c.source_type", F.col("c.metadata.source_type").alias("meta_type"),
+        F.col("c.evidence_tier_default").alias("evidence_tier"), "c.acquired_at", "c.content_hash",
+        F.col("c.chunk_index").cast("bigint").alias("chunk_index"), "c.content",
+        (F.col("c.metadata.chunk_id") == F.col("c.chunk_id")).alias("same_id"))
+
+
 @register("load_chunks", q.query(q.ALL_CHUNKS, """
 SELECT chunk_id, document_id, CASE WHEN doc_id % 6 = 0 THEN 'unknown' ELSE source_type END AS source_type,
   source_url, CASE WHEN doc_id % 6 = 0 THEN 3 ELSE evidence_tier END AS evidence_tier,

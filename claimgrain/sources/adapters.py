@@ -139,13 +139,36 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Thread "), F.col("conv_id").cast("string")).alias("title"))
 
 
+def _exported(spark: SparkSession, sf_dir: str, stem: str, body) -> DataFrame:
+    """One JSON file per conversation; ``body`` makes it from the sorted turns."""
+    rows = turns(spark, sf_dir).groupBy("thread_id", "title").agg(F.array_sort(F.collect_list(
+        F.struct("position", "author", "content"))).alias("posts"))
+    return rows.select(F.concat(F.lit(stem), F.col("thread_id").cast("string")).alias("stem"),
+                       F.to_json(body).alias("value"))
+
+
+def thread_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as forum exports: one list of one thread per file."""
+    posts = F.transform("posts", lambda p: F.struct(p["author"].alias("author"),
+                                                    p["content"].alias("content")))
+    return _exported(spark, sf_dir, "threads_", F.array(F.struct("title", posts.alias("posts"))))
+
+
+def community_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as community exports, as one post each or as an object with ``posts``."""
+    first = F.filter("posts", lambda p: p["position"] == 0)
+    replies = F.transform(F.filter("posts", lambda p: p["position"] != 0), lambda p: F.struct(
+        p["author"].alias("author"), p["content"].alias("content")))
+    post = F.struct(F.get(first, F.lit(0))["content"].alias("content"), replies.alias("replies"))
+    return _exported(spark, sf_dir, "posts_", F.struct(F.array(post).alias("posts")))
+
+
 def abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as parsed abstracts: first line is the title."""
-    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    """documents as parsed abstracts: the first line is the title."""
     names = F.transform(F.sequence(F.lit(1), F.lit(8)),
                         lambda i: F.concat(F.lit("Author "), i.cast("string")))
     doc = F.col("doc_id")
-    return (documents(spark, sf_dir).join(labels, "doc_id").select(
+    return (documents(spark, sf_dir).select(
         doc.cast("string").alias("pmid"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("abstract"),
@@ -318,14 +341,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as model responses holding two claims, fenced in different ways."""
-    claim = lambda n, text, conf: F.struct(
+    """documents as model responses holding two claims, fenced in different ways: the whole
+    text is one claim and the other's quote. A fourth of them is cut short."""
+    claim = lambda text, quote, conf: F.struct(
         text.alias("claim_text"), F.array(F.lit("BPC-157")).alias("peptide_mentioned"),
         F.array("lang").alias("condition_mentioned"), F.lit("efficacy").alias("claim_type"),
         F.lit("may").alias("certainty_language"), F.lit(conf).alias("confidence"),
-        F.substring("text", 1, 200).alias("supporting_quote"))
-    body = F.to_json(F.array(claim(0, F.substring_index("text", ".", 1), 0.85),
-                             claim(1, F.col("source"), 0.5)))
+        quote.alias("supporting_quote"))
+    text, source = F.col("text"), F.col("source")
+    body = F.to_json(F.array(claim(text, source, 0.85), claim(source, text, 0.5)))
     kind = F.col("doc_id") % 4
     raw = (F.when(kind == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone.")))
            .when(kind == 1, F.concat(F.lit("```\n"), body, F.lit("\n```")))

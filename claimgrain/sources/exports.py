@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from claimgrain import dims
 from claimgrain.functions import chunking
-from claimgrain.functions.text import clean_html, normalize_whitespace, strip_blank
+from claimgrain.functions.text import (clean_html, normalize_whitespace, strip_blank,
+                                       words)
 
-# A thread is assembled in parts of this many posts. Almost every thread is one part; a
-# thread holding a third of all posts becomes many parts on many tasks, none of it dropped.
-POSTS_PER_PART = 1000
+# Running offsets are summed in two levels: inside blocks of this many positions, then over the
+# blocks of a thread. It changes no result, only how much one task has to order.
+_BLOCK = 1000
 
 COURSE_LESSON = "struct<title:string,content:string,text:string>"
 COURSE_MODULE = ("struct<title:string,content:string,text:string,"
@@ -24,79 +25,133 @@ _REPLY = "struct<author:string,content:string>"
 _POST = f"struct<content:string,replies:array<{_REPLY}>>"
 
 
-def _assemble(rows: DataFrame, key: str, piece: Column, sep: str, part_size: int) -> DataFrame:
-    """Ordered concatenation of ``piece`` per (key, part); empty pieces leave no trace."""
-    numbered = rows.select(
-        key, F.floor(F.col("position") / part_size).cast("bigint").alias("part"),
-        "position", piece.alias("piece"))
-    text = F.expr(f"listagg(piece, '{sep}') WITHIN GROUP (ORDER BY position)")
-    return numbered.groupBy(key, "part").agg(text.alias("content"))
-
-
-def thread_documents(posts: DataFrame, part_size: int = POSTS_PER_PART) -> DataFrame:
-    """Forum threads: title line, then ``[author]: text`` per non-empty post.
-
-    ``posts(thread_id, position, author, content, title)``; positions count up from 0.
-    """
+def _said(posts: DataFrame) -> DataFrame:
+    """``thread_id, position, piece`` of forum posts; empty posts have no piece."""
     content = F.coalesce("content", F.lit(""))
     said = F.when(content != "", F.concat(
         F.lit("["), F.coalesce("author", F.lit("Unknown")), F.lit("]: "), content))
     heading = F.concat(F.lit("Thread: "), F.coalesce("title", F.lit("Forum Thread")))
     piece = F.when(F.col("position") == 0, F.concat_ws("\n\n", heading, said)).otherwise(said)
-    return (_assemble(posts, "thread_id", piece, "\\n\\n", part_size)
-            .filter(F.coalesce("content", F.lit("")) != "")
-            .withColumn("content", normalize_whitespace(F.col("content"))))
+    return posts.select("thread_id", "position", piece.alias("piece"))
 
 
-def community_documents(posts: DataFrame, part_size: int = POSTS_PER_PART) -> DataFrame:
-    """Community posts: the first row is the post, later rows are replies."""
+def _replied(posts: DataFrame) -> DataFrame:
+    """``thread_id, position, piece`` of community posts: the post, then its replies."""
     content = F.coalesce("content", F.lit(""))
     reply = F.concat(F.lit("[Reply from "), F.coalesce("author", F.lit("member")), F.lit("]: "),
                      content)
     piece = F.when(content == "", F.lit(None).cast("string")).when(
         F.col("position") == 0, content).otherwise(reply)
-    return (_assemble(posts, "thread_id", piece, "\\n\\n", part_size)
-            .filter(F.coalesce("content", F.lit("")) != "")
-            .withColumn("content", normalize_whitespace(F.col("content"))))
+    return posts.select("thread_id", "position", piece.alias("piece"))
 
 
-def transcript_documents(segments: DataFrame, part_size: int = POSTS_PER_PART) -> DataFrame:
-    """Transcript segments joined by a space in time order."""
-    return (_assemble(segments, "thread_id", F.col("content"), " ", part_size)
+def _spoken(segments: DataFrame) -> DataFrame:
+    return segments.select("thread_id", "position", F.col("content").alias("piece"))
+
+
+def _assemble(pieces: DataFrame, sep: str) -> DataFrame:
+    """One document per thread: its pieces in order, empty ones without a trace."""
+    text = F.expr(f"listagg(piece, '{sep}') WITHIN GROUP (ORDER BY position)")
+    return (pieces.groupBy("thread_id").agg(text.alias("content"))
             .filter(F.coalesce("content", F.lit("")) != "")
-            .withColumn("content", normalize_whitespace(F.col("content")))
-            .withColumn("source_name", F.concat(F.lit("YouTube:"), F.col("thread_id").cast("string")))
-            .withColumn("source_url", F.concat(F.lit(dims.VIDEO_URL),
-                                               F.col("thread_id").cast("string"))))
+            .withColumn("content", normalize_whitespace(F.col("content"))))
 
 
-def paragraph_chunks(parts: DataFrame, key: str = "thread_id",
-                     size: int = dims.PARAGRAPHS_PER_CHUNK) -> DataFrame:
-    """Paragraph groups over documents stored in parts, as if each were one text.
+def thread_documents(posts: DataFrame) -> DataFrame:
+    """Forum threads: title line, then ``[author]: text`` per non-empty post.
 
-    Each part is cut where the document-wide count of paragraphs crosses a group border;
-    only the pieces of a group that spans two parts meet again. The running count is a
-    window over one small row per part, never over text.
+    ``posts(thread_id, position, author, content, title)``; positions count up from 0. A
+    document is one string; ``thread_chunks`` gives its chunks without building it.
     """
-    cut = parts.select(key, "part", chunking.paragraphs(F.col("content")).alias("paras"))
-    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (cut.select(key, "part", F.size("paras").alias("n"))
-               .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-               .select(key, "part", "offset"))
-    # group g holds paragraphs g*size .. g*size+size-1 of the document; a part holds those
-    # from its offset on
-    n, offset = F.size("paras").cast("bigint"), F.col("offset")
-    last = F.floor((offset + n - 1) / size).cast("bigint")
-    start = lambda g: F.greatest(g * size - offset, F.lit(0)).cast("int")
-    stop = lambda g: F.least((g + 1) * size - offset, n).cast("int")
+    return _assemble(_said(posts), "\\n\\n")
+
+
+def community_documents(posts: DataFrame) -> DataFrame:
+    """Community posts: the first row is the post, later rows are replies."""
+    return _assemble(_replied(posts), "\\n\\n")
+
+
+def transcript_documents(segments: DataFrame) -> DataFrame:
+    """Transcript segments joined by a space in time order."""
+    key = F.col("thread_id").cast("string")
+    return (_assemble(_spoken(segments), " ")
+            .withColumn("source_name", F.concat(F.lit("YouTube:"), key))
+            .withColumn("source_url", F.concat(F.lit(dims.VIDEO_URL), key)))
+
+
+def _offsets(pieces: DataFrame) -> DataFrame:
+    """``pieces(thread_id, position, parts)`` with ``start``, the parts of the thread ahead of
+    the piece, and ``total``, those of the whole thread."""
+    n = F.size("parts").cast("bigint")
+    blocks = pieces.withColumn("block", F.floor(F.col("position") / _BLOCK).cast("bigint"))
+    ahead = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = blocks.withColumn("inside", F.coalesce(F.sum(n).over(
+        ahead("thread_id", "block").orderBy("position", "parts")), F.lit(0)))
+    sums = blocks.groupBy("thread_id", "block").agg(F.sum(n).alias("n"))
+    whole = Window.partitionBy("thread_id")
+    placed = sums.select(
+        "thread_id", "block", F.sum("n").over(whole).alias("total"),
+        F.coalesce(F.sum("n").over(ahead("thread_id").orderBy("block")), F.lit(0)).alias("before"))
+    return (inside.join(placed, ["thread_id", "block"])
+            .select("thread_id", "position", "parts", "total",
+                    (F.col("before") + F.col("inside")).alias("start")))
+
+
+def _glue(rows: DataFrame, sep: str) -> DataFrame:
+    return rows.groupBy("thread_id", "chunk_index").agg(
+        F.expr(f"listagg(piece, '{sep}') WITHIN GROUP (ORDER BY position, start)").alias("content"))
+
+
+def _paragraph_chunks(pieces: DataFrame, size: int) -> DataFrame:
+    """Paragraph groups of each thread, cut from its posts: a post gives its share of every
+    group it touches, and the shares of a group meet by number."""
+    cut = pieces.filter("piece IS NOT NULL").select(
+        "thread_id", "position",
+        chunking.paragraphs(normalize_whitespace(F.col("piece"))).alias("parts"))
+    placed = _offsets(cut.filter(F.size("parts") > 0))
+    n, start = F.size("parts").cast("bigint"), F.col("start")
+    low = lambda g: F.greatest(g * size - start, F.lit(0)).cast("int")
+    high = lambda g: F.least((g + 1) * size - start, n).cast("int")
     groups = F.transform(
-        F.sequence(F.floor(offset / size).cast("bigint"), last),
+        F.sequence(F.floor(start / size).cast("bigint"),
+                   F.floor((start + n - 1) / size).cast("bigint")),
         lambda g: F.struct(g.alias("chunk_index"), F.array_join(
-            F.slice("paras", start(g) + 1, stop(g) - start(g)), "\n\n").alias("piece")))
-    rows = (cut.join(offsets, [key, "part"]).filter(F.size("paras") > 0)
-            .select(key, "part", F.inline(groups)))
-    return rows.groupBy(key, "chunk_index").agg(
-        F.expr("listagg(piece, '\\n\\n') WITHIN GROUP (ORDER BY part)").alias("content"))
+            F.slice("parts", low(g) + 1, high(g) - low(g)), "\n\n").alias("piece")))
+    return _glue(placed.select("thread_id", "position", "start", F.inline(groups)), "\\n\\n")
+
+
+def thread_chunks(posts: DataFrame, size: int = dims.PARAGRAPHS_PER_CHUNK) -> DataFrame:
+    """The paragraph chunks of ``thread_documents`` for threads of any length: no task sees
+    more of a thread than a block of its posts."""
+    return _paragraph_chunks(_said(posts), size)
+
+
+def community_chunks(posts: DataFrame, size: int = dims.PARAGRAPHS_PER_CHUNK) -> DataFrame:
+    return _paragraph_chunks(_replied(posts), size)
+
+
+def transcript_chunks(segments: DataFrame, size: int = dims.WINDOW_TOKENS,
+                      overlap: int = dims.WINDOW_OVERLAP) -> DataFrame:
+    """The overlapping word windows of ``transcript_documents``, cut from the segments.
+
+    A segment gives its words to every window that covers them; the last window is the first
+    one that reaches the thread's end.
+    """
+    stride = size - overlap
+    cut = _spoken(segments).filter("piece IS NOT NULL").select(
+        "thread_id", "position", words(normalize_whitespace(F.col("piece"))).alias("parts"))
+    placed = _offsets(cut.filter(F.size("parts") > 0))
+    n, start = F.size("parts").cast("bigint"), F.col("start")
+    last = F.greatest(F.lit(0), F.ceil((F.col("total") - size) / stride)).cast("bigint")
+    first = F.greatest(F.lit(0), F.floor((start - size) / stride) + 1).cast("bigint")
+    final = F.least(F.floor((start + n - 1) / stride).cast("bigint"), last)
+    low = lambda g: F.greatest(g * stride - start, F.lit(0)).cast("int")
+    high = lambda g: F.least(g * stride + size - start, n).cast("int")
+    windows = F.transform(F.sequence(first, final), lambda g: F.struct(
+        g.alias("chunk_index"), F.array_join(
+            F.slice("parts", low(g) + 1, high(g) - low(g)), " ").alias("piece")))
+    return _glue(placed.filter(first <= final)
+                 .select("thread_id", "position", "start", F.inline(windows)), " ")
 
 
 def _json_rows(value: Column, schema: str) -> Column:

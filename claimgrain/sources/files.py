@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgrain import dims
+from claimgrain.functions import ids
 from claimgrain.functions.text import strip_blank
 from claimgrain.operators.knowledge import TRIPLE_SCHEMA, parse_array
 
@@ -89,16 +90,27 @@ def chunk_json(chunks: DataFrame) -> DataFrame:
     flat = ["chunk_id", "document_id", "source_type", "source_name", "source_url", "acquired_at",
             "published_at", "evidence_tier_default", "jurisdiction", "content_hash", "content",
             "chunk_index"]
+    stamps = {f.name for f in chunks.schema.fields if "timestamp" in f.dataType.simpleString()}
+    chunks = chunks.withColumns({c: ids.isoformat(F.col(c)) for c in flat if c in stamps})
     return chunks.select(F.to_json(F.struct(*flat, F.struct(*meta).alias("metadata")),
                                    {"ignoreNullFields": "false"}).alias("value"))
 
 
+_NEEDED = ("chunk_id", "document_id", "content")
+
+
 def load_chunks(lines: DataFrame) -> DataFrame:
-    """Chunk JSON lines to typed rows with defaults; rows without the key fields are skipped."""
-    parsed = lines.select(F.from_json("value", CHUNK_SCHEMA).alias("c")).select("c.*")
+    """Chunk JSON values to typed rows with defaults; rows without the key fields are left out
+    (``rejected_chunks`` lists them)."""
+    return _typed(lines.select(F.from_json("value", CHUNK_SCHEMA).alias("c")).select("c.*"))
+
+
+def _typed(parsed: DataFrame) -> DataFrame:
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
-    return (parsed.filter(F.col("chunk_id").isNotNull() & F.col("document_id").isNotNull()
-                          & F.col("content").isNotNull())
+    optional = lambda c, kind: F.col(c) if c in parsed.columns else F.lit(None).cast(kind)
+    rows = parsed.withColumn("jurisdiction", optional("jurisdiction", "string"))
+    return (rows.filter(F.col("chunk_id").isNotNull() & F.col("document_id").isNotNull()
+                        & F.col("content").isNotNull())
             .select("chunk_id", "document_id",
                     F.coalesce("source_type", F.lit("unknown")).alias("source_type"),
                     F.coalesce("source_name", F.lit("unknown")).alias("source_name"),
@@ -107,14 +119,43 @@ def load_chunks(lines: DataFrame) -> DataFrame:
                                F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
                     .alias("acquired_at"),
                     F.col("published_at").try_cast("timestamp_ntz").alias("published_at"),
-                    F.coalesce("evidence_tier_default", F.lit(3)).alias("evidence_tier"),
+                    F.coalesce(F.col("evidence_tier_default").cast("int"), F.lit(3))
+                    .alias("evidence_tier"),
                     blank("jurisdiction").alias("jurisdiction"),
                     F.coalesce("content_hash", F.lit("")).alias("content_hash"), "content",
-                    F.coalesce("chunk_index", F.lit(0)).alias("chunk_index")))
+                    F.coalesce(F.col("chunk_index").cast("int"), F.lit(0)).alias("chunk_index")))
+
+
+def read_chunks(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
+    """A chunk table as ``write_chunks`` leaves it, all rows of all files, with the type taken
+    from the partition folders."""
+    reader = spark.read if fmt == "parquet" else spark.read.schema(CHUNK_SCHEMA)
+    rows = reader.format(fmt).load(folder)
+    tier = "evidence_tier_default" if "evidence_tier_default" in rows.columns else "evidence_tier"
+    return _typed(rows.withColumnRenamed(tier, "evidence_tier_default"))
+
+
+def read_chunk_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines, many per file: the chunks, and the rejected lines with file and reason."""
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    return load_chunks(lines), rejected_chunks(lines)
+
+
+def read_chunk_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """One JSON document per file, over several lines: chunks and rejected files."""
+    whole = whole_files(spark, folder)
+    return load_chunks(whole), rejected_chunks(whole)
 
 
-def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return load_chunks(whole_files(spark, folder))
+def rejected_chunks(lines: DataFrame) -> DataFrame:
+    """Non-blank values that ``load_chunks`` leaves out, each with the reason."""
+    parsed = lines.filter(strip_blank(F.col("value")) != "").withColumn(
+        "c", F.from_json("value", CHUNK_SCHEMA + ", _corrupt_record string",
+                         {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    missing = F.concat_ws(", ", *[F.when(F.col(f"c.{k}").isNull(), k) for k in _NEEDED])
+    reason = F.when(F.col("c").isNull() | F.col("c._corrupt_record").isNotNull(), "not a JSON object").when(
+        missing != "", F.concat(F.lit("missing: "), missing))
+    return parsed.withColumn("reason", reason).filter("reason IS NOT NULL").drop("c")
 
 
 def load_triples(files: DataFrame) -> DataFrame:

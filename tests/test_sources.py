@@ -99,23 +99,43 @@ def posts(spark, n, thread=1):
     return spark.createDataFrame(rows, "thread_id int, position int, author string, content string, title string")
 
 
-def test_thread_parts_lose_nothing(spark):
-    df = posts(spark, 23)
-    whole = exports.thread_documents(df).collect()
-    parts = exports.thread_documents(df, part_size=4).orderBy("part").collect()
-    assert len(whole) == 1 and len(parts) == 6
-    assert "\n\n".join(p.content for p in parts) == whole[0].content
-    assert whole[0].content.startswith("Thread: Big\n\n[u0]: text 0\n\nmore 0\n\n[u1]")
-    assert "[u3]" not in whole[0].content
-
-
-def test_chunks_of_parts_equal_chunks_of_the_whole(spark):
-    df = posts(spark, 23).unionByName(posts(spark, 5, thread=2))
-    def chunks(size):
-        rows = exports.paragraph_chunks(exports.thread_documents(df, part_size=size))
-        return sorted((r.thread_id, r.chunk_index, r.content) for r in rows.collect())
-    assert chunks(1000) == chunks(4) == chunks(3) == chunks(1)
-    assert chunks(1000)[0][2].count("\n\n") == 3
+def test_threads_stay_whole(spark):
+    rows = exports.thread_documents(posts(spark, 2500)).collect()
+    assert len(rows) == 1 and "[u3]" not in rows[0].content
+    assert rows[0].content.startswith("Thread: Big\n\n[u0]: text 0\n\nmore 0\n\n[u1]")
+    assert rows[0].content.endswith("[u2499]: text 2499\n\nmore 2499")
+
+
+def test_chunks_of_long_threads_equal_brute_force(spark):
+    df = posts(spark, 2500).unionByName(posts(spark, 5, thread=2)).unionByName(posts(spark, 1001, thread=3))
+    got = {(r.thread_id, r.chunk_index): r.content for r in exports.thread_chunks(df.repartition(7)).collect()}
+    want = {}
+    for r in exports.thread_documents(df).collect():
+        paragraphs = r.content.split("\n\n")
+        want |= {(r.thread_id, i // 4): "\n\n".join(paragraphs[i:i + 4]) for i in range(0, len(paragraphs), 4)}
+    assert got == want and len(got) == exports.thread_chunks(df).count()
+
+
+def test_long_transcripts_stay_whole_and_ids_unique(spark):
+    df = posts(spark, 2500).withColumn("content", F.expr("array_join(transform(sequence(0, position % 5), i -> concat('w', position, '_', i)), ' ')"))
+    df = df.unionByName(posts(spark, 3, thread=2)).unionByName(posts(spark, 1, thread=5).withColumn("content", F.lit(" ")))
+    docs = exports.transcript_documents(df).collect()
+    assert len(docs) == 3 and len({r.source_url for r in docs}) == 3
+    rows = exports.transcript_chunks(df.repartition(5)).collect()
+    got = {(r.thread_id, r.chunk_index): r.content for r in rows}
+    assert len(got) == len(rows)
+    want = {}
+    for r in docs:
+        w, start = r.content.split(), 0
+        while w:
+            want[r.thread_id, start // 462] = " ".join(w[start:start + 512])
+            if start + 512 >= len(w):
+                break
+            start += 462
+    assert got == want
+    ids_of = ingest.ingest(exports.transcript_documents(df).withColumnRenamed("content", "raw_content").withColumn(
+        "source_type", F.lit("youtube")).withColumn("acquired_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
+    assert ids_of.count() == ids_of.select("chunk_id").distinct().count() == len(want)
 
 
 def test_transcript_order(spark):
@@ -130,6 +150,17 @@ def test_chunk_table_round_trip(spark, tmp_path):
     path = str(tmp_path / "chunks")
     files.write_chunks(chunks, path)
     back = spark.read.parquet(path)
+    key = ["chunk_id", "source_type", "content_hash", "content", "evidence_tier", "acquired_at", "published_at"]
+    want = sorted(map(str, chunks.withColumnRenamed("evidence_tier_default", "evidence_tier").select(key).collect()))
+    assert sorted(map(str, files.read_chunks(spark, path).select(key).collect())) == want
+    files.chunk_json(chunks).coalesce(3).write.text(str(tmp_path / "lines"))  # many rows per file
+    write(str(tmp_path / "lines"), "bad.json", '{"chunk_id": "x"}\n\nnot json\n{"chunk_id": "y", "document_id": 3\n')
+    good, bad = files.read_chunk_lines(spark, str(tmp_path / "lines"))
+    assert sorted(map(str, good.select(key).collect())) == want
+    assert sorted(r.reason for r in bad.collect()) == ["missing: document_id, content", "not a JSON object", "not a JSON object"]
+    as_json = str(tmp_path / "json_table")
+    files.write_chunks(chunks, as_json, "json")
+    assert sorted(map(str, files.read_chunks(spark, as_json, "json").select(key).collect())) == want
     key = ["chunk_id", "source_type", "content_hash", "content"]
     assert sorted(map(tuple, back.select(key).collect())) == sorted(map(tuple, chunks.select(key).collect()))
     assert back.filter("source_type = 'forum'").count() == chunks.filter("source_type = 'forum'").count()
@@ -147,7 +178,9 @@ def test_chunk_json_files_and_triple_files(spark, tmp_path):
     os.mkdir(d)
     write(d, "a.json", json.dumps({"chunk_id": "a", "document_id": "d", "content": "x", "published_at": ""}, indent=2))
     write(d, "b.json", "{broken")
-    row = files.read_chunks(spark, d).collect()
+    good, bad = files.read_chunk_documents(spark, d)
+    assert [r.reason for r in bad.collect()] == ["not a JSON object"]
+    row = good.collect()
     assert len(row) == 1 and row[0].evidence_tier == 3 and row[0].published_at is None
     assert str(row[0].acquired_at) == "2024-01-01 00:00:00" and row[0].source_type == "unknown"
 
