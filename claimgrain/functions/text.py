@@ -169,6 +169,31 @@ def detect_language(col: Column) -> Column:
     return F.when(F.length(col) >= 20, F.lit("en"))
 
 
+# ---- fixed values: frequent words of each language, for the vote ---------------------------
+STOP_WORDS = {
+    "de": ["der", "die", "das", "und", "in", "zu", "den", "von", "mit", "ist", "im", "ein", "eine",
+           "nicht", "auf", "des", "dem", "sich"],
+    "en": ["the", "of", "and", "to", "in", "is", "that", "it", "was", "for", "are", "by", "with", "as",
+           "on", "be", "at", "this"],
+    "es": ["el", "la", "los", "las", "de", "y", "en", "que", "un", "una", "por", "con", "del", "se",
+           "para", "es", "su", "al"],
+    "fr": ["le", "la", "les", "de", "des", "et", "un", "une", "en", "que", "pour", "dans", "sur", "qui",
+           "au", "du", "par", "est"],
+}
+
+
+def vote_language(col: Column) -> Column:
+    """The language most of whose frequent words stand in the text; ties go to the first by
+    name, NULL without any. One count per language, no explode."""
+    lowered = F.lower(col)
+    votes = F.array(*[F.struct(
+        F.regexp_count(lowered, F.lit(rf"(?<![\p{{L}}])(?:{'|'.join(words)})(?![\p{{L}}])")).alias("n"),
+        F.lit(-i).alias("place"), F.lit(lang).alias("lang"))
+        for i, (lang, words) in enumerate(sorted(STOP_WORDS.items()))])
+    best = F.array_max(votes)
+    return F.when(best["n"] > 0, best["lang"])
+
+
 def words(col: Column) -> Column:
     """Whitespace-separated words; empty array for blank text."""
     trimmed = strip_blank(col)

@@ -17,6 +17,37 @@ def pseudonymize(events: DataFrame, salt: bytes) -> DataFrame:
     return events.withColumn("ip_hash", ids.ip_pseudonym(F.col("ip"), salt)).drop("ip")
 
 
+LOG_COLUMNS = ["event_id", "event_type", "timestamp", "request_id", "role", "data", "ip_hash"]
+
+
+def log_rows(events: DataFrame, salt: bytes) -> DataFrame:
+    """Events as the log stores them: address pseudonymised, ids made where they are missing.
+
+    ``event_id`` is a hash of the whole event, so appending a batch again after a lost job adds
+    rows that ``read_log`` drops. A missing request id is made from the event in the same way.
+    """
+    stored = pseudonymize(events, salt)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
+             ("event_type", "role", "data", "ip_hash")]
+    content = F.concat_ws("\x1f", ids.isoformat(F.col("timestamp")), *parts)
+    made = F.substring(F.sha2(F.concat(F.lit("request\x1f"), content), 256), 1, 32)
+    request = F.coalesce(F.nullif(F.col("request_id"), F.lit("")), made)
+    return (stored.withColumn("request_id", request)
+            .withColumn("event_id", F.sha2(F.concat_ws("\x1f", content, "request_id"), 256))
+            .select(*LOG_COLUMNS))
+
+
+def append_log(events: DataFrame, path: str, salt: bytes) -> None:
+    """Append events to a log partitioned by day; nothing that is there is read or rewritten."""
+    (log_rows(events, salt).withColumn("day", F.to_date("timestamp"))
+     .write.mode("append").partitionBy("day").parquet(path))
+
+
+def read_log(spark, path: str) -> DataFrame:
+    """The log with events that were appended twice once."""
+    return spark.read.parquet(path).dropDuplicates(["event_id"]).select(*LOG_COLUMNS)
+
+
 def event_condition(event_type: str | None = None, role: str | None = None, since: str | None = None,
                     until: str | None = None, prefix: str | None = None) -> Column:
     """Filter shared by search and count, so that totals match the rows."""

@@ -60,16 +60,17 @@ def graph_counts(triples: DataFrame) -> DataFrame:
 
 
 def neighbors(edges: DataFrame, entities: DataFrame, relation: str | None = None) -> DataFrame:
-    """Outgoing and incoming edges of each entity; a self-loop appears in both."""
+    """Outgoing and incoming edges of each entity; a self-loop appears in both.
+
+    Every edge becomes its two directed rows, so edges are read once and joined once."""
     if relation is not None:
         edges = edges.filter(F.col("relation") == relation)
-    wanted = entities.select("entity").distinct()
-    attrs = ["relation", "evidence_tier", "confidence"]
-    out = edges.join(wanted, edges.src == wanted.entity).select(
-        "entity", F.col("dst").alias("neighbor"), F.lit("outgoing").alias("direction"), *attrs)
-    inc = edges.join(wanted, edges.dst == wanted.entity).select(
-        "entity", F.col("src").alias("neighbor"), F.lit("incoming").alias("direction"), *attrs)
-    return out.unionByName(inc)
+    side = lambda own, other, name: F.struct(
+        F.col(own).alias("entity"), F.col(other).alias("neighbor"), F.lit(name).alias("direction"))
+    directed = edges.select(
+        F.inline(F.array(side("src", "dst", "outgoing"), side("dst", "src", "incoming"))),
+        "relation", "evidence_tier", "confidence")
+    return directed.join(entities.select("entity").distinct(), "entity", "left_semi")
 
 
 def contraindications(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -83,6 +84,23 @@ def _keep_first(rows: DataFrame, by: list[str], order: list[str], limit: int) ->
             .filter(F.col("_pos") <= limit).drop("_pos"))
 
 
+def _meet(pairs: DataFrame, heads: DataFrame, ends: DataFrame) -> DataFrame:
+    """``heads(source, y, ...)`` and ``ends(target, y, ...)`` of each pair that share ``y``.
+
+    A pair is expanded from its smaller side and the other side is met on the full key, so its
+    rows are the smaller of the two lists and a hub's many heads are not multiplied by its
+    targets. A pair with an empty side has no rows.
+    """
+    h = heads.groupBy("source").agg(F.count(F.lit(1)).alias("_heads"))
+    e = ends.groupBy("target").agg(F.count(F.lit(1)).alias("_ends"))
+    sized = pairs.join(h, "source").join(e, "target")
+    from_heads = (sized.filter("_heads <= _ends").select("source", "target")
+                  .join(heads, "source").join(ends, ["target", "y"]))
+    from_ends = (sized.filter("_heads > _ends").select("source", "target")
+                 .join(ends, "target").join(heads, ["source", "y"]))
+    return from_heads.unionByName(from_ends)
+
+
 def evidence_paths(edges: DataFrame, pairs: DataFrame, limit: int = MAX_PATHS) -> DataFrame:
     """Directed simple paths of at most four edges, shortest first, ``limit`` per pair.
 
@@ -91,53 +109,51 @@ def evidence_paths(edges: DataFrame, pairs: DataFrame, limit: int = MAX_PATHS) -
     are made once per source and tails once per target, and both keep only the first
     ``limit + 2`` middle nodes per end node. That is exact: a path using a later middle node
     can swap it for any kept one except the at most two that already occur in the path, so
-    at least ``limit`` paths come before it. A hub with a third of all edges therefore adds
-    a bounded list per node instead of all its in-out combinations.
+    at least ``limit`` paths come before it. Pairs meet heads and tails from the smaller side
+    (``_meet``), so a hub with a third of all edges adds a bounded list per node.
     """
     pair = ["source", "target"]
     links = edges.filter("src <> dst").select("src", "dst").distinct()
-    into = links.select(F.col("src").alias("last"), F.col("dst").alias("end"))
+    into = links.select(F.col("src").alias("y"), F.col("dst").alias("target"))
     wanted = pairs.select(*pair).filter("source <> target").distinct()
-    ends_at = lambda node: (F.col(node) == F.col("last")) & (F.col("target") == F.col("end"))
 
     def short_of(found: DataFrame) -> DataFrame:
         enough = (found.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"))
                   .filter(F.col("n") >= limit).select(*pair))
         return wanted.join(enough, pair, "left_anti")
 
-    one = wanted.join(into, ends_at("source")).select(*pair, F.array(*pair).alias("path"))
+    def first_paths(rows: DataFrame, *nodes: str) -> DataFrame:
+        return _keep_first(rows.select(*pair, F.array(*nodes).alias("path")), pair, ["path"], limit)
+
+    one = wanted.join(into.withColumnRenamed("y", "source"), pair).select(
+        *pair, F.array(*pair).alias("path"))
 
     first_hop = wanted.select("source").distinct().join(
         links, F.col("source") == F.col("src")).select("source", F.col("dst").alias("x"))
-    two = _keep_first(
-        wanted.join(first_hop, "source").filter("x <> target").join(into, ends_at("x"))
-        .select(*pair, F.array("source", "x", "target").alias("path")), pair, ["path"], limit)
-
     heads = _keep_first(
         first_hop.join(links, F.col("x") == F.col("src")).filter("dst <> source")
         .select("source", "x", F.col("dst").alias("y")), ["source", "y"], ["x"], limit + 2)
+    two = first_paths(wanted.join(heads.withColumnRenamed("y", "target"), pair),
+                      "source", "x", "target")
+
     upto2 = one.unionByName(two)
-    three = _keep_first(
-        short_of(upto2).join(heads, "source").filter("x <> target and y <> target")
-        .join(into, ends_at("y"))
-        .select(*pair, F.array("source", "x", "y", "target").alias("path")), pair, ["path"], limit)
+    three = first_paths(_meet(short_of(upto2), heads, into).filter("x <> target"),
+                        "source", "x", "y", "target")
 
     upto3 = upto2.unionByName(three)
     need4 = short_of(upto3)
-    last_hop = need4.select("target").distinct().join(
-        into, F.col("target") == F.col("end")).select("target", F.col("last").alias("z"))
+    last_hop = need4.select("target").distinct().join(into, "target").select(
+        "target", F.col("y").alias("z"))
     tails = _keep_first(
         last_hop.join(links, F.col("z") == F.col("dst")).filter("src <> target")
         .select("target", F.col("src").alias("y"), "z"), ["target", "y"], ["z"], limit + 2)
     tail_lists = tails.groupBy("target", "y").agg(F.array_sort(F.collect_list("z")).alias("zs"))
     usable = F.slice(F.filter("zs", lambda z: (z != F.col("x")) & (z != F.col("source"))), 1, limit)
-    meet = (need4.join(heads, "source").filter("x <> target and y <> target")
-            .join(tail_lists, ["target", "y"]).withColumn("zs", usable).filter(F.size("zs") > 0))
-    four = _keep_first(
+    meet = (_meet(need4, heads, tail_lists).filter("x <> target and y <> target")
+            .withColumn("zs", usable).filter(F.size("zs") > 0))
+    four = first_paths(
         _keep_first(meet, pair, ["x", "y"], limit)
-        .select(*pair, "x", "y", F.explode("zs").alias("z"))
-        .select(*pair, F.array("source", "x", "y", "z", "target").alias("path")),
-        pair, ["path"], limit)
+        .select(*pair, "x", "y", F.explode("zs").alias("z")), "source", "x", "y", "z", "target")
 
     ranked = Window.partitionBy(*pair).orderBy("hops", "path")
     return (upto3.unionByName(four).withColumn("hops", F.size("path") - 1)
@@ -152,6 +168,13 @@ def edge_lines(edges: DataFrame) -> DataFrame:
         "evidence_tier", "source_chunk_id", "confidence")).alias("value"))
 
 
+def supports(edges: DataFrame) -> DataFrame:
+    """``id, entity``: the chunks that edges rest on, and the entities of those edges."""
+    return edges.filter("source_chunk_id <> ''").select(
+        F.col("source_chunk_id").alias("id"),
+        F.explode(F.array("src", "dst")).alias("entity")).distinct()
+
+
 def expand_hits(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """Chunks reached through the graph from each query's hits, without a similarity.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgrain.functions import scoring
-from claimgrain.operators.graph import expand_hits
+from claimgrain.operators.graph import supports
 
 
 def rank_evidence(hits: DataFrame, as_of: Column, key: str = "query_id",
@@ -25,19 +25,26 @@ _AFTER_HITS = 1_000_000_000
 
 
 def hybrid_topk(hits: DataFrame, edges: DataFrame, meta: DataFrame, as_of: Column,
-                k: int = 20) -> DataFrame:
+                k: int = 20, hits_per_query: int = 10) -> DataFrame:
     """Vector hits plus the chunks their graph neighbourhood rests on, ranked together.
 
-    ``hits(query_id, id, similarity, retrieval_rank)``, ``meta(id, chunk_id, evidence_tier,
-    published_at)``. Chunks found through the graph have no similarity and score with the
-    default relevance.
+    ``hits(query_id, id, similarity, retrieval_rank)`` with at most ``hits_per_query`` rows per
+    query, ``meta(id, chunk_id, evidence_tier, published_at)``. Chunks found through the graph
+    have no similarity and score with the default relevance.
+
+    That score does not depend on the query, so every entity's chunks are ranked once and only
+    its first ``k + hits_per_query`` can matter: at most ``hits_per_query`` of them are hits
+    themselves. A query's pool is the union of those lists over its entities, however many
+    chunks a hub entity supports.
     """
-    grown = expand_hits(hits.withColumnRenamed("id", "chunk_id"), edges).withColumnRenamed(
-        "chunk_id", "id")
-    new = (grown.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
-           .withColumn("similarity", F.lit(None).cast("double"))
-           .withColumn("retrieval_rank", F.lit(_AFTER_HITS)))
-    pool = hits.select("query_id", "id", "similarity", "retrieval_rank").unionByName(new)
-    ranked = rank_evidence(pool.join(meta, "id"), as_of,
+    own = hits.select("query_id", "id", "similarity", "retrieval_rank")
+    ends = supports(edges)
+    reached = own.join(ends, "id").select("query_id", "entity").distinct()
+    unseen = (ends.join(meta, "id").withColumn("similarity", F.lit(None).cast("double"))
+              .withColumn("retrieval_rank", F.lit(_AFTER_HITS)))
+    lists = rank_evidence(unseen, as_of, key="entity", tiebreak=("chunk_id",), k=k + hits_per_query)
+    grown = reached.join(lists.drop("score", "rank"), "entity").drop("entity").distinct()
+    new = grown.join(own.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    ranked = rank_evidence(own.join(meta, "id").unionByName(new), as_of,
                            tiebreak=("retrieval_rank", "chunk_id"), k=k)
     return ranked.withColumn("from_graph", F.col("retrieval_rank") == _AFTER_HITS)

@@ -26,7 +26,7 @@ SELECT document_id, source_name, source_type, source_url, evidence_tier,
   strftime(acquired_at, '%Y-%m-%d %H:%M:%S') AS acquired_at, chunk_count
 FROM grouped ORDER BY grouped.acquired_at DESC, document_id LIMIT 100 OFFSET 20"""))
 def list_sources(spark, sf):
-    page = catalog.list_sources(ad.chunks(spark, sf), tier=3, limit=100, offset=20)
+    page = catalog.list_sources(ad.chunks(spark, sf, tier=3), tier=3, limit=100, offset=20)
     return page.withColumn("acquired_at", F.date_format("acquired_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -41,7 +41,7 @@ def all_sources(spark, sf):
 @register("count_sources", q.query(q.ALL_CHUNKS, """
 SELECT count(DISTINCT document_id) AS total FROM chunks WHERE evidence_tier = 3"""))
 def count_sources(spark, sf):
-    return catalog.count_sources(ad.chunks(spark, sf), tier=3)
+    return catalog.count_sources(ad.chunks(spark, sf, tier=3), tier=3)
 
 
 @register("list_chunks", q.query(q.ALL_CHUNKS, """
@@ -50,7 +50,7 @@ SELECT chunk_id, document_id, source_name, source_type, source_url, evidence_tie
   substr(content, 1, 200) || CASE WHEN length(content) > 200 THEN '…' ELSE '' END AS snippet
 FROM chunks WHERE source_type = 'pubmed' AND evidence_tier = 1 ORDER BY chunk_id LIMIT 50 OFFSET 10"""))
 def list_chunks(spark, sf):
-    page = catalog.list_chunks(ad.chunks(spark, sf), source_type="pubmed", tier=1, limit=50, offset=10)
+    page = catalog.list_chunks(ad.chunks(spark, sf, "pubmed", 1), source_type="pubmed", tier=1, limit=50, offset=10)
     return page.withColumn("acquired_at", F.date_format("acquired_at", "yyyy-MM-dd HH:mm:ss"))
 
 

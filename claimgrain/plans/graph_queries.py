@@ -102,13 +102,16 @@ SELECT src AS entity, dst AS neighbor, 'outgoing' AS direction, relation, eviden
 UNION ALL SELECT dst, src, 'incoming', relation, evidence_tier, confidence FROM edges %s"""
 
 
-def _entities(spark, sf):
-    return graph.build_nodes(ad.linked_triples(spark, sf)).select(F.col("id").alias("entity"))
+def _neighbors(spark, sf, relation=None):
+    """Every entity asks; edges are made once and stored."""
+    edges = stored(ad.edges(spark, sf), "edges")
+    entities = edges.select(F.explode(F.array("src", "dst")).alias("entity"))
+    return graph.neighbors(edges, entities, relation)
 
 
 @register("graph_neighbors", q.query(q.EDGES, _BOTH % ("", "")))
 def graph_neighbors(spark, sf):
-    return graph.neighbors(ad.edges(spark, sf), _entities(spark, sf))
+    return _neighbors(spark, sf)
 
 
 _ONLY = "WHERE relation = 'CONTRAINDICATED_WITH'"
@@ -116,7 +119,7 @@ _ONLY = "WHERE relation = 'CONTRAINDICATED_WITH'"
 
 @register("contraindications", q.query(q.EDGES, _BOTH % (_ONLY, _ONLY)))
 def contraindications(spark, sf):
-    return graph.contraindications(ad.edges(spark, sf), _entities(spark, sf))
+    return _neighbors(spark, sf, dims.CONTRAINDICATION)
 
 
 @register("evidence_paths", q.query(q.EDGES + """,

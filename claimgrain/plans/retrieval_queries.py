@@ -109,9 +109,9 @@ def embed(rows: DataFrame, ident: str, content: str, name: str) -> DataFrame:
     return rows.select(F.col(ident).alias(name), hash_vector(F.col(content)).alias("vector"))
 
 
-def text_hits(spark, sf, queries: DataFrame, k: int, where: str = "true") -> DataFrame:
+def text_hits(spark, sf, queries: DataFrame, k: int, **kind) -> DataFrame:
     """Top-k chunks of each query; ``doc_id`` leads back to the text."""
-    chunks = ad.chunks(spark, sf).filter(where).withColumn(
+    chunks = ad.chunks(spark, sf, **kind).withColumn(
         "key", F.concat_ws("|", "chunk_id", F.col("doc_id").cast("string")))
     hits = retrieval.vector_topk(embed(queries, "query_id", "query", "query_id"),
                                  embed(chunks, "key", "content", "id"), k)
@@ -167,7 +167,7 @@ FROM hits h JOIN chunks c ON c.chunk_id = h.id"""))
 def chunk_search(spark, sf):
     """Semantic search within a metadata filter, with snippets."""
     hits = text_hits(spark, sf, _benchmark_queries(spark, sf), 5,
-                     "source_type = 'document' AND evidence_tier = 2")
+                     source_type="document", tier=2)
     return with_text(spark, sf, hits).select(
         "query_id", F.col("retrieval_rank").cast("bigint").alias("rank"), "chunk_id",
         "document_id", "source_name", snippet(F.col("content")).alias("snippet"))

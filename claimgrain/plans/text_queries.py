@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimgrain import dims
 from claimgrain.functions import chunking, ids, scoring, text
-from claimgrain.operators import ingest
+from claimgrain.operators import ingest, privacy
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
 from claimgrain.sources import adapters as ad
@@ -41,15 +41,40 @@ def detect_language(spark, sf):
         "doc_id", text.detect_language(F.col("raw_content")).alias("detected"))
 
 
-@register("language_accuracy", """
-SELECT lang, CASE WHEN length(text) >= 20 THEN 'en' ELSE 'none' END AS detected, count(*) AS documents
-FROM documents GROUP BY ALL""")
+# The vote written out: one row per word, joined with the frequent words of each language.
+@register("language_accuracy", r"""
+WITH stop(lang, w) AS (
+  SELECT 'de', unnest(string_split('der die das und in zu den von mit ist im ein eine nicht auf des dem sich', ' '))
+  UNION ALL SELECT 'en', unnest(string_split('the of and to in is that it was for are by with as on be at this', ' '))
+  UNION ALL SELECT 'es', unnest(string_split('el la los las de y en que un una por con del se para es su al', ' '))
+  UNION ALL SELECT 'fr', unnest(string_split('le la les de des et un une en que pour dans sur qui au du par est', ' '))),
+tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents),
+votes AS (SELECT doc_id, stop.lang, count(*) AS n FROM tokens JOIN stop USING (w) GROUP BY ALL),
+best AS (SELECT doc_id, lang FROM votes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) = 1)
+SELECT d.lang, coalesce(b.lang, 'none') AS detected, count(*) AS documents
+FROM documents d LEFT JOIN best b USING (doc_id) GROUP BY ALL""")
 def language_accuracy(spark, sf):
-    found = F.coalesce(text.detect_language(F.col("text")), F.lit("none"))
-    return (ad.table(spark, sf, "documents").groupBy("lang", found.alias("detected"))
+    """How often the stop-word vote finds the language the table names."""
+    found = F.coalesce(text.vote_language(F.col("text")), F.lit("none"))
+    return (ad.documents(spark, sf).groupBy("lang", found.alias("detected"))
             .agg(F.count(F.lit(1)).alias("documents")))
 
 
+@register("pii_scan", """
+WITH e AS (SELECT doc_id, text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}' AS p FROM documents),
+f AS (SELECT doc_id, len(regexp_extract_all(text, p)) AS n_email, regexp_replace(text, p, '[email]', 'g') AS t,
+  '([+][0-9]{1,3}[ .-]?)?([(][0-9]{3}[)] ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}' AS p FROM e),
+g AS (SELECT doc_id, n_email, len(regexp_extract_all(t, p)) AS n_phone, regexp_replace(t, p, '[phone]', 'g') AS t,
+  '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}' AS p FROM f),
+h AS (SELECT doc_id, n_email, n_phone, len(regexp_extract_all(t, p)) AS n_address, regexp_replace(t, p, '[address]', 'g') AS t,
+  '[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9,}' AS p FROM g)
+SELECT doc_id, n_email, n_phone, n_address, len(regexp_extract_all(t, p)) AS n_number,
+  regexp_replace(t, p, '[number]', 'g') AS redacted FROM h""")
+def pii_scan(spark, sf):
+    return privacy.pii_scan(ad.documents(spark, sf)).select(
+        "doc_id", "n_email", "n_phone", "n_address", "n_number", "redacted")
+
+
 @register("chunk_tokens", """
 WITH w AS (SELECT doc_id, %s AS words FROM documents),
 n AS (SELECT *, CASE WHEN len(words) = 0 THEN 0

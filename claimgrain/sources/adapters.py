@@ -77,9 +77,18 @@ def shape_docs(documents: DataFrame) -> DataFrame:
         raw.alias("raw_content"))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk table of all documents."""
-    return ingest.ingest(docs_meta(spark, sf_dir))
+def chunks(spark: SparkSession, sf_dir: str, source_type: str | None = None,
+           tier: int | None = None) -> DataFrame:
+    """The chunk table of all documents, or of those of one type and tier.
+
+    Both follow from the source columns, so the condition is put to the documents: others are
+    neither cleaned nor cut."""
+    docs = docs_meta(spark, sf_dir)
+    if source_type is not None:
+        docs = docs.filter(F.col("source_type") == source_type)
+    if tier is not None:
+        docs = docs.filter(scoring.infer_tier(F.col("source_type"), F.col("source_name")) == tier)
+    return ingest.ingest(docs)
 
 
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
