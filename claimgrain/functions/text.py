@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from functools import reduce
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -139,13 +140,27 @@ def decode_entities(col: Column) -> Column:
     return F.coalesce(_unescape(F.when(rare, col)), _decode_entities(col))
 
 
+_NAMES = "|".join(DROPPED_ELEMENTS)
+
+
 def element_patterns() -> list[str]:
-    """One pattern per dropped element: open tag to close tag, or to the end if unclosed."""
-    return [rf"(?is)<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in DROPPED_ELEMENTS]
+    """One pattern per dropped element, open tag to close tag."""
+    return [rf"(?is)<{t}(?=[\s>/])[^>]*>.*?</{t}\s*>" for t in DROPPED_ELEMENTS]
 
 
 # A comment, declaration or tag: what separates two text nodes.
 TAG = r"(?s)<!--.*?-->|<[!?][^>]*>|</?[a-zA-Z][^>]*>"
+# An attribute value that holds a ">" before its closing quote.
+QUOTED_END = r"""<[a-zA-Z][^<>]*=\s*(?:"[^"<>]*>|'[^'<>]*>)"""
+
+
+def needs_tree(col: Column) -> Column:
+    """Pages the patterns would misread: dropped elements that nest or stay open, and tags with
+    a ``>`` inside an attribute."""
+    marks = F.lower(F.array_join(F.regexp_extract_all(
+        col, F.lit(rf"(?i)(</?(?:{_NAMES}))(?=[\s>/])"), F.lit(1)), ""))
+    pairs = "|".join(f"<{t}</{t}" for t in DROPPED_ELEMENTS)
+    return ~marks.rlike(f"^(?:{pairs})*$") | col.rlike(QUOTED_END)
 
 
 def visible_text(col: Column) -> Column:
@@ -157,11 +172,81 @@ def visible_text(col: Column) -> Column:
     return F.array_join(F.filter(nodes, lambda n: n != ""), " ")
 
 
+class _Page(HTMLParser):
+    """Visible text of one page: a stack of open elements, text kept outside dropped ones. A
+    close tag closes everything opened since its element; without such an element it is
+    ignored."""
+
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
+            "source", "track", "wbr"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.dropped = 0
+        self.nodes: list[str] = []
+        self.node: list[str] = []
+
+    def flush(self) -> None:
+        text = "".join(self.node).strip()
+        if text:
+            self.nodes.append(text)
+        self.node = []
+
+    def handle_starttag(self, tag, attrs) -> None:
+        self.flush()
+        if tag not in self.VOID:
+            self.open.append(tag)
+            self.dropped += tag in DROPPED_ELEMENTS
+
+    def handle_startendtag(self, tag, attrs) -> None:
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_endtag(self, tag) -> None:
+        self.flush()
+        if tag in self.open:
+            while True:
+                last = self.open.pop()
+                self.dropped -= last in DROPPED_ELEMENTS
+                if last == tag:
+                    break
+
+    def handle_data(self, data) -> None:
+        if not self.dropped:
+            self.node.append(data)
+
+    def handle_comment(self, data) -> None:
+        self.flush()
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    @classmethod
+    def text(cls, html_text: str) -> str:
+        page = cls()
+        page.feed(html_text)
+        page.close()
+        page.flush()
+        return " ".join(page.nodes)
+
+
+@F.pandas_udf(StringType())
+def _tree_text(html_text: pd.Series) -> pd.Series:
+    return html_text.map(_Page.text, na_action="ignore")
+
+
+_tree_text = _tree_text.asNondeterministic()
+
+
 def clean_html(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Text of a page column. In two steps, so that the markup chain runs once per row and
-    the decoder reads its stored result."""
-    return (df.withColumn(into, visible_text(F.col(column)))
-            .withColumn(into, decode_entities(F.col(into))))
+    """Text of a page column. In steps, so that the markup chain runs once per row and the
+    decoder reads its stored result. Well-paired pages stay in the JVM; the others are read by
+    a tree parser."""
+    html_text = F.col(column)
+    hard = F.when(needs_tree(F.coalesce(html_text, F.lit(""))), html_text)
+    return (df.withColumn("_tree", _tree_text(hard))
+            .withColumn(into, F.when(F.col("_tree").isNull(), visible_text(html_text)))
+            .withColumn(into, F.coalesce("_tree", decode_entities(F.col(into)))).drop("_tree"))
 
 
 def detect_language(col: Column) -> Column:

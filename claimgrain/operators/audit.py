@@ -88,7 +88,7 @@ def window_alerts(events: DataFrame, ts: str = "timestamp", width: str = "1 hour
     """Error rate and latency p99 per tumbling window, with the two alert flags.
 
     The percentile is exact by default; it aggregates value -> count maps, so repeated
-    latencies cost one entry. Streams pass the approximate one.
+    latencies cost one entry. A caller with unbounded values can pass an approximate one.
     """
     p99 = F.percentile("latency_ms", F.lit(0.99)) if percentile is None else percentile
     return (events.groupBy(F.window(ts, width).alias("w"))

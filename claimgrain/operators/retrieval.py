@@ -2,7 +2,7 @@
 
 The score kernel is a numpy block product inside Arrow tasks. Two layouts feed it:
 
-* few queries (checked against ``max_broadcast``): their vectors are shipped to every task
+* few queries (checked in number and bytes): their vectors are shipped to every task
   and the corpus is scanned in place. Only k rows per query and task are shuffled.
 * more queries: corpus and queries are cut into blocks and every (corpus block, query block)
   pair is one cogroup. Blocks are made by hashing unique ids, so none can grow hot.
@@ -19,10 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 MAX_BROADCAST_QUERIES = 2048
-QUERIES_PER_BLOCK = 8192
+MAX_BROADCAST_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20     # vectors of one block, queries or corpus
 ROWS_PER_BLOCK = 50_000
+ROWS_PER_BUCKET = 2048
 SCORE_SCHEMA = "query_id string, id string, similarity double"
 # Scores are compared at nine places, so equal vectors tie whatever block they sit in.
 SCORE_PLACES = 9
@@ -97,7 +100,7 @@ def _final(partial: DataFrame, k: int) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
-                max_broadcast: int = MAX_BROADCAST_QUERIES, rows_per_block: int = ROWS_PER_BLOCK,
+                max_broadcast: int = MAX_BROADCAST_QUERIES, rows_per_block: int | None = None,
                 corpus_rows: int | None = None) -> DataFrame:
     """Exact cosine top-k. ``queries(query_id, vector)``, ``corpus(id, vector)``.
 
@@ -107,10 +110,11 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
     queries = queries.select(F.col("query_id").cast("string"), "vector")
     corpus = corpus.select(F.col("id").cast("string"), "vector")
     small = queries.limit(max_broadcast + 1).toArrow()
-    if small.num_rows <= max_broadcast:
+    if small.num_rows <= max_broadcast and small.nbytes <= MAX_BROADCAST_BYTES:
         return _final(_scan(small, corpus, k), k)
+    per_block = rows_per_block or max(256, BLOCK_BYTES // max(1, small.nbytes // small.num_rows))
     rows = corpus.count() if corpus_rows is None else corpus_rows
-    return _final(_blocks(queries, corpus, k, max(1, -(-rows // rows_per_block))), k)
+    return _final(_blocks(queries, corpus, k, -(-rows // per_block) or 1, per_block), k)
 
 
 def _scan(queries: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
@@ -142,9 +146,10 @@ def _block(col: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
 
-def _blocks(queries: DataFrame, corpus: DataFrame, k: int, n_corpus: int) -> DataFrame:
+def _blocks(queries: DataFrame, corpus: DataFrame, k: int, n_corpus: int,
+            per_block: int) -> DataFrame:
     """Blocked product: every corpus block meets every query block in one task each."""
-    n_query = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
+    n_query = max(1, -(-queries.count() // per_block))
     left = (corpus.withColumn("cb", _block(F.col("id"), n_corpus))
             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))))
     right = (queries.withColumn("qb", _block(F.col("query_id"), n_query))
@@ -164,24 +169,35 @@ def hyperplanes(dimensions: int, bits: int, seed: int = 7) -> np.ndarray:
 
 
 def signature(vector: Column, planes: np.ndarray) -> Column:
-    """Random-hyperplane bucket of a vector, as an expression."""
-    bucket = F.lit(0)
-    for bit, plane in enumerate(planes):
-        weights = F.array(*[F.lit(float(w)) for w in plane])
-        dot = F.aggregate(F.zip_with(vector, weights, lambda a, b: a * b), F.lit(0.0),
-                          lambda acc, x: acc + x)
-        bucket = bucket + F.when(dot >= 0, F.lit(1 << bit)).otherwise(F.lit(0))
-    return bucket
+    """Random-hyperplane bucket of a vector: one matrix product per batch."""
+    weights = 1 << np.arange(len(planes), dtype=np.int64)
+
+    @F.arrow_udf(LongType())
+    def buckets(column: pa.Array) -> pa.Array:
+        return pa.array((_matrix(column) @ planes.T >= 0) @ weights, pa.int64())
+
+    return buckets(vector)
+
+
+def ann_bits(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hyperplanes that leave about ``rows_per_bucket`` rows in a bucket, 16 at most."""
+    return min(16, max(4, (rows // rows_per_bucket).bit_length()))
 
 
 def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *, dimensions: int = 64,
-             bits: int = 6, probe_bits: int = 2, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+             bits: int | None = None, probe_bits: int = 2,
+             rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Approximate top-k: a query scores only buckets within ``probe_bits`` flipped bits.
 
+    ``bits`` follows from the number of corpus rows unless it is given: the share of the corpus
+    a query looks at falls as the corpus grows.
+
     Each corpus row lives in one bucket, so a stored corpus can be partitioned by it. A
     bucket is cut into sub-blocks by id hash as its count demands, so a bucket holding a
     third of the corpus is spread over as many tasks as its share needs.
     """
+    if bits is None:
+        bits = ann_bits(corpus.count())
     planes = hyperplanes(dimensions, bits)
     flips = [sum(1 << b for b in c) for r in range(probe_bits + 1)
              for c in combinations(range(bits), r)]
@@ -196,7 +212,7 @@ def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *, dimensions: i
             .withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
             .withColumn("qb", F.lit(0)).select("bucket", "cut", "id", "vector"))
     probes = queries.select("query_id", "vector", F.explode(F.transform(
-        F.array(*[F.lit(f) for f in flips]), lambda f: F.col("bucket").bitwiseXOR(f)))
+        F.array(*[F.lit(f) for f in flips]), lambda f: F.col("bucket").bitwiseXOR(f.cast("bigint"))))
         .alias("bucket"))
     right = (probes.join(F.broadcast(sizes), "bucket")
              .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))

@@ -32,7 +32,7 @@ def _shape(hits: DataFrame) -> DataFrame:
     f"SELECT {_HIT} FROM hits"))
 def vector_topk(spark, sf):
     return _shape(retrieval.vector_topk(ad.label_queries(spark, sf),
-                                        _corpus(ad.chunk_vectors(spark, sf)), 10))
+                                        _corpus(ad.chunk_vectors(spark, sf)), 10, bits=6))
 
 
 @register("vector_topk_filtered", q.query(
@@ -77,7 +77,7 @@ hits AS (
   FROM scored QUALIFY retrieval_rank <= 10)""", f"SELECT {_HIT} FROM hits"))
 def ann_topk(spark, sf):
     return _shape(retrieval.ann_topk(ad.label_queries(spark, sf),
-                                     _corpus(ad.chunk_vectors(spark, sf)), 10))
+                                     _corpus(ad.chunk_vectors(spark, sf)), 10, bits=6))
 
 
 @register("recency_boost", q.query(q.DOCS, f"""

@@ -33,30 +33,48 @@ def norm(e: str) -> str:
     return strip(sub(sub(e, r"[ \t\x{a0}\x{200b}\x{feff}]+", " "), r"\n{3,}", "\n\n"))
 
 
+# Written out here, not taken from the code under test, so that a wrong pattern shows.
+_BLANK = (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+          r"\x{205f}\x{3000}]")
+_BOILERPLATE = [
+    r"accept all cookies?[^\n]*\n?", r"privacy policy[^\n]*\n?",
+    r"terms (of service|and conditions)[^\n]*\n?", r"cookie (policy|notice|settings)[^\n]*\n?",
+    r"subscribe to our newsletter[^\n]*\n?", r"all rights reserved[^\n]*\n?",
+    r"copyright \d{4}[^\n]*\n?", r"skip to (main )?content[^\n]*\n?",
+    rf"menu{_BLANK}*(?:\n|$)", rf"^{_BLANK}*share (this|article|post)[^\n]*\n?"]
+_ELEMENTS = [
+    r"(?is)<script([\s/][^>]*)?>.*?</script\s*>", r"(?is)<style([\s/][^>]*)?>.*?</style\s*>",
+    r"(?is)<nav([\s/][^>]*)?>.*?</nav\s*>", r"(?is)<footer([\s/][^>]*)?>.*?</footer\s*>",
+    r"(?is)<header([\s/][^>]*)?>.*?</header\s*>"]
+_PARAGRAPH_END = r"\n" + _BLANK + r"*\n"
+_MARKUP = r"(?s)<!--.*?-->|<[!?][^>]*>|</?[a-zA-Z][^>]*>"
+_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"),
+               ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def boiler(e: str) -> str:
-    for pattern in text.boilerplate_patterns():
+    for pattern in _BOILERPLATE:
         e = sub(e, "(?im)" + pattern)
     return e
 
 
 def html(e: str) -> str:
-    for pattern in text.element_patterns():
+    for pattern in _ELEMENTS:
         e = sub(e, pattern, "<br>")
-    nodes = f"list_transform(regexp_split_to_array({e}, {lit(text.TAG)}), lambda x: {strip('x')})"
+    nodes = f"list_transform(regexp_split_to_array({e}, {lit(_MARKUP)}), lambda x: {strip('x')})"
     out = f"array_to_string(list_filter({nodes}, lambda x: x <> ''), ' ')"
-    for entity, char in text.ENTITIES.items():
+    for entity, char in _REFERENCES:
         out = f"replace({out}, {lit(entity)}, {lit(char)})"
-    return f"replace({out}, '&amp;', '&')"
+    return out
 
 
 def words(e: str) -> str:
     return (f"CASE WHEN {strip(e)} = '' THEN CAST([] AS VARCHAR[]) "
-            f"ELSE regexp_split_to_array({strip(e)}, {lit(text.BLANK + '+')}) END")
+            f"ELSE regexp_split_to_array({strip(e)}, {lit(_BLANK + '+')}) END")
 
 
 def paras(e: str) -> str:
-    from claimgrain.functions.chunking import PARAGRAPH_END
-    parts = f"list_transform(regexp_split_to_array({e}, {lit(PARAGRAPH_END)}), lambda x: {strip('x')})"
+    parts = f"list_transform(regexp_split_to_array({e}, {lit(_PARAGRAPH_END)}), lambda x: {strip('x')})"
     return f"list_filter({parts}, lambda x: x <> '')"
 
 

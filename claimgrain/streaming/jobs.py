@@ -42,10 +42,12 @@ def current_chunks(spark: SparkSession, table: str) -> DataFrame:
 
 
 def alert_stream(events: DataFrame, table: str, checkpoint: str) -> None:
-    """Hourly error-rate and latency alerts, rewritten in full on every trigger.
+    """Hourly error-rate and latency alerts in update mode.
 
-    Complete mode emits every window, the last one included. The state holds one entry per
-    hour. The exact percentile's state is bounded by the number of distinct milliseconds.
+    Each trigger writes only the windows that changed; the watermark lets the state forget a
+    window an hour after it closed, so the state holds the open hours however long the stream
+    runs. The last window is written like any other. ``latest_alerts`` reads the newest row per
+    window. A trigger that is run again overwrites its own folder.
     """
     stamped = (events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
                .withWatermark("timestamp", "1 hour"))
@@ -53,11 +55,9 @@ def alert_stream(events: DataFrame, table: str, checkpoint: str) -> None:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/run={number}")
 
-    _drain(audit.window_alerts(stamped).writeStream.outputMode("complete").foreachBatch(write),
+    _drain(audit.window_alerts(stamped).writeStream.outputMode("update").foreachBatch(write),
            checkpoint)
 
 
 def latest_alerts(spark: SparkSession, table: str) -> DataFrame:
-    rows = spark.read.parquet(table)
-    last = rows.agg(F.max("run").alias("run"))
-    return rows.join(F.broadcast(last), "run", "left_semi").drop("run")
+    return ingest.latest_per_key(spark.read.parquet(table), "window_start", "run").drop("run")

@@ -48,7 +48,7 @@ def test_scan_layout_is_exact(spark, data, k):
 
 @pytest.mark.parametrize("rows", [37, 1000])
 def test_block_layout_is_exact(spark, data, rows, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 3 * 64 * 8)
     ids, m, qs, q = data
     got = retrieval.vector_topk(frame(spark, "query_id", qs, q), frame(spark, "id", ids, m), 20,
                                 max_broadcast=2, rows_per_block=rows)

@@ -88,6 +88,25 @@ def test_detect_language(spark):
     assert one(spark, "long enough to be called English", text.detect_language) == "en"
 
 
+@pytest.mark.parametrize("raw, want", [
+    ("<nav>a<nav>b</nav>menu-tail</nav>left", "left"), ("<div><nav>x</div><p>kept?</p>", "kept?"),
+    ("<header-bar>in</header-bar> out", "in out"), ('<p title="a>b">z</p>', "z"),
+    ("<p title='a>b'>z<nav title='>'>n</nav></p>y", "z y"), ("<nav/>a<b>c</b>", "a c"),
+    ("<script>if (a<b) '<nav>'</script>x", "x"), ("a &amp;lt; b<nav>n<nav>", "a &lt; b"),
+    ("</nav>a<footer>f", "a"), ("one<br>two<!-- c -->three", "one two three"), ("", ""),
+])
+def test_html_that_nests(spark, raw, want):
+    df = spark.createDataFrame([(raw,)], "a string")
+    assert text.clean_html(df, "a", "v").collect()[0]["v"] == want
+
+
+def test_tree_and_patterns_agree_on_well_paired_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html")
+    assert pages.filter(text.needs_tree(F.col("html"))).count() == 0
+    for r in text.clean_html(pages, "html", "v").collect():
+        assert r.v == text._Page.text(r.html)
+
+
 @pytest.mark.parametrize("raw", ["a b", " a\u2003b\x1cc\u3000d ", "\u00e9 b\u1680c", "", " \n "])
 def test_words_like_python(spark, raw):
     assert one(spark, raw, text.words) == raw.split()
