@@ -146,6 +146,34 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataF
     return kept.unionByName(latest.select(*base.columns))
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(base: DataFrame, path: str, key: str, buckets: int = 256) -> None:
+    """A keyed table stored by hash bucket of its key, one folder per bucket."""
+    (base.withColumn("bucket", _bucket(key, buckets)).repartition("bucket")
+     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+
+
+def upsert_bucketed(spark, path: str, changes: DataFrame, key: str, version: str,
+                    buckets: int = 256) -> int:
+    """Apply changes to a stored table and rewrite only the buckets that they touch; the number
+    of those is returned.
+
+    Buckets without a change are neither read nor written, so the cost follows the changes. At
+    most ``buckets`` small numbers reach the driver.
+    """
+    placed = changes.withColumn("bucket", _bucket(key, buckets))
+    touched = sorted(r["bucket"] for r in placed.select("bucket").distinct().collect())
+    if touched:
+        base = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+        (upsert(base, placed, key, version).repartition("bucket")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(path))
+    return len(touched)
+
+
 def latest_per_key(rows: DataFrame, key: str, version: str) -> DataFrame:
     """The newest row per key of a stored log in which most keys occur once.
 

@@ -10,7 +10,7 @@ from claimgrain.operators import answers, safety
 from claimgrain.operators.audit import chat_events, gate_events
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
-from claimgrain.plans.retrieval_queries import ranked_chunks
+from claimgrain.plans.retrieval_queries import ranked_chunks, ranked_tiers
 from claimgrain.sources import adapters as ad
 
 
@@ -19,6 +19,11 @@ def _ranked(spark, sf):
     return ranked_chunks(spark, sf, queries, q.RANK_K)
 
 
+def _ranked_tiers(spark, sf):
+    queries = ad.distinct_queries(ad.requests(spark, sf))
+    return ranked_tiers(spark, sf, queries, q.RANK_K)
+
+
 _GROWN = f"""mention AS (
   SELECT query_id, bool_or({q.has_any('content', dims.GROWTH_TERMS)}) AS mentions FROM ranked GROUP BY query_id)"""
 
@@ -29,9 +34,9 @@ def _case_any(terms):
 
 
 def _rule(code, condition, message=None):
-    severity, text_, _ = dims.SAFETY_RULES[code]
+    severity, text_, rationale = dims.SAFETY_RULES[code]
     return (f"SELECT request_id, '{code}' AS code, '{severity}' AS severity, "
-            f"{message or q.lit(text_)} AS message FROM facts WHERE {condition}")
+            f"{message or q.lit(text_)} AS message, {q.lit(rationale)} AS rationale FROM facts WHERE {condition}")
 
 
 _FACTS = f"""facts AS (
@@ -55,7 +60,7 @@ def _evaluated(spark, sf):
 @register("safety_flags", q.query(f"{q.RANKED},\n{_GROWN},\n{_FACTS}", _FLAGS))
 def safety_flags(spark, sf):
     return _evaluated(spark, sf).select("request_id", F.inline("flags")).select(
-        "request_id", "code", "severity", "message")
+        "request_id", "code", "severity", "message", "rationale")
 
 
 @register("safety_matched_terms", q.query(q.DOCS, f"""
@@ -184,7 +189,7 @@ _CONF = f"""conf AS (
 @register("confidence", q.query(f"{q.RANKED},\n{_CONF}", """
 SELECT query_id, n_chunks, round(tier_score, 6) AS tier_score, confidence, label FROM conf"""))
 def confidence(spark, sf):
-    return answers.confidence(_ranked(spark, sf)).withColumn("tier_score", F.round("tier_score", 6))
+    return answers.confidence(_ranked_tiers(spark, sf)).withColumn("tier_score", F.round("tier_score", 6))
 
 
 _SUMMARY = f"""summary AS (
@@ -198,20 +203,20 @@ _SUMMARY = f"""summary AS (
 @register("evidence_summary", q.query(f"{q.RANKED},\n{_CONF},\n{_SUMMARY}", """
 SELECT query_id, n_chunks, confidence, evidence_summary FROM conf JOIN summary USING (query_id)"""))
 def evidence_summary(spark, sf):
-    return answers.evidence_summary(_ranked(spark, sf))
+    return answers.evidence_summary(_ranked_tiers(spark, sf))
 
 
 @register("tiers_used", q.query(q.RANKED, """
 SELECT query_id, string_agg(DISTINCT evidence_tier, ',' ORDER BY evidence_tier) AS tiers FROM ranked GROUP BY query_id"""))
 def tiers_used(spark, sf):
-    return answers.tiers_used(_ranked(spark, sf))
+    return answers.tiers_used(_ranked_tiers(spark, sf))
 
 
 @register("low_tier_only", q.query(q.RANKED, """
 SELECT query_id, min(evidence_tier) AS best_tier, count(*) AS sources, min(evidence_tier) >= 4 AS low_tier_only
 FROM ranked GROUP BY query_id"""))
 def low_tier_only(spark, sf):
-    return safety.low_tier_only(_ranked(spark, sf))
+    return safety.low_tier_only(_ranked_tiers(spark, sf))
 
 
 _DISC = dims.DISCLAIMER.format(product="this service")

@@ -12,6 +12,7 @@ from claimgrain.operators.catalog import snippet
 from claimgrain.operators.ranking import hybrid_topk, rank_evidence
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
+from claimgrain.session import stored
 from claimgrain.sources import adapters as ad
 
 _HIT = "query_id, id AS chunk_id, CAST(retrieval_rank AS BIGINT) AS rank, round(similarity, 6) AS similarity"
@@ -32,7 +33,7 @@ def _shape(hits: DataFrame) -> DataFrame:
     f"SELECT {_HIT} FROM hits"))
 def vector_topk(spark, sf):
     return _shape(retrieval.vector_topk(ad.label_queries(spark, sf),
-                                        _corpus(ad.chunk_vectors(spark, sf)), 10, bits=6))
+                                        _corpus(ad.chunk_vectors(spark, sf)), 10))
 
 
 @register("vector_topk_filtered", q.query(
@@ -96,7 +97,7 @@ SELECT query_id, id AS chunk_id, evidence_tier, round(score, 6) AS score,
 def evidence_rank(spark, sf):
     vectors = ad.chunk_vectors(spark, sf)
     hits = retrieval.vector_topk(ad.label_queries(spark, sf), _corpus(vectors), 10)
-    meta = ad.first_chunk_ids(spark, sf).select("chunk_id", "evidence_tier", "published_at")
+    meta = vectors.select("chunk_id", "evidence_tier", "published_at")
     ranked = rank_evidence(hits.join(meta, hits.id == meta.chunk_id), ad.as_of())
     return ranked.select("query_id", "chunk_id", "evidence_tier", F.round("score", 6).alias("score"),
                          F.col("rank").cast("bigint").alias("rank"))
@@ -121,10 +122,13 @@ def text_hits(spark, sf, queries: DataFrame, k: int, **kind) -> DataFrame:
 
 def with_text(spark, sf, hits: DataFrame) -> DataFrame:
     """Hits with their chunk. Only the documents that were hit are hashed and cut again, so
-    text never travels with the vectors."""
+    text never travels with the vectors.
+
+    The hits are written first: Spark then knows their true size and broadcasts them when they
+    are small, instead of shuffling all texts to meet them."""
     docs = ad.shape_docs(ad.table(spark, sf, "documents"))
-    found = docs.join(hits.withColumnRenamed("id", "hit_id"), "doc_id")
-    return ingest.ingest(found).filter(F.col("chunk_id") == F.col("hit_id"))
+    hits = stored(hits.withColumnRenamed("id", "hit_id"), "hits")
+    return ingest.ingest(docs.join(hits, "doc_id")).filter(F.col("chunk_id") == F.col("hit_id"))
 
 
 def ranked_chunks(spark, sf, queries: DataFrame, k: int) -> DataFrame:
@@ -133,6 +137,14 @@ def ranked_chunks(spark, sf, queries: DataFrame, k: int) -> DataFrame:
     return rank_evidence(retrieval.hydrate(found), ad.as_of())
 
 
+def ranked_tiers(spark, sf, queries: DataFrame, k: int) -> DataFrame:
+    """Hits with tier, date and rank alone: no text is read or cut for them."""
+    meta = ad.shape_docs(ad.table(spark, sf, "documents")).select(
+        "doc_id", "published_at", scoring.source_type_tier(F.col("source_type")).alias("evidence_tier"))
+    hits = text_hits(spark, sf, queries, k)
+    return rank_evidence(hits.join(meta, "doc_id"), ad.as_of())
+
+
 @register("hash_embed", q.query(q.ALL_CHUNKS, f"""
 SELECT chunk_id, array_to_string(list_transform(range(0, 64),
   lambda b: len(list_filter(bs, lambda x: x = b))), ',') AS counts
@@ -205,7 +217,8 @@ pool AS (
   UNION ALL SELECT g.query_id, g.id, NULL, 1000000000 FROM grown g
     WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = g.query_id AND h.id = g.id)),
 s AS (SELECT p.*, f.chunk_id, f.evidence_tier, f.published_at, {q.score('p.similarity')} AS score
-  FROM pool p JOIN firsts f ON f.doc_id = p.id)""", """
+  FROM pool p JOIN (SELECT doc_id, chunk_id, evidence_tier, published_at FROM firsts UNION ALL
+    SELECT doc_id, chunk_id, evidence_tier, published_at FROM vecs WHERE doc_id NOT IN (SELECT doc_id FROM firsts)) f ON f.doc_id = p.id)""", """
 SELECT query_id, chunk_id, retrieval_rank = 1000000000 AS from_graph, round(score, 6) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retrieval_rank, chunk_id) AS rank
 FROM s QUALIFY rank <= 20"""))
@@ -214,8 +227,9 @@ def hybrid_retrieval(spark, sf):
     hits = retrieval.vector_topk(ad.label_queries(spark, sf),
                                  _corpus(ad.chunk_vectors(spark, sf), "doc_id"), 10)
     # edges name their supporting chunk by document number here
-    meta = ad.first_chunk_ids(spark, sf).select(
-        F.col("doc_id").cast("string").alias("id"), "chunk_id", "evidence_tier", "published_at")
+    own = ad.first_chunk_ids(spark, sf).select("doc_id", "chunk_id", "evidence_tier", "published_at")
+    lone = ad.chunk_vectors(spark, sf).select(*own.columns).join(own, "doc_id", "left_anti")
+    meta = own.unionByName(lone).withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
     return hybrid_topk(hits, ad.edges(spark, sf), meta, ad.as_of(), 20).select(
         "query_id", "chunk_id", "from_graph", F.round("score", 6).alias("score"),
         F.col("rank").cast("bigint").alias("rank"))

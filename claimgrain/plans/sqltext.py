@@ -189,8 +189,11 @@ FIRST = ",\n".join([DOCS, IDED, """firsts AS (
     document_id || '_0000' AS chunk_id FROM ided)"""])
 
 VECTORS = """vecs AS (
-  SELECT f.*, e.label, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS vector
-  FROM firsts f JOIN embeddings e ON e.vec_id = f.doc_id),
+  SELECT e.vec_id AS doc_id, coalesce(f.chunk_id, 'vector_' || e.vec_id) AS chunk_id, f.document_id,
+    coalesce(f.source_type, 'unknown') AS source_type, f.source_name, f.source_url, f.published_at,
+    coalesce(f.evidence_tier, 3) AS evidence_tier, e.label,
+    list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS vector
+  FROM embeddings e LEFT JOIN firsts f ON e.vec_id = f.doc_id),
 cells AS (
   SELECT label, unnest(range(1, 65)) AS pos, unnest(embedding) AS v FROM embeddings),
 label_queries AS (
@@ -240,7 +243,7 @@ hits AS (
 _DRUGS = strings(ad.MEDICATIONS)
 REQUESTS = f"""requests AS (
   SELECT *, substr({sha('query')}, 1, 16) AS query_id FROM (
-    SELECT c_custkey AS request_id, ({strings(ad.REQUEST_TEXTS)})[1 + CAST(c_custkey % 5 AS INT)] AS query,
+    SELECT c_custkey AS request_id, concat_ws(' ', ({strings(ad.REQUEST_TEXTS)})[1 + CAST(c_custkey % 5 AS INT)], b.text) AS query,
       ({strings(ad.ROLES)})[1 + CAST(c_custkey % 3 AS INT)] AS role, c_custkey % 2 = 0 AS restricted,
       c_custkey % 13 <> 0 AS has_case, c_mktsegment AS indication, c_custkey % 5 AS n_drugs,
       c_custkey % 3 = 0 AS no_labs,
@@ -249,7 +252,7 @@ REQUESTS = f"""requests AS (
         CASE WHEN c_custkey % 9 = 0 THEN 'Active malignancy' END,
         CASE WHEN c_custkey % 10 = 0 THEN 'pre-diabetes / T2DM uncontrolled' END],
         lambda x: x IS NOT NULL) AS contraindications
-    FROM customer)),
+    FROM customer LEFT JOIN benchmark b ON b.item_id = c_custkey % ((SELECT max(item_id) FROM benchmark) + 1))),
 queries AS (SELECT DISTINCT query_id, query FROM requests)"""
 
 RANK_K = 8

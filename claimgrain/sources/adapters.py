@@ -118,11 +118,15 @@ def first_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First chunks that have a stored vector."""
+    """All stored vectors with the metadata of the first chunk of the document of their number;
+    a vector without a document keeps a name of its own and the defaults."""
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"), "label",
         F.col("embedding").cast("array<double>").alias("vector"))
-    return first_chunk_ids(spark, sf_dir).join(vectors, "doc_id")
+    return vectors.join(first_chunk_ids(spark, sf_dir), "doc_id", "left").withColumns({
+        "chunk_id": F.coalesce("chunk_id", F.concat(F.lit("vector_"), F.col("doc_id").cast("string"))),
+        "source_type": F.coalesce("source_type", F.lit("unknown")),
+        "evidence_tier": F.coalesce("evidence_tier", F.lit(3))})
 
 
 def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +212,8 @@ def course_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customer as request log with an optional patient case."""
+    """customer as request log with an optional patient case. Every query is one of the fixed
+    sentences followed by a benchmark text."""
     key = F.col("c_custkey")
     contraindications = F.filter(F.array(
         F.when(key % 7 == 0, F.lit("pregnancy")),
@@ -224,11 +229,16 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.slice(F.array(*[F.lit(m) for m in MEDICATIONS]), 1, (key % 5).cast("int"))
         .alias("current_medications"),
         labs.alias("baseline_labs"), F.lit(None).cast("string").alias("notes"))
-    query = _pick(REQUEST_TEXTS, key % len(REQUEST_TEXTS))
-    return table(spark, sf_dir, "customer").select(
+    sentence = _pick(REQUEST_TEXTS, key % len(REQUEST_TEXTS))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("topic"))
+    last = items.agg(F.max("item_id")).first()[0]
+    query = F.concat_ws(" ", sentence, "topic")
+    return (table(spark, sf_dir, "customer")
+            .withColumn("item_id", key % ((-1 if last is None else last) + 1))
+            .join(items, "item_id", "left").select(
         key.alias("request_id"), query.alias("query"),
         ids.query_hash(query).alias("query_id"), _pick(ROLES, key % 3).alias("role"),
-        (key % 2 == 0).alias("restricted"), F.when(key % 13 != 0, case).alias("case"))
+        (key % 2 == 0).alias("restricted"), F.when(key % 13 != 0, case).alias("case")))
 
 
 def distinct_queries(requests: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,25 @@ def test_later_patches_win_per_field(spark):
                                     "chunk_id string, tier_override int, notes string, seq int")
     rows = catalog.patch_chunks(chunks, patches).collect()
     assert [(r.evidence_tier, r.notes) for r in rows] == [(1, "second")]
+
+
+def test_bucketed_upsert_touches_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "store")
+    base = spark.range(500).select(F.concat(F.lit("k"), "id").alias("chunk_id"), F.lit("old").alias("v"))
+    ingest.write_bucketed(base, path, "chunk_id", 64)
+    files = lambda: {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = files()
+    changes = spark.createDataFrame([("k7", "a", 1), ("k7", "b", 2), ("new", "c", 1)], "chunk_id string, v string, version int")
+    assert 1 <= ingest.upsert_bucketed(spark, path, changes, "chunk_id", "version", 64) <= 2
+    assert len(before.keys() - files().keys()) <= 2
+    spark.catalog.refreshByPath(path)
+    got = {r.chunk_id: r.v for r in spark.read.parquet(path).collect()}
+    assert got == {f"k{i}": "old" for i in range(500)} | {"k7": "b", "new": "c"}
+    assert ingest.upsert_bucketed(spark, path, changes.limit(0), "chunk_id", "version", 64) == 0
+
+
+def test_conditions_reach_the_documents_before_cleaning(spark):
+    """The type condition stands below the Python step and in the scan."""
+    chunks = adapters.chunks(spark, "/root/testdata/sf0.001", "pubmed", 1)
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.rindex("Filter")
