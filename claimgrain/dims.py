@@ -195,3 +195,14 @@ QUERY_HASH_CHARS = 16
 RETENTION_DAYS = 90
 ALERT_ERROR_RATE = 0.01
 ALERT_P99_MS = 5000.0
+
+# ---- fixed values: texts of the prompt and of the answer given without a model --------------
+PROMPT_QUERY = "Clinical Query: "
+PROMPT_PATIENT = "\n\nPatient Context (de-identified):\n  Age range: "
+PROMPT_INDICATIONS = "\n  Indications: "
+PROMPT_CONTRAINDICATIONS = "\n  Contraindications: "
+PROMPT_EVIDENCE = "\n\nEvidence Context:\n"
+OFFLINE_QUERY = "**Query:** "
+OFFLINE_NOTE = ("\n\n**Note:** LLM synthesis is currently unavailable. "
+                "The following evidence was retrieved:\n\n")
+OFFLINE_END = "\n\nPlease review the cited sources directly."

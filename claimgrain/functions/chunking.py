@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimgrain import dims
 from claimgrain.functions.text import BLANK, strip_blank
 
+# ---- fixed values: where sentences and paragraphs end ---------------------------------------
 # A sentence ends at .!? plus blanks, unless the mark follows a known abbreviation or a
 # capital plus small letter (Dr, Ms, ...).
 SENTENCE_END = (r"(?<!\b(?:Dr|Mr|Mrs|Ms|Prof|St|vs|etc|Fig|al))(?<![A-Z][a-z])"

@@ -81,26 +81,23 @@ def context_block(ranked: DataFrame, key: str = "query_id") -> DataFrame:
 
 def prompt_body(query: Column, context: Column, case: Column | None = None) -> Column:
     """Query, optional patient lines and evidence, as sent to a model."""
-    head = F.concat(F.lit("Clinical Query: "), query)
+    head = F.concat(F.lit(dims.PROMPT_QUERY), query)
     if case is not None:
         listed = lambda name: F.coalesce(
             F.nullif(F.array_join(case[name], ", "), F.lit("")), F.lit("none"))
         age = F.coalesce(F.nullif(case["age_range"], F.lit("")), F.lit("not specified"))
-        lines = F.concat(F.lit("\n\nPatient Context (de-identified):\n  Age range: "), age,
-                         F.lit("\n  Indications: "), listed("indications"),
-                         F.lit("\n  Contraindications: "), listed("contraindications"),
+        lines = F.concat(F.lit(dims.PROMPT_PATIENT), age,
+                         F.lit(dims.PROMPT_INDICATIONS), listed("indications"),
+                         F.lit(dims.PROMPT_CONTRAINDICATIONS), listed("contraindications"),
                          F.lit("\n"))
         head = F.concat(head, F.when(case.isNotNull(), lines).otherwise(""))
-    return F.concat(head, F.lit("\n\nEvidence Context:\n"), context)
+    return F.concat(head, F.lit(dims.PROMPT_EVIDENCE), context)
 
 
 def offline_answer(query: Column, context: Column) -> Column:
     """The deterministic answer given when no model is at hand."""
-    return F.concat(
-        F.lit("**Query:** "), query,
-        F.lit("\n\n**Note:** LLM synthesis is currently unavailable. "
-              "The following evidence was retrieved:\n\n"), context,
-        F.lit("\n\nPlease review the cited sources directly."))
+    return F.concat(F.lit(dims.OFFLINE_QUERY), query, F.lit(dims.OFFLINE_NOTE), context,
+                    F.lit(dims.OFFLINE_END))
 
 
 def recommendations(answer: Column, limit: int = 5, longer_than: int = 10) -> Column:
