@@ -179,9 +179,10 @@ def _prefixes(rows: DataFrame, levels, size: int, percent: int) -> DataFrame:
 
 
 def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, salt, c, nk): repeated members go, buckets of one member go, and
-    each other row gets the bucket's first member as its pivot. A bucket may span batches; one
-    row of it is remembered."""
+    """Rows sorted by (token, salt, pos, c, nk): repeated members go, buckets of one member go,
+    and each other row gets the bucket's first member as its pivot: the one with the fewest
+    rarer tokens, which is the least edited of a family. A bucket may span batches; one row of
+    it is remembered."""
     names = ["token", "c", "nk", "pos", "pivot_c", "pivot_nk", "pivot_pos"]
     last = pivot = None
     alone = False
@@ -326,7 +327,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
               .select("c", "nk", F.posexplode(F.arrays_zip("p0", "salt")).alias("pos", "t"))
               .select(F.col("t.p0").alias("token"), F.col("t.salt").alias("salt"), "c", "nk",
                       F.col("pos").cast("int").alias("pos")))
-    sorted_rows = spread.repartition("token", "salt").sortWithinPartitions("token", "salt", "c", "nk")
+    sorted_rows = spread.repartition("token", "salt").sortWithinPartitions(
+        "token", "salt", "pos", "c", "nk")
     live = written(sorted_rows.mapInArrow(
         _with_pivots, "token long, c long, nk long, pos int, pivot_c long, pivot_nk long, "
                       "pivot_pos int"), "buckets")
