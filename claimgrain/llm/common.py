@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,38 +10,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from claimgrain.session import work_folder
+
 #: Fixed value: the blanks between words, as in ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder serves on a local master only; on a cluster each
-    machine would write to its own disk, so that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="claimgrain-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder.
+    """The rows as a Parquet table in the folder of ``spark.checkpoint.dir``.
 
     Cuts lineage: a lost executor costs a re-read, and rows whose making depends on the run
     (sampled ranges) are made once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = work_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver: Spark removes the shuffle files of finished steps once
+    nothing refers to them, which in a job of many steps can come late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z lower-cased, every other character left alone."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,5 +65,6 @@ def map_slices(df: DataFrame, fn, schema, max_bytes: int = 8 << 20) -> DataFrame
             step = max(1, int(batch.num_rows * max_bytes / max(batch.nbytes, 1)))
             for start in range(0, batch.num_rows, step):
                 yield fn(batch.slice(start, step))
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

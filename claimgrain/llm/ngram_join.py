@@ -24,14 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgrain.llm.common import fields, map_slices, written
+from claimgrain.llm.common import fields, map_slices, release, written
 from claimgrain.llm.components import connected_components
 
 SHINGLE = 3
 PERCENT = 90           # links have 100 * intersection >= 90 * union
 MEMO_WORDS = 300_000   # word fingerprints remembered per task
-LEVEL_SLOTS = 1 << 20  # bytes of the level table that every task gets, whatever the corpus
-FREQUENT = 8           # sightings from which a token counts as frequent
+LEVEL_SLOTS = 1 << 22  # bytes of the level table that every task gets, whatever the corpus
 SLICE = 16 << 20       # bytes of text handled at once
 PIVOT_BUCKET = 10      # frequent tokens are cut into buckets of about 2^10 members
 ORDER_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -101,7 +100,6 @@ def _levels(rows: DataFrame, size: int) -> np.ndarray:
     the driver."""
     slot = F.col("token").bitwiseAND(LEVEL_SLOTS - 1)
     found = (_frequent(rows, size).groupBy("token").agg(F.sum("seen").alias("seen"))
-             .filter(F.col("seen") >= FREQUENT)
              .groupBy(slot.cast("int").alias("slot"))
              .agg(F.floor(F.log2(F.max("seen"))).cast("int").alias("level")).toArrow())
     table = np.zeros(LEVEL_SLOTS, np.uint8)
@@ -124,7 +122,7 @@ def index_length(n, percent: int):
 
 def _prefixes(rows: DataFrame, levels, size: int, percent: int) -> DataFrame:
     """One row per document: fingerprint of its set (``c``, ``nk``; the set's size in the upper
-    half of ``nk``), parity sketch ``s0..s7``, prefix tokens ``p0`` with bucket salts, and the
+    half of ``nk``), parity sketch ``s0..s7``, prefix tokens ``p0`` with bucket salts (-1: none), and the
     prefixes ``p1``, ``p2`` under the other orders as 32-bit hashes.
 
     A set met before in the slice keeps its fingerprint only: one copy stands for all."""
@@ -133,7 +131,7 @@ def _prefixes(rows: DataFrame, levels, size: int, percent: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         level_of, seen = levels.value, set()
         c, nk, sketches, parts, salts, others = [], [], [], [], [], ([], [])
-        blank = [0] * SKETCH
+        blank = [None] * SKETCH
         for tokens in shingle_sets(batch.column(1).to_pylist(), _Words(), size):
             n = len(tokens)
             digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
@@ -163,13 +161,13 @@ def _prefixes(rows: DataFrame, levels, size: int, percent: int) -> DataFrame:
                 else:
                     parts.append(tokens[first].view(np.int64))
                     cut = np.maximum(level[first].astype(np.int64) - PIVOT_BUCKET, 0)
-                    salts.append(((signed & 0xFFFFF) & ((1 << np.minimum(cut, 20)) - 1))
-                                 .astype(np.int32))
-        columns = np.array(sketches, np.int64).reshape(-1, SKETCH)
+                    salt = (signed & 0xFFFFF) & ((1 << np.minimum(cut, 20)) - 1)
+                    salts.append(np.where(cut > 0, salt, -1).astype(np.int32))
+        columns = list(zip(*sketches)) or [()] * SKETCH
         ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(c, pa.int64()), pa.array(nk, pa.int64()),
-             *[pa.array(columns[:, i]) for i in range(SKETCH)], pa.array(parts, longs),
+             *[pa.array(x, pa.int64()) for x in columns], pa.array(parts, longs),
              pa.array(salts, ints), pa.array(others[0], ints), pa.array(others[1], ints)], names=names)
 
     sketch = ", ".join(f"s{i} long" for i in range(SKETCH))
@@ -179,40 +177,39 @@ def _prefixes(rows: DataFrame, levels, size: int, percent: int) -> DataFrame:
 
 
 def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, salt, pos, c, nk): repeated members go, buckets of one member go,
-    and each other row gets the bucket's first member as its pivot: the one with the fewest
-    rarer tokens, which is the least edited of a family. A bucket may span batches; one row of
-    it is remembered."""
-    names = ["token", "c", "nk", "pos", "pivot_c", "pivot_nk", "pivot_pos"]
+    """Rows sorted by (token, salt, pos, c): repeated members go, tokens of one member go (salt
+    -1; a salted bucket has company under other salts), and each other row gets the bucket's
+    first member as its pivot: the one with the fewest rarer tokens, which is the least edited
+    of a family. A bucket may span batches; one row of it is remembered."""
+    names = ["token", "c", "pos", "pivot_c", "pivot_pos"]
     last = pivot = None
     alone = False
     for batch in batches:
         if not batch.num_rows:
             continue
-        t, s, c, k, p = (batch.column(i).to_numpy() for i in range(5))
+        t, s, c, p = (batch.column(i).to_numpy() for i in range(4))
         prior = [np.concatenate(([x[0] if last is None else last[i]], x[:-1]))
-                 for i, x in enumerate((t, s, c, k))]
+                 for i, x in enumerate((t, s, c))]
         inside = (t == prior[0]) & (s == prior[1])
-        again = inside & (c == prior[2]) & (k == prior[3])
+        again = inside & (c == prior[2])
         if last is None:
             inside[0] = again[0] = False
-        last = (t[-1], s[-1], c[-1], k[-1])
+        last = (t[-1], s[-1], c[-1])
         keep = ~again
-        t, c, k, p, inside = t[keep], c[keep], k[keep], p[keep], inside[keep]
+        t, s, c, p, inside = (x[keep] for x in (t, s, c, p, inside))
         if not len(t):
             continue
         begin = np.maximum.accumulate(np.where(inside, -1, np.arange(len(t))))
         carried, at = begin < 0, np.maximum(begin, 0)
-        own = [np.where(carried, pivot[i] if pivot else 0, x[at]) for i, x in ((1, c), (2, k), (3, p))]
-        shown = inside.copy()
+        own = [np.where(carried, pivot[i] if pivot else 0, x[at]) for i, x in ((1, c), (2, p))]
+        shown = inside | (s >= 0)
         shown[begin[inside & ~carried]] = True  # first members that are not alone
-        columns = [x[shown] for x in (t, c, k, p, *own)]
+        columns = [x[shown] for x in (t, c, p, *own)]
         if alone and carried.any():
-            columns = [np.concatenate(([pivot[i]], x))
-                       for i, x in zip((0, 1, 2, 3, 1, 2, 3), columns)]
+            columns = [np.concatenate(([pivot[i]], x)) for i, x in zip((0, 1, 2, 1, 2), columns)]
         if begin[-1] >= 0:
             b = begin[-1]
-            pivot, alone = (t[b], c[b], k[b], p[b]), b == len(t) - 1
+            pivot, alone = (t[b], c[b], p[b]), b == len(t) - 1 and s[b] < 0
         else:
             alone = alone and not carried.any()
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
@@ -283,7 +280,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     pairs = written(pairs, "pairs")
     keys = pairs.select(F.col("a").alias("key")).unionByName(
         pairs.select(F.col("b").alias("key"))).distinct()
-    sets = written(_sets(rows, keys, size).dropDuplicates(["key", "c"]), "sets")
+    # written as they come; the exchange that drops repeated rows also serves the join
+    sets = written(_sets(rows, keys, size), "sets").dropDuplicates(["key", "c"])
     side = lambda name: sets.select(F.col("key").alias(name), F.col("c").alias(f"{name}_c"),
                                     F.col("tokens").alias(f"{name}_tokens"))
     both = (pairs.join(side("b"), ["b", "b_c"]).join(side("a"), ["a", "a_c"])
@@ -313,7 +311,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Texts are read three times and never shuffled: for token counts, for prefixes, and for the
     whole sets of documents that are candidates. What is broadcast has a fixed bound: the level
-    table (1 MB) and the bitmap of candidates (16 MB).
+    table (4 MB) and the bitmap of candidates (16 MB).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -322,55 +320,68 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = table.filter("key IS NOT NULL AND nk >= 4294967296")  # sets of one token or more
     named = written(classes.groupBy("c", "nk").agg(F.min("key").alias("node")), "classes")
 
-    # buckets of the first order: members and pivots
+    # buckets of the first order: members, by 64 bits of their fingerprint, and pivots
     spread = (table.filter("p0 IS NOT NULL")
-              .select("c", "nk", F.posexplode(F.arrays_zip("p0", "salt")).alias("pos", "t"))
-              .select(F.col("t.p0").alias("token"), F.col("t.salt").alias("salt"), "c", "nk",
+              .select("c", F.posexplode(F.arrays_zip("p0", "salt")).alias("pos", "t"))
+              .select(F.col("t.p0").alias("token"), F.col("t.salt").alias("salt"), "c",
                       F.col("pos").cast("int").alias("pos")))
     sorted_rows = spread.repartition("token", "salt").sortWithinPartitions(
-        "token", "salt", "pos", "c", "nk")
+        "token", "salt", "pos", "c")
     live = written(sorted_rows.mapInArrow(
-        _with_pivots, "token long, c long, nk long, pos int, pivot_c long, pivot_nk long, "
-                      "pivot_pos int"), "buckets")
+        _with_pivots, "token long, c long, pos int, pivot_c long, pivot_pos int"), "buckets")
 
-    # what is known of the members: node, sketch, prefixes of the other orders
-    members = live.select("c", "nk").distinct()
+    # what is known of the members: node, sketch, prefixes of the other orders. Should two
+    # sets share c, both come in, and the comparison of whole sets tells them apart.
+    release(spark)
+    members = live.select("c").distinct()
     known = [F.first(x, ignorenulls=True).alias(x) for x in
              [*[f"s{i}" for i in range(SKETCH)], "p1", "p2"]]
-    nodes = written(table.filter("p0 IS NOT NULL").join(members, ["c", "nk"], "left_semi")
-                    .groupBy("c", "nk").agg(*known).join(named, ["c", "nk"]), "nodes")
-    n, m = _size_of(F.col("nk")), _size_of(F.col("pivot_nk"))
+    nodes = written(classes.drop("p0", "salt").join(members, "c", "left_semi")
+                    .groupBy("c", "nk").agg(F.min("key").alias("node"), *known), "nodes")
+
+    sketches, prefixes = nodes.drop("p1", "p2"), nodes.select("c", "nk", "p1", "p2")
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Pairs ``(c, nk, other_c, other_nk)`` that pass sketch and the other two orders."""
-        joined = (pairs.join(nodes.alias("x"), ["c", "nk"]).join(
-            nodes.alias("y"), (F.col("other_c") == F.col("y.c")) & (F.col("other_nk") == F.col("y.nk"))))
+        """Pairs ``(c, pos, other_c, other_pos)`` that pass sizes and places, the sketch and the
+        other two orders; the wide prefixes meet only what is left by then."""
+        joined = (pairs.join(sketches.alias("x"), "c").join(
+            sketches.alias("y"), F.col("other_c") == F.col("y.c")))
         size_x, size_y = _size_of(F.col("x.nk")), _size_of(F.col("y.nk"))
-        kept = joined.filter(_near("x", "y", size_x, size_y, percent)
-                             & F.arrays_overlap("x.p1", "y.p1") & F.arrays_overlap("x.p2", "y.p2"))
-        ordered = F.col("x.node") < F.col("y.node")
+        near = joined.filter(
+            (F.col("x.node") != F.col("y.node"))
+            & _may_link(size_x, size_y, F.col("pos"), F.col("other_pos"),
+                        F.col("x.node") < F.col("y.node"), percent)
+            & _near("x", "y", size_x, size_y, percent)).select(
+            *[F.col(f"{t}.{n}").alias(f"{t}_{n}") for t in "xy" for n in ("c", "nk", "node")])
+        side = lambda t: prefixes.select(F.col("c").alias(f"{t}_c"), F.col("nk").alias(f"{t}_nk"),
+                                         F.col("p1").alias(f"{t}1"), F.col("p2").alias(f"{t}2"))
+        kept = (near.join(side("x"), ["x_c", "x_nk"]).join(side("y"), ["y_c", "y_nk"])
+                .filter(F.arrays_overlap("x1", "y1") & F.arrays_overlap("x2", "y2")))
+        ordered = F.col("x_node") < F.col("y_node")
         pick = lambda one, two: F.when(ordered, F.col(one)).otherwise(F.col(two))
-        return kept.filter(F.col("x.node") != F.col("y.node")).select(
-            pick("x.node", "y.node").alias("a"), pick("x.c", "y.c").alias("a_c"),
-            pick("y.node", "x.node").alias("b"), pick("y.c", "x.c").alias("b_c")).distinct()
-
-    stars = live.filter("c <> pivot_c OR nk <> pivot_nk").filter(_may_link(
-        n, m, F.col("pos"), F.col("pivot_pos"), F.col("c") < F.col("pivot_c"), percent)).select(
-        "c", "nk", F.col("pivot_c").alias("other_c"), F.col("pivot_nk").alias("other_nk")).distinct()
+        return kept.select(pick("x_node", "y_node").alias("a"), pick("x_c", "y_c").alias("a_c"),
+                           pick("y_node", "x_node").alias("b"), pick("y_c", "x_c").alias("b_c")).distinct()
+
+    # of the places two documents share, the first one in each prefix matters
+    first_place = lambda rows: rows.groupBy("c", "other_c").agg(
+        F.min(F.struct("pos", "other_pos")).alias("p")).select("c", "other_c", "p.*")
+    stars = first_place(live.filter("c <> pivot_c").select(
+        "c", "pos", F.col("pivot_c").alias("other_c"), F.col("pivot_pos").alias("other_pos")))
     tried = written(filtered(stars), "tried")
     links = _verified(tried, rows, size, percent)
+    release(spark)
     joined = connected_components(links)
 
     # members of one bucket that are still in different components
-    roots = joined.select("node", "root")
-    placed = (live.select("token", "c", "nk", "pos").join(nodes.drop("p1", "p2"), ["c", "nk"])
-              .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    placed = written(placed, "placed")
+    roots = nodes.select("c", "node").join(joined, "node", "left").select(
+        "c", "node", F.coalesce("root", "node").alias("root"))
+    release(spark)
+    placed = written(live.select("token", "c", "pos").join(roots, "c"), "placed")
     shares = placed.groupBy("token", "root").agg(F.count("*").alias("n"))
     mixed = (shares.groupBy("token").agg(F.count("*").alias("roots"),
                                          F.max_by("root", F.struct("n", "root")).alias("main"))
              .filter("roots > 1").select("token", "main"))
-    mixed = placed.join(mixed, "token")
+    mixed = placed.join(mixed, "token").join(sketches, ["c", "node"])
     minor = mixed.filter("root <> main").drop("main").alias("x")
     other = mixed.alias("y")
     size_x, size_y = _size_of(F.col("x.nk")), _size_of(F.col("y.nk"))
@@ -380,15 +391,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         & _may_link(size_x, size_y, F.col("x.pos"), F.col("y.pos"), F.col("x.node") < F.col("y.node"),
                     percent)
         & _near("x", "y", size_x, size_y, percent))).select(
-        F.col("x.c").alias("c"), F.col("x.nk").alias("nk"), F.col("y.c").alias("other_c"),
-        F.col("y.nk").alias("other_nk")).distinct()
+        F.col("x.c").alias("c"), F.col("x.pos").alias("pos"), F.col("y.c").alias("other_c"),
+        F.col("y.pos").alias("other_pos"))
+    crossing = first_place(crossing)
     fresh = filtered(crossing).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(fresh.select("a", "a_c", "b", "b_c"), rows, size, percent)
+    release(spark)
     final = connected_components(links.unionByName(more))
 
     by_class = named.join(final, "node", "left").select(
         "c", "nk", F.coalesce("root", "node").alias("component"))
     done = table.select("key", "c", "nk").join(by_class, ["c", "nk"], "left")
+    release(spark)
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
     return done.select(F.col("key").alias(key), _size_of(F.col("nk")).alias("n_shingles"),
                        component.alias("component_id"))

@@ -186,7 +186,7 @@ def planted(seed):
 
 @pytest.mark.parametrize("seed, size, percent", [(1, 3, 90), (2, 5, 80)])
 def test_components_equal_brute_force(spark, docs, seed, size, percent, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PIVOT_BUCKET", 3)
+    monkeypatch.setattr(ngram_join, "PIVOT_BUCKET", 1)  # buckets of two: most members stand alone
     texts = planted(seed)
     got = ngram_join.jaccard_components(docs(list(texts.items())).repartition(5), size=size, percent=percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts, size, percent)
@@ -199,6 +199,38 @@ def test_join_edge_rows(docs):
     assert ngram_join.jaccard_components(docs([])).collect() == []
 
 
+def batch_rows(rows, sizes):
+    import pyarrow as pa
+    at = 0
+    for n in sizes:
+        part = rows[at:at + n]
+        at += n
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in part], pa.int32() if i in (1, 3) else pa.int64()) for i in (0, 1, 2, 3)],
+            names=["token", "salt", "c", "pos"])
+
+
+def test_pivots_across_batches():
+    """Any cut into batches gives each bucket's rows with its first member; lone tokens go,
+    lone members of a salted bucket stay."""
+    rng = random.Random(6)
+    rows = [(t := rng.randrange(12), -1 if t % 3 else rng.randrange(2), c := rng.randrange(4), c % 2) for _ in range(60)]
+    rows = sorted(rows + [(50, -1, 1, 0), (51, 2, 1, 0)], key=lambda r: (r[0], r[1], r[3], r[2]))
+    groups = defaultdict(list)
+    for r in rows:
+        if r[2:] not in groups[r[:2]]:
+            groups[r[:2]].append(r[2:])
+    want = sorted((key[0], *m, *members[0]) for key, members in groups.items() for m in members
+                  if len(members) > 1 or key[1] >= 0)
+    for _ in range(30):
+        sizes, left = [], len(rows)
+        while left:
+            sizes.append(rng.randrange(0, min(left, 9) + 1))
+            left -= sizes[-1]
+        got = [tuple(r.values()) for b in ngram_join._with_pivots(batch_rows(rows, sizes)) for r in b.to_pylist()]
+        assert sorted(got) == want
+
+
 def test_prefix_lemma():
     """Any two sets above the threshold share a token in the prefixes, under every order."""
     rng = random.Random(4)
