@@ -7,7 +7,9 @@ order, then must also share prefix tokens under a second and a third one, and li
 a parity sketch; only then their whole sets are compared.
 
 Orders put tokens known to be frequent last, so a passage that many documents hold stays out of
-their prefixes; within a level they follow a random hash, another for each order.
+their prefixes, and shingles of long words before those of short ones, which meet by chance the
+more often the larger the corpus is. Within that they follow a random hash, another for each
+order.
 
 Copies are one class. Inside a token's bucket the members first meet one pivot, and what links
 becomes one component; only pairs of different components are looked at after that. So a large
@@ -46,15 +48,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
+    """word -> 56 bits of its hash and, in the lowest eight bits, its length (255 at most)."""
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = xxhash.xxh64_intdigest(word) & ~0xFF | min(len(word), 255)
         return value
 
 
 def shingle_sets(texts: list[str | None], memo: _Words, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle fingerprints of each text.
+    """Sorted distinct shingle fingerprints of each text: 60 bits of hash below four bits for
+    the length of the shingle.
 
     ``bytes.lower`` and ``bytes.split`` touch A-Z and the blanks 0x20, 0x09-0x0D alone. With
     fewer than ``size`` words, the whole sequence is the one token."""
@@ -69,9 +74,13 @@ def shingle_sets(texts: list[str | None], memo: _Words, size: int) -> list[np.nd
         hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
         width = min(n, size)
         total = np.full(n - width + 1, width, np.uint64)
+        length = np.zeros(n - width + 1, np.uint64)
         for i in range(width):
-            total += hashes[i:n - width + 1 + i] * factors[i]
-        out.append(np.unique(_mix(total)))
+            part = hashes[i:n - width + 1 + i]
+            total += part * factors[i]
+            length += part & np.uint64(0xFF)
+        rank = np.minimum(length // np.uint64(width), np.uint64(15))
+        out.append(np.unique(_mix(total) >> np.uint64(4) | rank << np.uint64(60)))
     return out
 
 
@@ -150,11 +159,12 @@ def _prefixes(rows: DataFrame, levels, size: int, percent: int) -> DataFrame:
                                minlength=64 * SKETCH) & 1
             sketches.append(np.packbits(bits.astype(bool)).view(np.int64).tolist())
             level = level_of[(tokens & np.uint64(LEVEL_SLOTS - 1)).astype(np.int64)]
-            high = level.astype(np.uint64) << np.uint64(58)
+            high = (level.astype(np.uint64) << np.uint64(58)
+                    | np.uint64(15) - (tokens >> np.uint64(60)) << np.uint64(54))
             length = probe_length(n, percent)
             for number, seed in enumerate(ORDER_SEEDS):
                 order = _mix(tokens ^ np.uint64(seed))
-                first = np.argsort(high | (order >> np.uint64(6)), kind="stable")[:length]
+                first = np.argsort(high | (order >> np.uint64(10)), kind="stable")[:length]
                 if number:
                     others[number - 1].append((order[first] & np.uint64(0xFFFFFFFF))
                                               .astype(np.uint32).view(np.int32))
