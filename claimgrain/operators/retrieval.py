@@ -13,7 +13,7 @@ Both give the same rows; neither emits query x chunk pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -184,13 +184,27 @@ def ann_bits(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     return min(16, max(4, (rows // rows_per_bucket).bit_length()))
 
 
+def ann_radius(bits: int, cosine: float, recall: float) -> int:
+    """Fewest flipped bits within which a neighbour at ``cosine`` is found with probability
+    ``recall``: each of its bits differs from the query's with probability angle / pi."""
+    p, reached = acos(cosine) / pi, 0.0
+    for radius in range(bits):
+        reached += comb(bits, radius) * p ** radius * (1 - p) ** (bits - radius)
+        if reached >= recall:
+            return radius
+    return bits
+
+
 def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *, dimensions: int = 64,
-             bits: int | None = None, probe_bits: int = 2,
-             rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+             bits: int | None = None, probe_bits: int | None = None, cosine: float = 0.8,
+             recall: float = 0.9, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Approximate top-k: a query scores only buckets within ``probe_bits`` flipped bits.
 
-    ``bits`` follows from the number of corpus rows unless it is given: the share of the corpus
-    a query looks at falls as the corpus grows.
+    ``bits`` follows from the number of corpus rows unless it is given, and ``probe_bits`` from
+    ``bits``: a neighbour at ``cosine`` or closer is met with probability ``recall`` at least,
+    however large the corpus. Neighbours further away are met less often. With the defaults a
+    query looks at 11 of 16 buckets at 4 bits, 93 of 256 at 8, 794 of 4,096 at 12 and 6,885 of
+    65,536 at 16.
 
     Each corpus row lives in one bucket, so a stored corpus can be partitioned by it. A
     bucket is cut into sub-blocks by id hash as its count demands, so a bucket holding a
@@ -198,9 +212,12 @@ def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *, dimensions: i
     """
     if bits is None:
         bits = ann_bits(corpus.count())
+    if probe_bits is None:
+        probe_bits = ann_radius(bits, cosine, recall)
     planes = hyperplanes(dimensions, bits)
-    flips = [sum(1 << b for b in c) for r in range(probe_bits + 1)
-             for c in combinations(range(bits), r)]
+    # a table rather than an expression: there are thousands of them at 16 bits
+    flips = (queries.sparkSession.range(1 << bits).withColumnRenamed("id", "flip")
+             .filter(F.bit_count("flip") <= probe_bits))
     corpus = corpus.select(F.col("id").cast("string"), "vector").withColumn(
         "bucket", signature(F.col("vector"), planes))
     queries = queries.select(F.col("query_id").cast("string"), "vector").withColumn(
@@ -211,9 +228,8 @@ def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *, dimensions: i
     left = (corpus.join(F.broadcast(sizes), "bucket")
             .withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
             .withColumn("qb", F.lit(0)).select("bucket", "cut", "id", "vector"))
-    probes = queries.select("query_id", "vector", F.explode(F.transform(
-        F.array(*[F.lit(f) for f in flips]), lambda f: F.col("bucket").bitwiseXOR(f.cast("bigint"))))
-        .alias("bucket"))
+    probes = queries.crossJoin(F.broadcast(flips)).select(
+        "query_id", "vector", F.col("bucket").bitwiseXOR(F.col("flip")).alias("bucket"))
     right = (probes.join(F.broadcast(sizes), "bucket")
              .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
              .select("bucket", "cut", "query_id", "vector"))

@@ -78,7 +78,7 @@ hits AS (
   FROM scored QUALIFY retrieval_rank <= 10)""", f"SELECT {_HIT} FROM hits"))
 def ann_topk(spark, sf):
     return _shape(retrieval.ann_topk(ad.label_queries(spark, sf),
-                                     _corpus(ad.chunk_vectors(spark, sf)), 10, bits=6))
+                                     _corpus(ad.chunk_vectors(spark, sf)), 10, bits=6, probe_bits=2))
 
 
 @register("recency_boost", q.query(q.DOCS, f"""

@@ -1,3 +1,5 @@
+from math import comb
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +79,32 @@ def test_ann_recall(spark):
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("bits", [4, 8, 12, 16])
+def test_ann_recall_does_not_fall_with_bits(spark, bits):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 64))
+    m = centres[rng.integers(0, 12, 600)] + rng.standard_normal((600, 64)) * 0.5  # cosine about 0.8
+    ids = [f"c{i:03d}" for i in range(600)]
+    q = m[::12]
+    qs = [f"q{i}" for i in range(len(q))]
+    got = collected(retrieval.ann_topk(frame(spark, "query_id", qs, q), frame(spark, "id", ids, m), 10,
+                                       bits=bits))
+    want = brute(qs, q, ids, m, 10)
+    recall = np.mean([len(set(got.get(n, [])) & set(want[n])) / 10 for n in qs])
+    print(f"bits {bits} recall {recall:.3f}")
+    assert recall >= 0.9
+
+
+@pytest.mark.parametrize("bits", range(4, 17))
+def test_ann_radius_reaches_the_asked_recall(bits):
+    def met(radius):
+        return sum(comb(bits, r) * p ** r * (1 - p) ** (bits - r) for r in range(radius + 1))
+
+    p = np.arccos(0.8) / np.pi
+    radius = retrieval.ann_radius(bits, 0.8, 0.9)
+    assert met(radius) >= 0.9 > met(radius - 1)
+
+
 def test_ann_with_all_probes_is_exact(spark, data):
     ids, m, qs, q = data
     got = retrieval.ann_topk(frame(spark, "query_id", qs, q), frame(spark, "id", ids, m), 7, dimensions=16,
