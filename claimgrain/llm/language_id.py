@@ -38,8 +38,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_languages:
         sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Language -> dictionary content, from ``sample_docs`` texts per language at most.
 
-    Texts are chosen by hash, without regard to order or partitions; copies count once where
-    their hashes tie. Rows with null or letterless text or null language are left out. The
+    Texts are chosen by hash of their letters, without regard to order or partitions. Copies,
+    and texts that differ in case, digits and punctuation alone, count once per language,
+    however many there are. Rows with null or letterless text or null language are left out. The
     driver gets at most max_languages x sample_docs x sample_chars characters (2 million as set).
     """
     rows = (docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -50,12 +51,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_languages:
     if not names:
         return {}
     # pieces start at a hashed place, so that shared openings do not fill the dictionary
+    plain = rows.filter(F.col("lang").isin(names)).select("lang", F.trim(letters(F.col("text"))).alias("text"))
     digest = F.xxhash64("text")
-    room = F.greatest(F.char_length("text") - sample_chars, F.lit(1))
-    piece = F.substring(letters(F.col("text")), (F.pmod(digest, room) + 1).cast("int"), F.lit(sample_chars))
+    room = F.greatest(F.char_length("text") - sample_chars + 1, F.lit(1))
+    piece = F.substring("text", (F.pmod(digest, room) + 1).cast("int"), F.lit(sample_chars))
     first = Window.partitionBy("lang").orderBy("digest", "piece")
-    sample = (rows.filter(F.col("lang").isin(names))
-              .select("lang", digest.alias("digest"), piece.alias("piece"))
+    # copies are merged before the shuffle and before they are numbered
+    sample = (plain.select("lang", digest.alias("digest"), piece.alias("piece"))
+              .filter(F.trim("piece") != "")
+              .groupBy("lang", "digest", "piece").agg(F.lit(1).alias("one"))
               .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample_docs)
               .orderBy("lang", "nth").select("lang", "piece").collect())
     model: dict[str, list[str]] = {}

@@ -89,6 +89,25 @@ def test_language_fit_is_bounded_and_ignores_order(spark):
     assert len(language_id.fit(docs, max_languages=2)) == 2
 
 
+def test_language_fit_counts_copies_once(spark):
+    word = lambda i: "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(12))
+    rows = [(t, "xx") for t in {f"{word(i)} {word(i + 5)} text" for i in range(20)} | {"one passage"}]
+    once = spark.createDataFrame(rows, "text string, lang string")
+    copied = [("one passage", "xx"), ("One  passage 12!", "xx")] * 2000
+    many = once.unionByName(spark.createDataFrame(copied, once.schema)).repartition(5)
+    for docs in (5, 64):  # the passage takes one slot at most, whatever its hash
+        assert language_id.fit(many, sample_docs=docs) == language_id.fit(once, sample_docs=docs)
+    pieces = language_id.fit(many)["xx"].decode().split("\n")
+    assert len(pieces) == len(set(pieces)) == len(rows)
+
+
+def test_language_fit_takes_whole_pieces(spark):
+    # few letters among many digits: a place drawn from the raw length lies behind the letters
+    rows = [(f"{'7' * 900} start {chr(97 + i) * 30} end {'7' * 900}", "xx") for i in range(26)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), sample_chars=20)
+    assert [len(p) for p in model["xx"].decode().split("\n")] == [20] * 26
+
+
 # ---- quality ------------------------------------------------------------------------------
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
