@@ -1,7 +1,7 @@
 """License scans: license templates compiled to token automata and run over whole texts.
 
 A template is wording with markup: ``[[ ... ]]`` is optional, ``{{n}}`` stands for up to n
-words of anything (names, years). Everything else is mandatory and has to match word by word.
+words of anything (names), ``{{#}}`` for any count of numbers (years). Everything else is mandatory and has to match word by word.
 """
 
 from __future__ import annotations
@@ -26,35 +26,101 @@ PHRASES = [
 ]
 
 # ---- fixed values: license notices, with optional and replaceable regions -----------------
+_MIT_GRANT = (
+    "permission is hereby granted, free of charge, to any person obtaining a copy of "
+    "this software and associated documentation files [[(the \"software\")]], to deal in "
+    "the software without restriction")
+_MIT_REST = (
+    ", including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+    "sublicense, and/or sell copies of the software, and to permit persons to whom the software is "
+    "furnished to do so, subject to the following conditions: the above copyright notice and this "
+    "permission notice [[(including the next paragraph)]] shall be included in all copies or "
+    "substantial portions of the software. the software is provided \"as is\", without warranty of "
+    "any kind, express or implied, including but not limited to the warranties of merchantability, "
+    "fitness for a particular purpose and noninfringement. in no event shall {{12}} be liable for "
+    "any claim, damages or other liability, whether in an action of contract, tort or otherwise, "
+    "arising from, out of or in connection with the software or the use or other dealings in the "
+    "software")
+_BSD_GRANT = (
+    "redistribution and use in source and binary forms, with or without modification, "
+    "are permitted provided that the following conditions are met")
+_BSD_1_2 = (
+    ": [[1 | a | i]] redistributions of source code must retain the above copyright notice, this "
+    "list of conditions and the following disclaimer. [[2 | b | ii]] redistributions in binary form "
+    "must reproduce the above copyright notice, this list of conditions and the following "
+    "disclaimer in the documentation and/or other materials provided with the distribution. ")
+_BSD_3 = (
+    "[[3 | c | iii]] neither the name of {{12}} nor the names of [[its | their | the]] contributors "
+    "may be used to endorse or promote products derived from this software without specific prior "
+    "written permission. ")
+_BSD_DISCLAIMER = (
+    "this software is provided by {{12}} \"as is\" and any express or implied warranties, including, "
+    "but not limited to, the implied warranties of merchantability and fitness for a particular "
+    "purpose are disclaimed. in no event shall {{12}} be liable for any direct, indirect, "
+    "incidental, special, exemplary, or consequential damages (including, but not limited to, "
+    "procurement of substitute goods or services; loss of use, data, or profits; or business "
+    "interruption) however caused and on any theory of liability, whether in contract, strict "
+    "liability, or tort (including negligence or otherwise) arising in any way out of the use of "
+    "this software, even if advised of the possibility of such damage")
+
+
+def _gnu_notice(name: str, version: str) -> str:
+    return (f"free software you can redistribute it and/or modify it under the terms of the {name} "
+            f"[[version {version} [[only]]]] as published by the free software foundation [[; [[either]] "
+            f"version {version} of the license [[, or (at your option) any later version]]]]. {{{{6}}}} "
+            "is distributed in the hope that it will be useful, but without any warranty; without "
+            "even the implied warranty of merchantability or fitness for a particular purpose. see "
+            f"the {name} for more details")
+
+
+#: Whole license texts are ``mit``, ``bsd-2`` and ``bsd-3``, whole notices ``...-notice``. A
+#: text that goes on otherwise after the first sentence of a license is an ``...-opening`` only.
+#: The other labels are statements that name a license.
 TEMPLATES = [
     ("mit", "[[this software is | this work is | this project is]] released under the mit "
             "[[ / x11]] license"),
-    ("mit", "permission is hereby granted, free of charge, to any person obtaining a copy of "
-            "this software and associated documentation files [[(the \"software\")]], to deal in "
-            "the software without restriction"),
+    ("mit", _MIT_GRANT + _MIT_REST),
+    ("mit-opening", _MIT_GRANT),
     ("apache-2", "licensed under the apache license [[,]] version 2 [[.0]]"),
+    ("apache-2-notice",
+     "licensed under the apache license, version 2.0 [[(the \"license\")]]; you may not use this "
+     "[[file | software | work | project]] except in compliance with the license. you may obtain a "
+     "copy of the license at [[http | https]] www.apache.org/licenses/license-2.0 [[txt | html]] "
+     "unless required by applicable law or agreed to in writing, software distributed under the "
+     "license is distributed on an \"as is\" basis, without warranties or conditions of any kind, "
+     "either express or implied. see the license for the specific language governing permissions "
+     "and limitations under the license"),
     ("gpl-2", "[[this work is]] licensed under the [[terms of the]] gnu general public license "
               "[[as published by the free software foundation]] [[; either]] version 2"),
+    ("gpl-2-notice", _gnu_notice("gnu general public license", "2")),
     ("gpl-3", "[[this work is]] licensed under the [[terms of the]] gnu general public license "
               "[[as published by the free software foundation]] [[; either]] version 3"),
+    ("gpl-3-notice", _gnu_notice("gnu general public license", "3")),
     ("lgpl", "licensed under the [[terms of the]] gnu lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms, with or without modification, "
-            "are permitted provided that the following conditions are met"),
+    ("lgpl-notice", _gnu_notice("gnu lesser general public license", "2.1")),
+    ("lgpl-notice", _gnu_notice("gnu lesser general public license", "3")),
+    ("bsd-2", _BSD_GRANT + _BSD_1_2 + _BSD_DISCLAIMER),
+    ("bsd-3", _BSD_GRANT + _BSD_1_2 + _BSD_3 + _BSD_DISCLAIMER),
+    ("bsd-opening", _BSD_GRANT),
     ("bsd", "licensed under the [[{{2}}]] bsd [[2 clause | 3 clause]] license"),
     ("cc-by-nc", "licensed under [[a | the]] [[creative commons]] cc by nc"),
     ("cc-by-nc", "licensed under [[a | the]] creative commons attribution non commercial "
                  "[[4.0]] [[international]] license"),
-    ("all-rights-reserved", "copyright [[c]] {{8}} all rights reserved"),
+    ("all-rights-reserved", "copyright [[c | ©]] {{#}} {{9}} {{#}} all rights reserved"),
 ]
 
 
+#: Step for any count of numbers.
+NUMBERS = object()
+
+
 def template_words(text: str) -> list[str]:
     return regex.findall(TOKEN, text.lower())
 
 
 def parse(template: str) -> list:
-    """Markup to steps: a word, an int n (up to n words of anything), or a list of alternatives
-    of an optional region, each a list of steps."""
+    """Markup to steps: a word, an int n (up to n words of anything), ``NUMBERS``, or a list of
+    alternatives of an optional region, each a list of steps."""
     def steps(pieces: list[str]) -> list:
         out: list = []
         while pieces and pieces[0] not in ("]]", "|"):
@@ -68,13 +134,15 @@ def parse(template: str) -> list:
                     raise ValueError(f"unclosed [[ in: {template}")
                 pieces.pop(0)
                 out.append([w for w in ways if w])
+            elif piece == "{{#}}":
+                out.append(NUMBERS)
             elif piece.startswith("{{"):
                 out.append(int(piece[2:-2]))
             else:
                 out += template_words(piece)
         return out
 
-    pieces = [p for p in regex.split(r"(\[\[|\]\]|\||\{\{\d+\}\})", template) if p.strip()]
+    pieces = [p for p in regex.split(r"(\[\[|\]\]|\||\{\{(?:\d+|#)\}\})", template) if p.strip()]
     out = steps(pieces)
     if pieces:
         raise ValueError(f"unopened ]] or | in: {template}")
@@ -85,7 +153,7 @@ class Automaton:
     """All templates as one nondeterministic automaton over words.
 
     ``edges[state]`` maps a word to next states, ``anything[state]`` are next states for any
-    word, and ``free[state]`` are states reached without a word. Optional regions are bypassed
+    word, states of ``numbers`` stay where they are on a number, and ``free[state]`` are states reached without a word. Optional regions are bypassed
     by free edges; a region of n words is n states in a row, each with a free way out.
     """
 
@@ -93,6 +161,7 @@ class Automaton:
         self.edges: list[dict[str, set[int]]] = []
         self.anything: list[set[int]] = []
         self.free: list[set[int]] = []
+        self.numbers: set[int] = set()
         self.accepts: dict[int, str] = {}
         starts = []
         for label, text in templates:
@@ -101,7 +170,7 @@ class Automaton:
             end = self._add(begin, parse(text))
             self.accepts[end] = label
         self.starts = self._closed(starts)
-        if any(s in self.accepts or self.anything[s] for s in self.starts):
+        if any(s in self.accepts or self.anything[s] or s in self.numbers for s in self.starts):
             raise ValueError("a template needs a mandatory word before any free one")
         #: word -> states after it, from any start: texts without these words are left alone
         self.openers: dict[str, frozenset[int]] = {}
@@ -119,6 +188,9 @@ class Automaton:
             after = self._state()
             if isinstance(step, str):
                 self.edges[state].setdefault(step, set()).add(after)
+            elif step is NUMBERS:
+                self.free[state].add(after)
+                self.numbers.add(after)
             elif isinstance(step, int):
                 at = state
                 for _ in range(step):
@@ -148,6 +220,8 @@ class Automaton:
         for s in states:
             after |= self.anything[s]
             after |= self.edges[s].get(word, set())
+            if s in self.numbers and word.isdigit():
+                after.add(s)
         return self._closed(after)
 
     def scan(self, words: list[str]) -> list[tuple[str, int, int]]:

@@ -238,6 +238,70 @@ def test_license_scan(docs):
     assert license_scan.scan_licenses(docs([])).collect() == []
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+   disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+   following disclaimer in the documentation and/or other materials provided with the distribution.
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_NAME = """3. Neither the name of the University of Example nor the names of its contributors may be used to endorse or
+   promote products derived from this software without specific prior written permission.
+"""
+BSD_ADVERT = """3. All advertising materials mentioning features or use of this software must display the following
+   acknowledgement: This product includes software developed by the organization.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
+an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+specific language governing permissions and limitations under the License."""
+GPL = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU %sGeneral
+Public License as published by the Free Software Foundation; either version %s of the License, or (at your option) any
+later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU %sGeneral Public License for
+more details."""
+WHOLE = [
+    (MIT, {"mit", "mit-opening"}),
+    (MIT.replace("\nTHE SOFTWARE IS", "\nThe Software shall be used for Good, not Evil.\n\nTHE SOFTWARE IS"), {"mit-opening"}),
+    (MIT.replace(", subject to the following conditions:", ".").replace(
+        MIT[MIT.index("The above"):MIT.index("THE SOFTWARE IS")], ""), {"mit-opening"}),
+    (BSD % "", {"bsd-2", "bsd-opening"}), (BSD % BSD_NAME, {"bsd-3", "bsd-opening"}),
+    (BSD % (BSD_ADVERT + BSD_NAME.replace("3.", "4.")), {"bsd-opening"}),
+    ((BSD % BSD_NAME).replace("must retain", "may drop"), {"bsd-opening"}),
+    (APACHE, {"apache-2", "apache-2-notice"}), (APACHE.replace("may not use", "may use"), {"apache-2"}),
+    (GPL % ("", "2", ""), {"gpl-2-notice"}), (GPL % ("", "3", ""), {"gpl-3-notice"}),
+    (GPL % ("Lesser ", "2.1", "Lesser "), {"lgpl-notice"}), (GPL % ("Lesser ", "3", ""), set()),
+    ("Copyright (c) 1998, 1999, 2000, 2001, 2003-2010, 2012 The Example Project and Others. All rights reserved.",
+     {"all-rights-reserved"}),
+    ("Copyright © 2020 One Two Three Four Five Six Seven Eight Nine. All rights reserved.", {"all-rights-reserved"}),
+]
+
+
+def test_license_altered_after_its_first_sentence(docs):
+    found = license_scan.scan_licenses(docs([(i, t) for i, (t, _) in enumerate(WHOLE)])).collect()
+    got = {r.doc_id: {s.label for s in [*r.phrase_spans, *r.template_spans]} for r in found}
+    assert [got[i] for i in range(len(WHOLE))] == [labels for _, labels in WHOLE]
+
+
 def test_license_base_on_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op10(spark, SF).collect():
