@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,14 @@ def usable(vector: Column) -> Column:
 
 
 def grid(vector: Column, scale: int = 256) -> Column:
-    """``floor(scale * x)`` per component, the component as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    """``floor(scale * x)`` per component as double. ``floor`` gives a long, so it is left out
+    where doubles have no fraction anyway; overflow stops at the largest double."""
+    def cell(x: Column) -> Column:
+        scaled = F.greatest(F.least(x.cast("double") * scale, F.lit(sys.float_info.max)),
+                            F.lit(-sys.float_info.max))
+        return F.when(F.abs(scaled) >= EXACT, scaled).otherwise(F.floor(scaled).cast("double"))
+
+    return F.transform(vector, cell)
 
 
 class Tree:
@@ -107,7 +114,8 @@ def _search(k: int):
                 asked = np.array([[int(x) for x in p] for p in asked], dtype=object)
             tree = Tree(rows["id"].to_numpy(), points)
             bounds = tree.bounds(asked)
-            floors = queries["q_floor"].fillna(-math.inf).tolist()
+            # whole numbers, as a double can lie above the k-th score; the lowest stands for none
+            floors = [f if f > -LARGEST else -math.inf for f in queries["q_floor"].tolist()]
             for own, query, bound, floor in zip(queries["q_id"].tolist(), asked, bounds, floors):
                 out += [(own, -i, max(-LARGEST, min(LARGEST, int(s)))) for s, i in tree.search(own, query, bound, k, floor)]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
@@ -155,12 +163,13 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec
         return (corpus.groupBy(*group).cogroup(own.groupBy(*[f"q_{c}" for c in group]))
                 .applyInPandas(lambda a, b: _search(k)(a, b), schema))
 
-    nothing = F.lit(None).cast("double")
+    nothing = F.lit(-LARGEST)
     # each query in its own shard first: its k-th score there bounds it everywhere
     home = searched(asked.select(*group, "id", "vector", nothing.alias("floor")))
     kth = (_best(home, k).groupBy("query_id")
-           .agg(F.when(F.count("*") == k, F.min("score").cast("double")).alias("floor")))
+           .agg(F.when(F.count("*") == k, F.min("score")).alias("floor")))
     bounded = asked.drop("shard").join(kth.withColumnRenamed("query_id", "id"), "id", "left").select(
-        "width", every(shards).alias("shard"), "block", "id", "vector", "floor")
+        "width", every(shards).alias("shard"), "block", "id", "vector",
+        F.coalesce("floor", nothing).alias("floor"))
     return _best(searched(bounded), k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")

@@ -122,6 +122,25 @@ def test_vector_search(spark, leaf, monkeypatch):
     assert vector_search.exact_topk(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+@pytest.mark.parametrize("size", [2 ** 18, 2 ** 20, 2 ** 22, 2 ** 57])
+def test_vector_search_of_large_values_row_by_row(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.uniform(-size, size, (400, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    # one shard: the k-th row of the first pass is the k-th row of the whole table
+    got = {tuple(r) for r in vector_search.exact_topk(df, F.col("vec_id") % 5 == 0).collect()}
+    cells = [[math.floor(256 * x) for x in v] for _, v in rows]
+    top, want = vector_search.LARGEST, set()
+    for q in range(0, 400, 5):
+        scores = [(max(-top, min(top, sum(a * b for a, b in zip(cells[q], c)))), i) for i, c in enumerate(cells) if i != q]
+        best = sorted(scores, key=lambda s: (-s[0], s[1]))[:5]
+        want |= {(q, n, i, s) for n, (s, i) in enumerate(best, 1)}
+    if size < 2 ** 50:
+        assert got == want
+    else:  # scores beyond a long all stop at the largest one
+        assert sorted((q, n, s) for q, n, _, s in got) == sorted((q, n, s) for q, n, _, s in want)
+
+
 def test_tree_leaves_out_boxes():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(16, 8)) * 4
