@@ -23,10 +23,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage: a lost executor costs a re-read, and rows whose making depends on the run
     (sampled ranges) are made once.
     """
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written`` and the table's folder, for one that is erased when a successor stands."""
     spark = df.sparkSession
     path = work_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def erase(spark: SparkSession, path: str) -> None:
+    """Remove a table of the work folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:

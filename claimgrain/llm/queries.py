@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgrain.llm import (bpe, chat_format, language_id, license_scan, mixing, ngram_join,
-                            quality_rules, sharding, url_filter, vector_search)
+from claimgrain.llm import (bpe, chat_format, language_id, lexical_search, license_scan, mixing,
+                            ngram_join, packing, periodic_runs, quality_rules, sharding, url_filter,
+                            vector_search)
+from claimgrain.llm.common import GAP, let
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -241,3 +243,70 @@ def op10(spark, sf_dir):
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(both), ",").alias("labels"),
         F.when(F.size(both) > 0, 1.0).otherwise(0.0).alias("score"))
+
+
+# ---- 11 -----------------------------------------------------------------------------------
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents, told by crc32 of the id, repeat a stretch of
+    their words from some word to the end."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", GAP), lambda w: w != "")
+
+    def planted(own):
+        n = F.size(own)
+        return let(F.struct((g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).alias("p")), lambda s: F.array_join(
+            F.transform(own, lambda w, i: F.when(i < s["a"], w).otherwise(
+                F.get(own, (s["a"] + (i - s["a"]) % s["p"]).cast("int")))), " "))
+
+    text = F.when(h % 10 == 0, let(words, lambda own: F.when(F.size(own) > 0, planted(own))))
+    return docs.select("doc_id", F.coalesce(text, "text").alias("text"))
+
+
+@register("op11_periodic_runs")
+def op11(spark, sf_dir):
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("*", best.alias("best"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+# ---- 12 -----------------------------------------------------------------------------------
+@register("op12_lexical_search", r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d AS (SELECT r, doc_id, ts, len(ts) AS n FROM t WHERE len(ts) > 0),
+g AS (SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS l FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * total + 2 AS DOUBLE)
+    / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, g GROUP BY term, total),
+c AS (SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * total) // l))) AS part
+  FROM tf JOIN w USING (term) JOIN d USING (r), g),
+s AS (SELECT item_id, r, CAST(sum(part) AS BIGINT) AS score FROM q JOIN c USING (term)
+  GROUP BY item_id, r HAVING sum(part) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)
+  AS INTEGER) AS rank, doc_id, score FROM s JOIN d USING (r) QUALIFY rank <= 50
+""")
+def op12(spark, sf_dir):
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"),
+                                        table(spark, sf_dir, "benchmark"), k=50)
+
+
+# ---- 13 -----------------------------------------------------------------------------------
+@register("op13_packing")
+def op13(spark, sf_dir):
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), byte_bpe()).drop("ids")
+    return packing.pack(pieces)
