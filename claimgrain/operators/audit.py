@@ -20,11 +20,31 @@ def pseudonymize(events: DataFrame, salt: bytes) -> DataFrame:
 LOG_COLUMNS = ["event_id", "event_type", "timestamp", "request_id", "role", "data", "ip_hash"]
 
 
-def log_rows(events: DataFrame, salt: bytes) -> DataFrame:
+#: Equal events of a batch that one task numbers.
+NUMBERED = 100_000
+
+
+def _one_by_one(rows: DataFrame, count: str, ordinal: str) -> DataFrame:
+    """Every row ``count`` times with its ``ordinal`` from 1 on; a row that stands for many is
+    first dealt out in blocks."""
+    blocks = rows.withColumn("_block", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.expr(f"({count} - 1) div {NUMBERED}"))))
+    last = F.least(F.col(count), (F.col("_block") + 1) * NUMBERED)
+    return (blocks.repartition("event_id", "_block")
+            .withColumn(ordinal, F.explode(F.sequence(F.col("_block") * NUMBERED + 1, last)))
+            .drop("_block", count))
+
+
+def log_rows(events: DataFrame, salt: bytes, batch: str | None = None) -> DataFrame:
     """Events as the log stores them: address pseudonymised, ids made where they are missing.
 
-    ``event_id`` is a hash of the whole event, so appending a batch again after a lost job adds
-    rows that ``read_log`` drops. A missing request id is made from the event in the same way.
+    ``event_id`` is a hash of the whole event, of ``batch`` if one is named, and of the place among
+    equal events of the batch from the second on: equal events stay apart, and a batch appended
+    again after a lost job gives the same ids, whatever the order of its rows. Without a batch
+    name, events equal to some of another batch get the ids of those; a job that appends more than
+    once names its batches. A missing request id is made from the event in the same way.
+
+    Equal events meet as one row with a count, combined before the shuffle.
     """
     stored = pseudonymize(events, salt)
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
@@ -32,14 +52,21 @@ def log_rows(events: DataFrame, salt: bytes) -> DataFrame:
     content = F.concat_ws("\x1f", ids.isoformat(F.col("timestamp")), *parts)
     made = F.substring(F.sha2(F.concat(F.lit("request\x1f"), content), 256), 1, 32)
     request = F.coalesce(F.nullif(F.col("request_id"), F.lit("")), made)
-    return (stored.withColumn("request_id", request)
-            .withColumn("event_id", F.sha2(F.concat_ws("\x1f", content, "request_id"), 256))
+    named = [] if batch is None else [F.lit(batch)]
+    whole = (stored.withColumn("request_id", request)
+             .withColumn("event_id", F.sha2(F.concat_ws("\x1f", content, "request_id", *named), 256))
+             .groupBy(*LOG_COLUMNS).agg(F.count(F.lit(1)).alias("_equal")))
+    nth = F.sha2(F.concat_ws("\x1f", "event_id", F.col("_nth").cast("string")), 256)
+    return (_one_by_one(whole, "_equal", "_nth")
+            .withColumn("event_id", F.when(F.col("_nth") == 1, F.col("event_id")).otherwise(nth))
             .select(*LOG_COLUMNS))
 
 
-def append_log(events: DataFrame, path: str, salt: bytes) -> None:
-    """Append events to a log partitioned by day; nothing that is there is read or rewritten."""
-    (log_rows(events, salt).withColumn("day", F.to_date("timestamp"))
+def append_log(events: DataFrame, path: str, salt: bytes, batch: str | None = None) -> None:
+    """Append events to a log partitioned by day; nothing that is there is read or rewritten.
+
+    ``batch`` names this batch among all that are appended; see ``log_rows``."""
+    (log_rows(events, salt, batch).withColumn("day", F.to_date("timestamp"))
      .write.mode("append").partitionBy("day").parquet(path))
 
 
@@ -101,6 +128,86 @@ def window_alerts(events: DataFrame, ts: str = "timestamp", width: str = "1 hour
                     (F.col("p99_ms") > dims.ALERT_P99_MS).alias("latency_alert")))
 
 
+# ---- mergeable partial results ---------------------------------------------------------------
+
+PARTIAL_SCHEMA = "hour timestamp, latency_ms int, events bigint, flagged bigint, errors bigint"
+
+
+def alert_partials(events: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Counts per hour and latency that add up over any split of the events.
+
+    ``hour`` is null for events without a time: they belong to no window but stay counted. Equal
+    latencies of an hour are one row, combined before the shuffle, so an hour that holds a third
+    of the log costs its distinct latencies.
+    """
+    return (events.groupBy(F.date_trunc("hour", F.col(ts).cast("timestamp")).alias("hour"),
+                           F.col("latency_ms").cast("int").alias("latency_ms"))
+            .agg(F.count(F.lit(1)).alias("events"), F.count("is_error").alias("flagged"),
+                 F.count_if("is_error").alias("errors")))
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("hour", "latency_ms").agg(
+        *[F.sum(c).alias(c) for c in ("events", "flagged", "errors")])
+
+
+def partial_alerts(partials: DataFrame) -> DataFrame:
+    """``window_alerts`` per hour, from partial counts in any number of pieces."""
+    rate = F.try_divide(F.sum("errors"), F.sum("flagged")).cast("double")
+    p99 = F.percentile("latency_ms", F.lit(0.99), F.col("events"))
+    return (partials.filter("hour IS NOT NULL").groupBy("hour")
+            .agg(F.sum("events").alias("events"), rate.alias("error_rate"), p99.alias("p99_ms"))
+            .select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                    "events", "error_rate", "p99_ms",
+                    (F.col("error_rate") > dims.ALERT_ERROR_RATE).alias("error_alert"),
+                    (F.col("p99_ms") > dims.ALERT_P99_MS).alias("latency_alert")))
+
+
+def untimed_events(partials: DataFrame) -> DataFrame:
+    """How many events came without a time and are in no window."""
+    return partials.filter("hour IS NULL").agg(F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
+
+
+#: Accuracy of the latency sketches: the rank of an answer is off by 2.296 / SKETCH_K ** 0.9723
+#: of the events at most (0.28 % here) with 99 % confidence, in about 25 KB an hour.
+SKETCH_K = 1000
+
+
+def hourly_sketches(events: DataFrame, ts: str = "timestamp", k: int = SKETCH_K) -> DataFrame:
+    """``hour, events, flagged, errors, latency``: one mergeable quantile sketch per hour.
+
+    The sketch has a fixed size however many distinct latencies an hour has, and is built in every
+    task before the shuffle, so a hot hour costs one sketch per task. Events without a time have a
+    row of their own; hours without any latency have a null sketch.
+    """
+    return (events.groupBy(F.date_trunc("hour", F.col(ts).cast("timestamp")).alias("hour"))
+            .agg(F.count(F.lit(1)).alias("events"), F.count("is_error").alias("flagged"),
+                 F.count_if("is_error").alias("errors"),
+                 F.when(F.count("latency_ms") > 0, F.kll_sketch_agg_bigint(
+                     F.col("latency_ms").cast("bigint"), k)).alias("latency")))
+
+
+def sketch_alerts(sketches: DataFrame, width: str = "1 day", slide: str | None = None,
+                  k: int = SKETCH_K) -> DataFrame:
+    """Alerts over windows of whole hours, merged from hourly sketches without the events.
+
+    ``width`` and ``slide`` as in ``window``; with a slide every hour is merged into the
+    ``width / slide`` windows that hold it. ``p99_ms`` is a latency that occurs.
+    """
+    over = F.window("hour", width, slide) if slide else F.window("hour", width)
+    rate = F.try_divide(F.sum("errors"), F.sum("flagged")).cast("double")
+    merged = sketches.filter("hour IS NOT NULL").groupBy(over.alias("w")).agg(
+        F.sum("events").alias("events"), rate.alias("error_rate"),
+        F.when(F.count("latency") > 0, F.kll_merge_agg_bigint("latency", k)).alias("latency"))
+    p99 = F.when(F.col("latency").isNotNull(),
+                 F.kll_sketch_get_quantile_bigint("latency", F.lit(0.99).cast("double")))
+    return (merged.withColumn("p99_ms", p99)
+            .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "events",
+                    "error_rate", "p99_ms",
+                    (F.col("error_rate") > dims.ALERT_ERROR_RATE).alias("error_alert"),
+                    (F.col("p99_ms") > dims.ALERT_P99_MS).alias("latency_alert")))
+
+
 def chat_events(answers: DataFrame, at: Column) -> DataFrame:
     """Audit rows of answered requests: the query only as a hash, never as text."""
     payload = F.to_json(F.struct(

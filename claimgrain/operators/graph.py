@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgrain import dims
+from claimgrain.session import remove_folder, stored, stored_at
 
 MAX_PATHS = 5
 
@@ -110,12 +111,13 @@ def evidence_paths(edges: DataFrame, pairs: DataFrame, limit: int = MAX_PATHS) -
     ``limit + 2`` middle nodes per end node. That is exact: a path using a later middle node
     can swap it for any kept one except the at most two that already occur in the path, so
     at least ``limit`` paths come before it. Pairs meet heads and tails from the smaller side
-    (``_meet``), so a hub with a third of all edges adds a bounded list per node.
+    (``_meet``), so a hub with a third of all edges adds a bounded list per node. What several
+    lengths read (links, heads, the paths so far) is written once.
     """
     pair = ["source", "target"]
-    links = edges.filter("src <> dst").select("src", "dst").distinct()
+    links = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "links")
     into = links.select(F.col("src").alias("y"), F.col("dst").alias("target"))
-    wanted = pairs.select(*pair).filter("source <> target").distinct()
+    wanted = stored(pairs.select(*pair).filter("source <> target").distinct(), "pairs")
 
     def short_of(found: DataFrame) -> DataFrame:
         enough = (found.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"))
@@ -130,18 +132,19 @@ def evidence_paths(edges: DataFrame, pairs: DataFrame, limit: int = MAX_PATHS) -
 
     first_hop = wanted.select("source").distinct().join(
         links, F.col("source") == F.col("src")).select("source", F.col("dst").alias("x"))
-    heads = _keep_first(
+    heads = stored(_keep_first(
         first_hop.join(links, F.col("x") == F.col("src")).filter("dst <> source")
-        .select("source", "x", F.col("dst").alias("y")), ["source", "y"], ["x"], limit + 2)
+        .select("source", "x", F.col("dst").alias("y")), ["source", "y"], ["x"], limit + 2), "heads")
     two = first_paths(wanted.join(heads.withColumnRenamed("y", "target"), pair),
                       "source", "x", "target")
 
-    upto2 = one.unionByName(two)
+    upto2 = stored(one.unionByName(two), "paths")
     three = first_paths(_meet(short_of(upto2), heads, into).filter("x <> target"),
                         "source", "x", "y", "target")
 
+    three = stored(three, "paths")
     upto3 = upto2.unionByName(three)
-    need4 = short_of(upto3)
+    need4 = stored(short_of(upto3), "pairs")
     last_hop = need4.select("target").distinct().join(into, "target").select(
         "target", F.col("y").alias("z"))
     tails = _keep_first(
@@ -189,3 +192,74 @@ def expand_hits(hits: DataFrame, edges: DataFrame) -> DataFrame:
                .select("query_id", "entity").distinct())
     return (reached.join(ends.distinct(), "entity")
             .select("query_id", F.col("source_chunk_id").alias("chunk_id")).distinct())
+
+
+# ---- scores that spread over the graph ---------------------------------------------------------
+
+def personalised_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, tolerance: float = 1e-4,
+                      max_rounds: int = 200) -> DataFrame:
+    """``query_id, node, score, missing``: how often a walk from a query's seeds is at each node.
+
+    ``seeds(query_id, node, weight)``: a walk begins at a seed by weight, goes back with probability
+    ``restart`` and else along an out-edge of ``edges(src, dst)``, each alike; it ends where there is
+    none. Scores are pushed: a node with more than ``tolerance`` of unsettled weight per out-edge
+    settles its restart share and hands on the rest, for all queries at once, round by round. A score
+    is never above the true one and at most ``missing`` below it; that is what the query left
+    unsettled, ``tolerance`` times the edges of the nodes it reached at most.
+
+    Repeated edges count once. Weights that are null or not above 0, and null queries and nodes,
+    take no part. Only nodes with unsettled weight meet their edges, and the flows into a node add
+    up before the shuffle, so a hub costs its edges once per round and query. A round's table
+    replaces the last one in the work folder.
+    """
+    spark = edges.sparkSession
+    links = stored(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "links")
+    degrees = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    known = seeds.filter("query_id IS NOT NULL AND node IS NOT NULL AND weight > 0")
+    total = known.groupBy("query_id").agg(F.sum("weight").alias("total"))
+    begun = (known.groupBy("query_id", "node").agg(F.sum("weight").alias("w")).join(total, "query_id")
+             .join(degrees, "node", "left").select(
+                 "query_id", "node", F.coalesce("degree", F.lit(0)).alias("degree"),
+                 F.lit(0.0).alias("score"), (F.col("w") / F.col("total")).alias("open")))
+    state, path = stored_at(begun, "rank")
+    unsettled = F.col("open") > tolerance * F.greatest("degree", F.lit(1))
+    for _ in range(max_rounds):
+        if state.filter(unsettled).isEmpty():
+            break
+        active = state.filter(unsettled)
+        share = F.when(F.col("degree") > 0, restart).otherwise(1.0)
+        flows = (active.filter("degree > 0").join(links, F.col("node") == F.col("src"))
+                 .groupBy("query_id", F.col("dst").alias("node"))
+                 .agg(F.sum((1 - restart) * F.col("open") / F.col("degree")).alias("open"))
+                 .join(degrees, "node", "left")
+                 .select("query_id", "node", F.coalesce("degree", F.lit(0)).alias("degree"),
+                         F.lit(0.0).alias("score"), "open"))
+        settled = state.select(
+            "query_id", "node", "degree",
+            (F.col("score") + F.when(unsettled, share * F.col("open")).otherwise(0.0)).alias("score"),
+            F.when(unsettled, F.lit(0.0)).otherwise(F.col("open")).alias("open"))
+        merged = settled.unionByName(flows).groupBy("query_id", "node").agg(
+            F.max("degree").alias("degree"), F.sum("score").alias("score"), F.sum("open").alias("open"))
+        last, (state, path) = path, stored_at(merged, "rank")
+        remove_folder(spark, last)
+    missing = state.groupBy("query_id").agg(F.sum("open").alias("missing"))
+    return (state.filter("score > 0").join(missing, "query_id")
+            .select("query_id", "node", "score", "missing"))
+
+
+def spread_relevance(hits: DataFrame, edges: DataFrame, **options) -> DataFrame:
+    """``query_id, id, relevance`` of the chunks that the graph leads to from each query's hits.
+
+    The entities of a hit's edges are the query's seeds, by the hit's similarity (negative ones count
+    nothing). A chunk's relevance is the rank of its best entity as a share of the query's highest
+    rank, so it lies between 0 and 1. ``options`` go to ``personalised_rank``; walks use edges in both
+    directions.
+    """
+    ends = supports(edges)
+    seeds = (hits.join(ends, "id").groupBy("query_id", F.col("entity").alias("node"))
+             .agg(F.sum("similarity").alias("weight")))
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ranks = personalised_rank(both, seeds, **options)
+    highest = ranks.groupBy("query_id").agg(F.max("score").alias("highest"))
+    return (ranks.join(highest, "query_id").join(ends, F.col("node") == F.col("entity"))
+            .groupBy("query_id", "id").agg(F.max(F.col("score") / F.col("highest")).alias("relevance")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgrain import dims
@@ -77,14 +77,68 @@ def synonym_table(spark) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, canonical)")
 
 
-def link_entities(triples: DataFrame, columns: tuple[str, ...] = ("subject", "object")) -> DataFrame:
-    """Canonical names by exact match of the trimmed lower-cased name."""
-    table = synonym_table(triples.sparkSession)
+#: Synonyms of so many letters and nothing else read as ordinary words.
+SHORT_NAME = 4
+
+
+def entity_names(spark) -> DataFrame:
+    """``name, canonical, ambiguous`` of the fixed entity list.
+
+    A synonym is ambiguous when it is a short plain word or stands for several entities: links and
+    mentions by it are kept and flagged. A canonical name never is.
+    """
+    shared = Window.partitionBy("name")
+    plain = F.col("name").rlike(rf"^\p{{L}}{{1,{SHORT_NAME}}}$")
+    return synonym_table(spark).withColumn("ambiguous", (F.col("name") != F.lower("canonical"))
+                                           & (plain | (F.count("*").over(shared) > 1)))
+
+
+def link_entities(triples: DataFrame, columns: tuple[str, ...] = ("subject", "object"),
+                  flag: bool = False) -> DataFrame:
+    """Canonical names by exact match of the trimmed lower-cased name.
+
+    With ``flag``, ``<column>_ambiguous`` tells whether the link rests on an ambiguous synonym."""
+    table = entity_names(triples.sparkSession) if flag else synonym_table(triples.sparkSession)
     for column in columns:
+        kept = [F.col("ambiguous").alias("_ambiguous")] if flag else []
         names = F.broadcast(table.select(F.col("name").alias("_name"),
-                                         F.col("canonical").alias("_canonical")))
+                                         F.col("canonical").alias("_canonical"), *kept))
         key = F.lower(F.trim(F.col(column)))
         triples = (triples.join(names, key == F.col("_name"), "left")
-                   .withColumn(column, F.coalesce("_canonical", F.trim(F.col(column))))
-                   .drop("_name", "_canonical"))
+                   .withColumn(column, F.coalesce("_canonical", F.trim(F.col(column)))))
+        if flag:
+            triples = triples.withColumn(f"{column}_ambiguous", F.coalesce("_ambiguous", F.lit(False)))
+        triples = triples.drop("_name", "_canonical", "_ambiguous")
     return triples
+
+
+# ---- misspelt names ---------------------------------------------------------------------------
+
+def _shortened(word: Column) -> Column:
+    """Hashes of a word and of the word without each of its characters."""
+    places = F.sequence(F.lit(1), F.greatest(F.char_length(word), F.lit(1)))
+    cut = F.transform(places, lambda i: F.xxhash64(F.concat(
+        F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.char_length(word)))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(word)), cut))
+
+
+def misspelt_names(words: DataFrame, names: DataFrame) -> DataFrame:
+    """``word, name, edits`` of all words and names at most one edit apart (insert, delete, replace).
+
+    ``words(word)`` and ``names(name)``, compared as they are written. Two strings within one edit
+    share a form with at most one character deleted, so candidates meet in an equi-join on hashes of
+    those forms and the edit distance decides; no word is compared with all names. Equal strings
+    have 0 edits. Repeated words and names count once; null and empty ones take no part; lengths
+    that no name comes near are left out first, so a very long word costs nothing. An empty side
+    gives no rows.
+    """
+    span = names.filter("name <> ''").agg(F.min(F.char_length("name")).alias("least"),
+                                          F.max(F.char_length("name")).alias("most"))
+    asked = words.filter("word <> ''").select("word").distinct()
+    near = asked.join(F.broadcast(span), F.char_length("word").between(F.col("least") - 1, F.col("most") + 1))
+    left = near.select("word", F.explode(_shortened(F.col("word"))).alias("form"))
+    right = names.filter("name <> ''").select("name").distinct().select(
+        "name", F.explode(_shortened(F.col("name"))).alias("form"))
+    edits = F.levenshtein("word", "name", 1)
+    return (left.join(right, "form").select("word", "name").distinct()
+            .withColumn("edits", edits).filter(F.col("edits") >= 0))

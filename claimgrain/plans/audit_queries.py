@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from claimgrain import dims
 from claimgrain.functions import ids
-from claimgrain.operators import audit
+from claimgrain.operators import audit, timeline
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
+from claimgrain.session import stored
 from claimgrain.sources import adapters as ad
 
 # Shown in the oracle SQL too, so it protects nothing: deployments pass their own salt.
@@ -95,6 +96,24 @@ def audit_alerts(spark, sf):
     return rounded_alerts(audit.window_alerts(ad.audit_events(spark, sf)))
 
 
+@register("audit_alerts_merged", ALERTS_SQL)
+def audit_alerts_merged(spark, sf):
+    """The hourly alerts from partial counts of parts of the log, added up."""
+    events = ad.audit_events(spark, sf)
+    parts = [audit.alert_partials(events.filter(F.col("event_id") % 3 == part)) for part in range(3)]
+    return rounded_alerts(audit.partial_alerts(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+
+
+@register("latency_trend")
+def latency_trend(spark, sf):
+    """Daily and sliding six-hour alerts, all merged from one stored sketch per hour."""
+    hours = stored(audit.hourly_sketches(ad.audit_events(spark, sf)), "hours")
+    spans = [("day", audit.sketch_alerts(hours, "1 day")),
+             ("6 hours", audit.sketch_alerts(hours, "6 hours", "1 hour"))]
+    days, sliding = (alerts.select(F.lit(span).alias("span"), "*") for span, alerts in spans)
+    return days.unionByName(sliding)
+
+
 @register("audit_export", q.query(q.AUDIT, f"""
 SELECT event_id, event_type, {q.iso('"timestamp"')} AS "timestamp", request_id, role,
   replace(data, '": ', '":') AS data, {_IP_HASH} AS ip_hash FROM audit WHERE json_valid(data)
@@ -156,3 +175,16 @@ SELECT job_id, n AS count, CASE WHEN failed THEN 'failed' ELSE 'completed' END A
   CASE WHEN failed THEN 'source unreachable' END AS error FROM results"""))
 def job_outcome(spark, sf):
     return audit.job_outcome(ad.run_results(spark, sf)).select("job_id", "count", "status", "error")
+
+
+@register("job_concurrency", q.query(q.JOBS + """,
+spans AS (SELECT job_id, source_type, triggered_at AS s, coalesce(completed_at, TIMESTAMP '9999-01-01') AS e FROM jobs),
+meets AS (SELECT a.source_type, a.job_id, count(*) AS n FROM spans a
+  JOIN spans b ON a.source_type = b.source_type AND b.s <= a.s AND a.s < b.e GROUP BY ALL),
+pairs AS (SELECT a.source_type, count(*) AS n FROM spans a JOIN spans b ON a.source_type = b.source_type
+  AND a.job_id < b.job_id AND a.s < b.e AND b.s < a.e GROUP BY ALL)""", """
+SELECT m.source_type, count(*) AS intervals, max(m.n) AS peak, coalesce(any_value(p.n), 0) AS conflicts
+FROM meets m LEFT JOIN pairs p USING (source_type) GROUP BY m.source_type"""))
+def job_concurrency(spark, sf):
+    """How many jobs of a source ran at once, and how many pairs of them would have conflicted."""
+    return timeline.concurrency(ad.jobs(spark, sf), "source_type", "triggered_at", "completed_at")

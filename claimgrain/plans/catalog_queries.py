@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimgrain.functions import ids
-from claimgrain.operators import catalog
+from claimgrain.functions import ids, scoring
+from claimgrain.operators import catalog, seen, timeline
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
+from claimgrain.session import work_folder
 from claimgrain.sources import adapters as ad
 
 _GROUPED = """grouped AS (
@@ -146,3 +147,40 @@ def tier_downgrade(spark, sf):
         F.col("raw_content").contains("newsletter").alias("marketing"),
         ((kind == "pubmed") & (F.col("doc_id") % 11 == 0)).alias("retracted"))
     return catalog.downgrade_tiers(signals).select("doc_id", "evidence_tier", "new_tier")
+
+
+@register("tier_as_of", q.query(f"{q.DOCS},\n{q.IDED}" + """,
+given AS (SELECT source_name, acquired_at + INTERVAL 30 SECOND AS valid_from,
+    CASE WHEN toxic = 1 THEN acquired_at + INTERVAL 1 HOUR END AS valid_to,
+    CASE WHEN quality = 0 THEN 5 ELSE 2 END AS tier FROM ided JOIN labels USING (doc_id)),
+latest AS (SELECT d.doc_id, max(g.valid_from) AS valid_from
+  FROM ided d LEFT JOIN given g ON g.source_name = d.source_name AND g.valid_from <= d.acquired_at GROUP BY d.doc_id)""", """
+SELECT d.doc_id, CASE WHEN g.valid_to IS NULL OR d.acquired_at < g.valid_to THEN coalesce(g.tier, d.evidence_tier)
+  ELSE d.evidence_tier END AS evidence_tier
+FROM ided d JOIN latest l USING (doc_id)
+LEFT JOIN given g ON g.source_name = d.source_name AND g.valid_from = l.valid_from"""))
+def tier_as_of(spark, sf):
+    """The tier of every document under the judgement of its source that held when it was acquired:
+    each labelled document is a judgement of its source, good for an hour if it was toxic."""
+    docs = ad.shape_docs(ad.table(spark, sf, "documents")).select(
+        "doc_id", "source_name", "acquired_at", scoring.infer_tier(
+            F.col("source_type"), F.col("source_name")).alias("inferred"))
+    given = docs.join(ad.table(spark, sf, "labels"), "doc_id").select(
+        "source_name", (F.col("acquired_at") + F.expr("INTERVAL 30 SECONDS")).alias("valid_from"),
+        F.when(F.col("toxic") == 1, F.col("acquired_at") + F.expr("INTERVAL 1 HOUR")).alias("valid_to"),
+        F.when(F.col("quality") == 0, 5).otherwise(2).alias("tier"))
+    found = timeline.as_of_join(docs, given, "source_name", "acquired_at", "valid_from", until="valid_to")
+    return found.select("doc_id", F.coalesce("asof.tier", "inferred").alias("evidence_tier"))
+
+
+@register("dedup_across_runs", """
+SELECT arg_min(doc_id, (doc_id % 3, doc_id)) AS doc_id, min(doc_id % 3) AS run FROM documents
+WHERE text IS NOT NULL GROUP BY text
+UNION ALL SELECT doc_id, doc_id % 3 FROM documents WHERE text IS NULL""")
+def dedup_across_runs(spark, sf):
+    """Three runs over parts of the documents, each admitting the texts that none before it had."""
+    path = work_folder(spark, "seen")
+    docs = ad.table(spark, sf, "documents").select("doc_id", ids.content_hash(F.col("text")).alias("content_hash"))
+    done = [seen.admit(docs.filter(F.col("doc_id") % 3 == run), path, run, order=["doc_id"]).select(
+        "doc_id", F.lit(run).cast("bigint").alias("run")) for run in range(3)]
+    return done[0].unionByName(done[1]).unionByName(done[2])

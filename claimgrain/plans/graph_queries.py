@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimgrain import dims
-from claimgrain.operators import graph, knowledge
+from claimgrain.operators import graph, knowledge, mentions
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
 from claimgrain.session import stored
@@ -155,3 +155,58 @@ SELECT '{"source":"' || src || '","target":"' || dst || '","relation":"' || rela
   || ',"source_chunk_id":"' || source_chunk_id || '","confidence":' || confidence || '}' AS value FROM edges"""))
 def edge_export(spark, sf):
     return graph.edge_lines(ad.edges(spark, sf))
+
+
+_NAMES = [(n.lower(), canonical) for canonical, names in dims.SYNONYMS.items() for n in [canonical, *names]]
+_LISTED = sorted({t for t in (*dims.GROWTH_TERMS, *dims.PREGNANCY_TERMS, *dims.ONCOLOGY_TERMS)} - {n for n, _ in _NAMES})
+_BORDER = r"(?:$|[^\pL\pN_])"
+
+
+@register("entity_mentions", q.query(f"{q.DOCS},\n{q.REQUESTS}" + f""",
+names(name, canonical) AS (VALUES {", ".join(f"({q.lit(n)}, {q.lit(c)})" for n, c in
+                                             [*_NAMES, *((t, t) for t in _LISTED)])}),
+texts AS (SELECT 'doc ' || doc_id AS id, raw_content AS text FROM docs
+  UNION ALL SELECT 'request ' || request_id, query FROM requests),
+hits AS (SELECT id, canonical, len(regexp_extract_all(lower(text),
+    '(?:^|[^\\pL\\pN_])' || regexp_escape(name) || '{_BORDER}')) AS n
+  FROM texts JOIN names ON contains(lower(text), name))""", """
+SELECT id, canonical, CAST(sum(n) AS BIGINT) AS mentions FROM hits WHERE n > 0 GROUP BY id, canonical"""))
+def entity_mentions(spark, sf):
+    """Entities and listed terms in whole documents and requests."""
+    listed = spark.createDataFrame([(t, t, False) for t in _LISTED], "name string, canonical string, ambiguous boolean")
+    names = knowledge.entity_names(spark).unionByName(listed)
+    docs = ad.docs_meta(spark, sf).select(
+        F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("id"), F.col("raw_content").alias("text"))
+    asked = ad.requests(spark, sf).select(
+        F.concat(F.lit("request "), F.col("request_id").cast("string")).alias("id"), F.col("query").alias("text"))
+    found = mentions.find_mentions(docs.unionByName(asked), names, key="id", text="text")
+    return found.select("id", F.explode("mentions.canonical").alias("canonical")).groupBy("id", "canonical").agg(
+        F.count(F.lit(1)).alias("mentions"))
+
+
+@register("misspelt_names", """
+WITH names AS (SELECT DISTINCT p_name AS name FROM part),
+words AS (SELECT DISTINCT CASE p_partkey % 3
+    WHEN 0 THEN substr(p_name, 1, CAST(p_partkey % length(p_name) AS INT)) || substr(p_name, CAST(p_partkey % length(p_name) AS INT) + 2)
+    WHEN 1 THEN substr(p_name, 1, CAST(p_partkey % length(p_name) AS INT)) || 'q' || substr(p_name, CAST(p_partkey % length(p_name) AS INT) + 1)
+    ELSE p_name END AS word FROM part)
+SELECT word, name, CAST(levenshtein(word, name) AS INTEGER) AS edits FROM words JOIN names
+  ON abs(length(word) - length(name)) <= 1 AND levenshtein(word, name) <= 1""")
+def misspelt_names(spark, sf):
+    """Part names with a letter lost or added, traced to all names one edit away."""
+    parts, name = ad.table(spark, sf, "part"), F.col("p_name")
+    at = (F.col("p_partkey") % F.char_length(name)).cast("int")
+    head = F.substring(name, F.lit(1), at)
+    tail = lambda skip: F.substring(name, at + skip, F.char_length(name))
+    word = (F.when(F.col("p_partkey") % 3 == 0, F.concat(head, tail(2)))
+            .when(F.col("p_partkey") % 3 == 1, F.concat(head, F.lit("q"), tail(1))).otherwise(name))
+    return knowledge.misspelt_names(parts.select(word.alias("word")), parts.select(name.alias("name")))
+
+
+@register("graph_rank")
+def graph_rank(spark, sf):
+    """The entities around every contraindicated one, by walks that start there."""
+    edges = stored(ad.edges(spark, sf), "edges")
+    seeds = edges.filter(F.col("relation") == dims.CONTRAINDICATION).select(
+        F.col("src").alias("query_id"), F.col("src").alias("node"), F.lit(1.0).alias("weight")).distinct()
+    return graph.personalised_rank(edges, seeds)

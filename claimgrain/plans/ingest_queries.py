@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimgrain.functions import ids
-from claimgrain.operators import ingest
+from claimgrain.operators import ingest, versions
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
+from claimgrain.session import work_folder
 from claimgrain.sources import adapters as ad
 
 
@@ -50,11 +51,13 @@ def run_summary(spark, sf):
     return ingest.run_summary(ad.run_results(spark, sf))
 
 
-@register("chunk_upsert", q.query(q.ALL_CHUNKS, """
+UPSERT_SQL = q.query(q.ALL_CHUNKS, """
 SELECT chunk_id, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE evidence_tier END AS evidence_tier,
   CASE WHEN doc_id % 4 = 0 THEN content_hash || ':2' ELSE content_hash END AS content_hash FROM chunks
-UNION ALL SELECT 'new-' || chunk_id, 1, content_hash || ':2' FROM chunks WHERE doc_id % 4 = 1"""))
-def chunk_upsert(spark, sf):
+UNION ALL SELECT 'new-' || chunk_id, 1, content_hash || ':2' FROM chunks WHERE doc_id % 4 = 1""")
+
+
+def _changes(spark, sf):
     """Every fourth document is changed twice, every fourth brings new chunks, in one batch."""
     base = ad.chunks(spark, sf).select("doc_id", "chunk_id", "evidence_tier", "content_hash")
     kind = F.col("doc_id") % 4
@@ -64,7 +67,22 @@ def chunk_upsert(spark, sf):
         .alias("chunk_id"), (F.lit(3) - F.col("version")).alias("evidence_tier"),
         F.concat_ws(":", "content_hash", F.col("version").cast("string")).alias("content_hash"),
         "version")
-    return ingest.upsert(base.drop("doc_id"), changes, "chunk_id", "version")
+    return base.drop("doc_id"), changes
+
+
+@register("chunk_upsert", UPSERT_SQL)
+def chunk_upsert(spark, sf):
+    return ingest.upsert(*_changes(spark, sf), "chunk_id", "version")
+
+
+@register("chunk_upsert_versions", UPSERT_SQL)
+def chunk_upsert_versions(spark, sf):
+    """The same through a stored table: a new version beside the one that readers have open."""
+    path = work_folder(spark, "chunks")
+    base, changes = _changes(spark, sf)
+    versions.create(base, path, "chunk_id", buckets=16)
+    versions.change(spark, path, changes, "chunk_id", "version", buckets=16)
+    return versions.read(spark, path)
 
 
 _KINDS = "['website', 'blog', 'youtube', 'podcast']"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimgrain.functions import scoring
 from claimgrain.functions.embedding import hash_vector
-from claimgrain.operators import ingest, retrieval
+from claimgrain.operators import ingest, quantised, retrieval
 from claimgrain.operators.catalog import snippet
 from claimgrain.operators.ranking import hybrid_topk, rank_evidence
 from claimgrain.plans import sqltext as q
@@ -81,6 +81,16 @@ def ann_topk(spark, sf):
                                      _corpus(ad.chunk_vectors(spark, sf)), 10, bits=6, probe_bits=2))
 
 
+@register("quantised_topk")
+def quantised_topk(spark, sf):
+    """Ten nearest vectors of every twentieth vector, over a trained index of all of them."""
+    vectors = ad.table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = vectors.filter(F.col("id").cast("bigint") % 20 == 0).withColumnRenamed("id", "query_id")
+    hits = quantised.quantised_topk(asked, vectors, 10)
+    return _shape(hits).withColumnRenamed("chunk_id", "vec_id")
+
+
 @register("recency_boost", q.query(q.DOCS, f"""
 SELECT doc_id, CAST({q.recency()} AS DOUBLE) AS boost FROM docs"""))
 def recency_boost(spark, sf):

@@ -75,6 +75,12 @@ def pii_scan(spark, sf):
         "doc_id", "n_email", "n_phone", "n_address", "n_number", "redacted")
 
 
+@register("checked_pii")
+def checked_pii(spark, sf):
+    """Card, network and account numbers of whole documents whose digits hold."""
+    return privacy.checked_pii(ad.documents(spark, sf)).select("doc_id", "n_card", "n_ipv4", "n_account", "masked")
+
+
 @register("chunk_tokens", """
 WITH w AS (SELECT doc_id, %s AS words FROM documents),
 n AS (SELECT *, CASE WHEN len(words) = 0 THEN 0
@@ -282,6 +288,22 @@ def course_lessons(spark, sf):
         "stem", "lesson_pos", "source_name", "content")
 
 
+@register("course_lessons_nested", f"""
+WITH d AS (SELECT *, doc_id % 4 AS kind, {q.norm('text')} AS content FROM documents WHERE text <> '')
+SELECT 'export_' || doc_id AS stem,
+  CASE kind WHEN 0 THEN '0.0.0.0.0.0.' || lesson_pos WHEN 3 THEN '0' ELSE '0.0' END AS position,
+  CASE WHEN kind = 3 THEN 'export_' || doc_id || ': Lesson'
+    ELSE source || ': Lesson' || CASE WHEN lesson_pos = 0 THEN ' ' || doc_id ELSE '' END END AS source_name,
+  content
+FROM (SELECT *, unnest(CASE WHEN kind = 0 THEN [0, 1] ELSE [0] END) AS lesson_pos FROM d)""")
+def course_lessons_nested(spark, sf):
+    """Course exports of which a fourth lie four levels deeper than the others."""
+    files = ad.course_exports(spark, sf)
+    deep = F.concat(F.lit('{"modules":[{"title":"m","sections":[{"units":[{"children":['), "value", F.lit("]}]}]}]}"))
+    full = F.substring_index("stem", "_", -1).cast("bigint") % 4 == 0
+    return exports.nested_lessons(files.withColumn("value", F.when(full, deep).otherwise(F.col("value"))))
+
+
 @register("web_ingest", f"""
 WITH d AS (SELECT page_id, url, {q.html('html')} AS raw FROM pages),
 c AS (SELECT page_id, url, {q.norm(q.boiler('raw'))} AS clean FROM d WHERE raw <> ''),

@@ -62,6 +62,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     For a table read many times by one query: its lineage ends here, so the plan stays small
     and a lost executor costs a re-read instead of the whole history.
     """
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored`` and the table's folder, for one that is removed when a successor stands."""
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, in any store that Spark reads."""
+    system, where = _place(spark, path)
+    return system.exists(where) and system.getFileStatus(where).isDirectory()
+
+
+def finished_folders(spark: SparkSession, path: str, key: str) -> dict[int, str]:
+    """Number -> path of the folders ``key=number`` that a write has finished."""
+    system, where = _place(spark, path)
+    if not system.exists(where):
+        return {}
+    found = {}
+    for entry in system.listStatus(where):
+        name = entry.getPath().getName()
+        if name.startswith(f"{key}=") and system.exists(_place(spark, f"{path}/{name}/_SUCCESS")[1]):
+            found[int(name.split("=")[1])] = f"{path}/{name}"
+    return found
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    system, where = _place(spark, path)
+    system.delete(where, True)

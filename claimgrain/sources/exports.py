@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from claimgrain import dims
 from claimgrain.functions import chunking
 from claimgrain.functions.text import (clean_html, normalize_whitespace, strip_blank,
                                        words)
+from claimgrain.session import stored
 
 # Running offsets are summed in two levels: inside blocks of this many positions, then over the
 # blocks of a thread. It changes no result, only how much one task has to order.
@@ -216,6 +219,50 @@ def course_lessons(files: DataFrame) -> DataFrame:
         .alias("source_name"), normalize_whitespace(content).alias("content")))
 
 
+#: Lists of children, in the order in which they are looked for.
+CHILD_LISTS = ("modules", "lessons", "sections", "units", "children")
+
+
+def nested_lessons(files: DataFrame) -> DataFrame:
+    """Exported course files of any depth to lessons: ``stem, position, source_name, content``.
+
+    An object's children are the first of ``modules``, ``lessons``, ``sections``, ``units`` and
+    ``children`` that is a list; an object without any is a lesson, whose text is ``content``, else
+    ``text``. The course is the nearest ``course_name`` above the lesson, or the file's stem.
+    ``position`` is the path of places from the file's own list down. Blank lessons, list members
+    that are no objects and files that are no JSON give nothing.
+
+    One pass per level over the objects that have children, each level written before the next; what
+    is left shrinks by the lessons of the level, and the passes end with the deepest.
+    """
+    field = lambda node, name, kind: F.try_variant_get(node, f"$.{name}", kind)
+    root = F.try_parse_json(F.trim("value"))
+    listed = F.try_variant_get(root, "$", "array<variant>")
+    own = F.when(root.isNotNull(), F.coalesce(listed, F.array(root)))
+    level = files.select(F.col("stem"), F.col("stem").alias("course"), F.posexplode(own).alias("place", "node")).select(
+        "stem", "course", F.array(F.col("place").cast("string")).alias("path"), "node")
+    found = []
+    while True:
+        kids = F.coalesce(*[field(F.col("node"), name, "array<variant>") for name in CHILD_LISTS])
+        course = F.coalesce(field(F.col("node"), "course_name", "string"), F.col("course"))
+        is_object = F.schema_of_variant("node").startswith("OBJECT")
+        level = stored(level.filter(is_object).select(
+            "stem", course.alias("course"), "path", F.when(kids.isNull(), F.struct(
+                field(F.col("node"), "title", "string").alias("title"),
+                F.coalesce(field(F.col("node"), "content", "string"), field(F.col("node"), "text", "string"),
+                           F.lit("")).alias("content"))).alias("lesson"), kids.alias("kids")), "level")
+        found.append(level.filter("lesson.content <> ''").select(
+            "stem", F.array_join("path", ".").alias("position"),
+            F.concat(F.col("course"), F.lit(": "), F.coalesce("lesson.title", F.lit("Lesson"))).alias("source_name"),
+            F.col("lesson.content").alias("content")))
+        deeper = level.filter("size(kids) > 0").select("stem", "course", "path", F.posexplode("kids").alias("place", "node"))
+        if deeper.isEmpty():
+            break
+        level = deeper.select("stem", "course", F.concat("path", F.array(F.col("place").cast("string"))).alias("path"), "node")
+    lessons = reduce(DataFrame.unionByName, found)
+    return lessons.withColumn("content", normalize_whitespace(F.col("content")))
+
+
 def course_pages(files: DataFrame) -> DataFrame:
     """Exported course HTML files to documents."""
     return (clean_html(files, "value", "text")

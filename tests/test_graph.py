@@ -116,3 +116,23 @@ def test_expand_hits(spark):
         ("x", None, "TREATS", "y", None, 1, .5, "c3")))
     hits = spark.createDataFrame([("q", "c1")], "query_id string, chunk_id string")
     assert sorted(r.chunk_id for r in graph.expand_hits(hits, edges).collect()) == ["c1", "c2"]
+
+
+def test_hybrid_takes_its_hit_count_from_the_data(spark):
+    """Fifty hits of one query, k = 20: chunks of the graph that outrank hits are not lost."""
+    from claimgrain.operators.ranking import hybrid_topk
+    hits = spark.createDataFrame([("q", str(i), 0.01 + i / 1e4, i + 1) for i in range(50)] + [("r", "3", 0.9, 1), (None, "4", 0.9, 1)],
+                                 "query_id string, id string, similarity double, retrieval_rank int")
+    # one hub supports all 120 chunks, hits first in the order of their names
+    edges = spark.createDataFrame([("hub", f"e{i}", str(i)) for i in range(120)],
+                                  "src string, dst string, source_chunk_id string")
+    meta = spark.createDataFrame([(str(i), f"c{i:03d}", 1) for i in range(120)], "id string, chunk_id string, evidence_tier int")
+    meta = meta.withColumn("published_at", F.lit(None).cast("timestamp_ntz"))
+    as_of = F.lit("2024-06-30 00:00:00").cast("timestamp_ntz")
+    got = hybrid_topk(hits, edges, meta, as_of, k=20).collect()
+    for query, own in (("q", range(50)), ("r", [3])):
+        pool = [(-round(0.01 + i / 1e4, 9) if query == "q" else -0.9, i + 1 if query == "q" else 1, f"c{i:03d}", False) for i in own]
+        pool += [(-0.5, 1_000_000_000, f"c{i:03d}", True) for i in range(120) if i not in own]
+        want = [(c, g) for _, _, c, g in sorted(pool)[:20]]
+        assert [(r.chunk_id, r.from_graph) for r in sorted((r for r in got if r.query_id == query), key=lambda r: r.rank)] == want
+    assert hybrid_topk(hits.limit(0), edges, meta, as_of).collect() == []

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimgrain.functions.embedding import hash_vector
-from claimgrain.operators import retrieval
+from claimgrain.operators import quantised, retrieval
 
 
 def frame(spark, name, ids, matrix):
@@ -127,3 +127,74 @@ def test_hydrate_defaults(spark):
     assert (row.source_type, row.source_name, row.source_url, row.evidence_tier) == (
         "unknown", "Unknown Source", None, 3)
     assert str(row.acquired_at) == "2024-01-01 00:00:00"
+
+
+# ---- trained index ----------------------------------------------------------------------------
+
+def clustered(spark, n, seed=5, hot=0):
+    """Loose clusters in 64 dimensions, as many as vary with the size; ``hot`` rows near one point."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((max(8, n // 100), 64))
+    rows = centres[rng.integers(0, len(centres), n)] + 0.6 * rng.standard_normal((n, 64))
+    rows[:hot] = centres[0] + 0.05 * rng.standard_normal((hot, 64))
+    return spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(rows)], "id string, vector array<double>")
+
+
+def recall(found, exact):
+    got, want = ({(r.query_id, r.id) for r in df.collect()} for df in (found, exact))
+    return len(got & want) / len(want)
+
+
+@pytest.mark.parametrize("n", [1_500, 6_000, 24_000])
+def test_trained_index_recall_at_ten(spark, n):
+    corpus = clustered(spark, n, hot=n // 3)
+    queries = corpus.filter("id % 20 = 0").limit(300).withColumnRenamed("id", "query_id")
+    found = quantised.quantised_topk(queries, corpus, 10)
+    assert recall(found, retrieval.vector_topk(queries, corpus, 10)) >= 0.9
+
+
+def test_trained_index_bounds_its_blocks(spark):
+    corpus = clustered(spark, 3_000, hot=1_000)
+    quantiser = quantised.train(corpus, dimensions=64)
+    indexed = quantised.index(corpus, quantiser).cache()
+    assert indexed.count() == 3_000 and {len(r.code) for r in indexed.collect()} == {16}
+    cut = indexed.join(quantised.cut_cells(indexed, 50), "cell").withColumn(
+        "cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
+    assert cut.groupBy("cell", "cut").count().agg(F.max("count")).first()[0] <= 100
+    queries = corpus.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    whole = quantised.search(queries, corpus, indexed, quantiser, 5)
+    small = quantised.search(queries, corpus, indexed, quantiser, 5, rows_per_block=50)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, small.collect()))
+
+
+def test_trained_index_similarities_are_exact(spark):
+    """With every cell probed and every row a candidate the result is the exact one, ties by id."""
+    corpus = clustered(spark, 400).unionByName(clustered(spark, 40, hot=0).selectExpr("concat('copy', id) AS id", "vector"))
+    corpus = corpus.unionByName(spark.createDataFrame([("none", None), ("zero", [0.0] * 64)], corpus.schema))
+    quantiser = quantised.train(corpus, dimensions=64)
+    quantiser.probes = len(quantiser.centres)
+    indexed = quantised.index(corpus, quantiser)
+    queries = corpus.filter("id % 40 = 0").withColumnRenamed("id", "query_id")
+    found = quantised.search(queries, corpus, indexed, quantiser, 5, candidates=1000)
+    exact = retrieval.vector_topk(queries, corpus.filter("vector IS NOT NULL"), 5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
+    empty = corpus.limit(0)
+    assert quantised.quantised_topk(queries, empty, 5).collect() == []
+    assert quantised.quantised_topk(queries.limit(0), corpus, 5).collect() == []
+
+
+@pytest.mark.parametrize("name, k, column", [("quantised_topk", 10, "vec_id"), ("ann_topk", 10, "chunk_id")])
+def test_recall_of_the_registered_queries(spark, name, k, column):
+    """Measured on the given vectors, whole table."""
+    from claimgrain.plans import registry
+    registry.load_all()
+    sf = "/root/testdata/sf0.01"
+    got = {(r.query_id, r[column]) for r in registry.QUERIES[name](spark, sf).collect()}
+    if name == "ann_topk":
+        want = {(r.query_id, r.chunk_id) for r in registry.QUERIES["vector_topk"](spark, sf).collect()}
+    else:
+        vectors = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr(
+            "CAST(vec_id AS STRING) AS id", "CAST(embedding AS ARRAY<DOUBLE>) AS vector")
+        asked = vectors.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+        want = {(r.query_id, r.id) for r in retrieval.vector_topk(asked, vectors, k).collect()}
+    assert len(got & want) / len(want) >= 0.9
