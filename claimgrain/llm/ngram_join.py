@@ -14,6 +14,9 @@ order.
 Copies are one class. Inside a token's bucket the members first meet one pivot, and what links
 becomes one component; only pairs of different components are looked at after that. So a large
 family of near copies costs its size and not its square, and no link between components is lost.
+For those pairs one side is cut first to documents that hold the token among their first few, which
+the smaller set of a linked pair does: a wording that thousands of pages share, behind words of
+their own, makes no pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgrain.llm.common import fields, map_slices, release, written
-from claimgrain.llm.components import connected_components
+from claimgrain.llm.common import erase, fields, map_slices, release, written, written_at
+from claimgrain.llm.components import components_at
 
 SHINGLE = 3
 PERCENT = 90           # links have 100 * intersection >= 90 * union
@@ -233,14 +236,19 @@ def _least_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / F.lit(100.0 + percent) - 1e-9)
 
 
+def _index_length(size: Column, percent: int) -> Column:
+    """``index_length`` as an expression."""
+    return size - F.ceil(size * (2 * percent) / F.lit(100.0 + percent) - 1e-9) + 1
+
+
 def _may_link(n: Column, m: Column, pos_n: Column, pos_m: Column, first: Column,
               percent: int) -> Column:
     """Sizes near enough, and the shared token lies in the index prefix of the smaller set
     (``first`` breaks ties)."""
     smaller = (n < m) | ((n == m) & first)
     size, pos = F.when(smaller, n).otherwise(m), F.when(smaller, pos_n).otherwise(pos_m)
-    kept = size - F.ceil(size * (2 * percent) / F.lit(100.0 + percent) - 1e-9) + 1
-    return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (pos < kept))
+    return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+            & (pos < _index_length(size, percent)))
 
 
 def _near(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
@@ -287,11 +295,13 @@ def _sets(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``(a, a_c, b, b_c)`` whose whole sets link."""
-    pairs = written(pairs, "pairs")
+    spark = rows.sparkSession
+    pairs, pairs_at = written_at(pairs, "pairs")
     keys = pairs.select(F.col("a").alias("key")).unionByName(
         pairs.select(F.col("b").alias("key"))).distinct()
     # written as they come; the exchange that drops repeated rows also serves the join
-    sets = written(_sets(rows, keys, size), "sets").dropDuplicates(["key", "c"])
+    sets, sets_at = written_at(_sets(rows, keys, size), "sets")
+    sets = sets.dropDuplicates(["key", "c"])
     side = lambda name: sets.select(F.col("key").alias(name), F.col("c").alias(f"{name}_c"),
                                     F.col("tokens").alias(f"{name}_tokens"))
     both = (pairs.join(side("b"), ["b", "b_c"]).join(side("a"), ["a", "a_c"])
@@ -305,7 +315,10 @@ def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
             good.append(100 * shared >= percent * (len(x) + len(y) - shared))
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return written(map_slices(both, run, fields(both.schema["a"], both.schema["b"])), "links")
+    links = written(map_slices(both, run, fields(both.schema["a"], both.schema["b"])), "links")
+    for done in (pairs_at, sets_at):
+        erase(spark, done)
+    return links
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -337,7 +350,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                       F.col("pos").cast("int").alias("pos")))
     sorted_rows = spread.repartition("token", "salt").sortWithinPartitions(
         "token", "salt", "pos", "c")
-    live = written(sorted_rows.mapInArrow(
+    live, live_at = written_at(sorted_rows.mapInArrow(
         _with_pivots, "token long, c long, pos int, pivot_c long, pivot_pos int"), "buckets")
 
     # what is known of the members: node, sketch, prefixes of the other orders. Should two
@@ -346,8 +359,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = live.select("c").distinct()
     known = [F.first(x, ignorenulls=True).alias(x) for x in
              [*[f"s{i}" for i in range(SKETCH)], "p1", "p2"]]
-    nodes = written(classes.drop("p0", "salt").join(members, "c", "left_semi")
-                    .groupBy("c", "nk").agg(F.min("key").alias("node"), *known), "nodes")
+    nodes, nodes_at = written_at(classes.drop("p0", "salt").join(members, "c", "left_semi")
+                                 .groupBy("c", "nk").agg(F.min("key").alias("node"), *known), "nodes")
 
     sketches, prefixes = nodes.drop("p1", "p2"), nodes.select("c", "nk", "p1", "p2")
 
@@ -377,37 +390,45 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.min(F.struct("pos", "other_pos")).alias("p")).select("c", "other_c", "p.*")
     stars = first_place(live.filter("c <> pivot_c").select(
         "c", "pos", F.col("pivot_c").alias("other_c"), F.col("pivot_pos").alias("other_pos")))
-    tried = written(filtered(stars), "tried")
+    tried, tried_at = written_at(filtered(stars), "tried")
     links = _verified(tried, rows, size, percent)
     release(spark)
-    joined = connected_components(links)
+    joined, joined_at = components_at(links)
 
     # members of one bucket that are still in different components
     roots = nodes.select("c", "node").join(joined, "node", "left").select(
         "c", "node", F.coalesce("root", "node").alias("root"))
     release(spark)
-    placed = written(live.select("token", "c", "pos").join(roots, "c"), "placed")
+    placed, placed_at = written_at(live.select("token", "c", "pos").join(roots, "c"), "placed")
+    for done in (live_at, joined_at):
+        erase(spark, done)
     shares = placed.groupBy("token", "root").agg(F.count("*").alias("n"))
     mixed = (shares.groupBy("token").agg(F.count("*").alias("roots"),
                                          F.max_by("root", F.struct("n", "root")).alias("main"))
              .filter("roots > 1").select("token", "main"))
     mixed = placed.join(mixed, "token").join(sketches, ["c", "node"])
-    minor = mixed.filter("root <> main").drop("main").alias("x")
-    other = mixed.alias("y")
-    size_x, size_y = _size_of(F.col("x.nk")), _size_of(F.col("y.nk"))
-    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    crossing = minor.join(other, (
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once
-        & _may_link(size_x, size_y, F.col("x.pos"), F.col("y.pos"), F.col("x.node") < F.col("y.node"),
-                    percent)
-        & _near("x", "y", size_x, size_y, percent))).select(
-        F.col("x.c").alias("c"), F.col("x.pos").alias("pos"), F.col("y.c").alias("other_c"),
-        F.col("y.pos").alias("other_pos"))
+    # the smaller set of a linked pair holds the token in its index prefix: only such rows look
+    # for partners, and among larger sets alone; those of a token's main component only outside it
+    small = mixed.filter(F.col("pos") < _index_length(_size_of(F.col("nk")), percent))
+
+    def crossed(x: DataFrame, y: DataFrame) -> DataFrame:
+        size_x, size_y = _size_of(F.col("x.nk")), _size_of(F.col("y.nk"))
+        larger = (size_x < size_y) | ((size_x == size_y) & (F.col("x.node") < F.col("y.node")))
+        return x.alias("x").join(y.alias("y"), (
+            (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & larger
+            & (size_x * 100 >= size_y * percent) & _near("x", "y", size_x, size_y, percent))).select(
+            F.col("x.c").alias("c"), F.col("x.pos").alias("pos"), F.col("y.c").alias("other_c"),
+            F.col("y.pos").alias("other_pos"))
+
+    crossing = crossed(small.filter("root <> main"), mixed).unionByName(
+        crossed(small.filter("root = main"), mixed.filter("root <> main")))
     crossing = first_place(crossing)
     fresh = filtered(crossing).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(fresh.select("a", "a_c", "b", "b_c"), rows, size, percent)
+    for done in (placed_at, nodes_at, tried_at):
+        erase(spark, done)
     release(spark)
-    final = connected_components(links.unionByName(more))
+    final, _ = components_at(links.unionByName(more))
 
     by_class = named.join(final, "node", "left").select(
         "c", "nk", F.coalesce("root", "node").alias("component"))
