@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgrain.llm.common import lower_ascii
+from claimgrain.llm.common import let, lower_ascii
 
 RULE_SCHEMA = "host string, path string, action string"
 
@@ -33,34 +33,41 @@ def _short(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def host_suffixes(host: Column) -> Column:
-    """``a.b.c`` -> ``[a.b.c, b.c, c]``."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
-        F.slice(labels, i, F.size(labels)), "."))
+def _numbers(values: list[int]) -> Column:
+    return F.array(*[F.lit(n) for n in values]) if values else F.array().cast("array<int>")
+
+
+def host_suffixes(host: Column, counts: list[int]) -> Column:
+    """The last ``n`` labels of a host for each ``n`` of ``counts`` that it has: ``a.b.c`` and
+    ``[1, 2]`` -> ``[c, b.c]``."""
+    return let(F.split(host, r"\."), lambda labels: F.transform(
+        F.filter(_numbers(counts), lambda n: n <= F.size(labels)),
+        lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``url`` (distinct, not null) with the winning ``rule`` and ``verdict``; others absent.
 
-    Only path prefixes of lengths that occur among the rules are made, so a URL gives
-    (labels of its host) x (distinct rule path lengths) expressions at most. Ties between rules of one
-    length: ``block`` before ``allow``, then the rule text.
+    Only host suffixes of label counts and path prefixes of lengths that occur among the rules are
+    made, so a URL gives (distinct rule label counts) x (distinct rule path lengths) expressions at
+    most, however long its host and path are. Ties between rules of one length: ``block`` before
+    ``allow``, then the rule text.
     """
     known = (rules.select(
         F.concat(lower_ascii(F.coalesce("host", F.lit(""))), F.coalesce("path", F.lit("")))
         .alias("rule"), F.char_length(F.coalesce("path", F.lit(""))).alias("n"),
+        F.size(F.split(F.coalesce("host", F.lit("")), r"\.")).alias("labels"),
         F.col("action").alias("verdict")).filter("rule <> '' AND verdict IS NOT NULL").distinct())
-    # one small integer per distinct path length, at most as many as the longest rule path has
-    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())
+    # one small integer per distinct path length and label count, at most as many as the longest
+    # rule has characters
+    lengths, counts = (sorted(r[0] for r in known.select(c).distinct().collect()) for c in ("n", "labels"))
     path = F.col("path")
-    allowed = F.filter(F.array(*[F.lit(n) for n in lengths]) if lengths
-                       else F.array().cast("array<int>"), lambda n: n <= F.char_length(path))
+    allowed = F.filter(_numbers(lengths), lambda n: n <= F.char_length(path))
     expanded = (urls.select("url", url_host(F.col("url")).alias("host"),
                             url_path(F.col("url")).alias("path"))
                 .filter("host <> ''")
                 .select("url", F.transform(allowed, lambda n: F.substring(path, F.lit(1), n))
-                        .alias("prefixes"), F.explode(host_suffixes(F.col("host"))).alias("h"))
+                        .alias("prefixes"), F.explode(host_suffixes(F.col("host"), counts)).alias("h"))
                 .select("url", "h", F.explode("prefixes").alias("prefix"))
                 .select("url", _digest(F.concat("h", "prefix")).alias("digest"))
                 .withColumn("short", _short(F.col("digest"))))
@@ -81,7 +88,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     starts with the rule's path; the longest rule wins; without a fitting rule ``rule`` is null
     and ``verdict`` is ``default``. A null URL, or one without ``://``, has empty host and path
     and no rule. Repeated rows stay repeated, a null key is kept, an empty rule list gives the
-    default everywhere, and other columns of ``pages`` are not read, whatever their names.
+    default everywhere, an empty table gives no rows, and other columns of ``pages`` are not read,
+    whatever their names. A very long URL costs its length times the label counts and path lengths of
+    the rules.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
     judged = match_rules(rows.select("url").filter("url IS NOT NULL").distinct(), rules)
