@@ -7,9 +7,11 @@ narrow margin to the second is a rejection.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from claimgrain.llm.common import fields, map_slices
@@ -18,6 +20,8 @@ from claimgrain.llm.common import fields, map_slices
 MAX_LANGUAGES = 64         # the most frequent ones
 SAMPLE_DOCS = 64           # per language, by hash of the text
 SAMPLE_CHARS = 512         # taken from each of them
+SURPLUS = 8                # hashes looked at for each that the sample takes
+HASHES = 1 << 40
 #: Texts are compressed in blocks, so that a long text is judged by the dictionary rather than
 #: by its own beginning.
 BLOCK = 4096
@@ -38,34 +42,54 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_languages:
         sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Language -> dictionary content, from ``sample_docs`` texts per language at most.
 
-    Texts are chosen by hash of their letters, without regard to order or partitions. Copies,
-    and texts that differ in case, digits and punctuation alone, count once per language,
-    however many there are. Rows with null or letterless text or null language are left out. The
-    driver gets at most max_languages x sample_docs x sample_chars characters (2 million as set).
+    Texts are chosen by hash of the text, without regard to order or partitions. Copies, and texts
+    that differ in case, digits and punctuation alone, count once per language, however many there
+    are. Rows with null or letterless text or null language are left out; of a very long text one
+    piece is taken; an empty table gives an empty model. The driver gets at most
+    max_languages x sample_docs x sample_chars characters (2 million as set).
+
+    From the languages' counts follows a share of the hashes that leaves some eight times the sample;
+    only those texts are cleaned and shuffled. Should copies leave a language fewer distinct texts
+    than the sample takes, its whole texts are looked at.
     """
     rows = (docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
             .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")))
-    top = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-           .select("lang").collect())
+    top = (rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+           .limit(max_languages).collect())
     names = [r["lang"] for r in top]
     if not names:
         return {}
+    share = {r["lang"]: min(1.0, SURPLUS * sample_docs / r["n"]) for r in top}
+    sample = _pieces(rows, share, sample_docs, sample_chars)
+    found = Counter(r["lang"] for r in sample)
+    short = [name for name in names if share[name] < 1 and found[name] < sample_docs]
+    if short:
+        sample = [r for r in sample if r["lang"] not in short] + _pieces(
+            rows, dict.fromkeys(short, 1.0), sample_docs, sample_chars)
+    model: dict[str, list[str]] = {}
+    for row in sample:
+        model.setdefault(row["lang"], []).append(row["piece"])
+    return {name: "\n".join(pieces).encode() for name, pieces in model.items()}
+
+
+def _pieces(rows: DataFrame, share: dict[str, float], sample_docs: int, sample_chars: int) -> list[Row]:
+    """``lang, piece`` of the ``sample_docs`` texts with the smallest hashes of each language, out of
+    the given share of its hashes."""
+    limit = F.create_map(*[F.lit(x) for name, part in share.items() for x in (name, int(part * HASHES))])
+    number = F.pmod(F.xxhash64("text"), F.lit(HASHES))
+    some = rows.filter(F.col("lang").isin(list(share)) & (number < limit[F.col("lang")]))
     # pieces start at a hashed place, so that shared openings do not fill the dictionary
-    plain = rows.filter(F.col("lang").isin(names)).select("lang", F.trim(letters(F.col("text"))).alias("text"))
+    plain = some.select("lang", F.trim(letters(F.col("text"))).alias("text"))
     digest = F.xxhash64("text")
     room = F.greatest(F.char_length("text") - sample_chars + 1, F.lit(1))
     piece = F.substring("text", (F.pmod(digest, room) + 1).cast("int"), F.lit(sample_chars))
     first = Window.partitionBy("lang").orderBy("digest", "piece")
     # copies are merged before the shuffle and before they are numbered
-    sample = (plain.select("lang", digest.alias("digest"), piece.alias("piece"))
-              .filter(F.trim("piece") != "")
-              .groupBy("lang", "digest", "piece").agg(F.lit(1).alias("one"))
-              .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample_docs)
-              .orderBy("lang", "nth").select("lang", "piece").collect())
-    model: dict[str, list[str]] = {}
-    for row in sample:
-        model.setdefault(row["lang"], []).append(row["piece"])
-    return {name: "\n".join(pieces).encode() for name, pieces in model.items()}
+    return (plain.select("lang", digest.alias("digest"), piece.alias("piece"))
+            .filter(F.trim("piece") != "")
+            .groupBy("lang", "digest", "piece").agg(F.lit(1).alias("one"))
+            .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample_docs)
+            .orderBy("lang", "nth").select("lang", "piece").collect())
 
 
 class Classifier:
