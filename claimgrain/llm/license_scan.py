@@ -41,6 +41,16 @@ _MIT_REST = (
     "any claim, damages or other liability, whether in an action of contract, tort or otherwise, "
     "arising from, out of or in connection with the software or the use or other dealings in the "
     "software")
+_ISC_GRANT = (
+    "permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+    "fee is hereby granted")
+_ISC_REST = (
+    ", provided that the above copyright notice and this permission notice appear in all copies. the "
+    "software is provided \"as is\" and {{6}} disclaims all warranties with regard to this software "
+    "including all implied warranties of merchantability and fitness. in no event shall {{6}} be liable "
+    "for any special, direct, indirect, or consequential damages or any damages whatsoever resulting "
+    "from loss of use, data or profits, whether in an action of contract, negligence or other tortious "
+    "action, arising out of or in connection with the use or performance of this software")
 _BSD_GRANT = (
     "redistribution and use in source and binary forms, with or without modification, "
     "are permitted provided that the following conditions are met")
@@ -73,9 +83,17 @@ def _gnu_notice(name: str, version: str) -> str:
             f"the {name} for more details")
 
 
-#: Whole license texts are ``mit``, ``bsd-2`` and ``bsd-3``, whole notices ``...-notice``. A
+#: Identifiers of ``SPDX-License-Identifier`` tags, as words, and their labels.
+_TAGGED = {
+    "mit": "mit", "apache 2.0": "apache-2", "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "isc": "isc",
+    "gpl 2.0": "gpl-2", "gpl 3.0": "gpl-3", "lgpl 2.1": "lgpl", "lgpl 3.0": "lgpl", "agpl 3.0": "agpl-3",
+    "mpl 2.0": "mpl-2", "cc0 1.0": "cc0", "cc by 4.0": "cc-by", "cc by sa 4.0": "cc-by-sa", "cc by nc 4.0": "cc-by-nc",
+    "unlicense": "unlicense",
+}
+
+#: Whole license texts are ``mit``, ``bsd-2``, ``bsd-3`` and ``isc``, whole notices ``...-notice``. A
 #: text that goes on otherwise after the first sentence of a license is an ``...-opening`` only.
-#: The other labels are statements that name a license.
+#: The other labels are statements and tags that name a license.
 TEMPLATES = [
     ("mit", "[[this software is | this work is | this project is]] released under the mit "
             "[[ / x11]] license"),
@@ -107,6 +125,27 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under [[a | the]] creative commons attribution non commercial "
                  "[[4.0]] [[international]] license"),
     ("all-rights-reserved", "copyright [[c | ©]] {{#}} {{9}} {{#}} all rights reserved"),
+    ("mpl-2-notice",
+     "this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of "
+     "the mpl was not distributed with this file, you can obtain one at [[http | https]] "
+     "mozilla.org/mpl/2.0"),
+    ("mpl-2", "licensed under the [[terms of the]] mozilla public license [[,]] [[v | version]] 2.0"),
+    ("agpl-3", "[[this work is]] licensed under the [[terms of the]] gnu affero general public license "
+               "[[as published by the free software foundation]] [[; either]] version 3"),
+    ("agpl-3-notice", _gnu_notice("gnu affero general public license", "3")),
+    ("isc", _ISC_GRANT + _ISC_REST),
+    ("isc-opening", _ISC_GRANT),
+    ("isc", "[[licensed | released]] under the isc license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc0", "[[licensed | released]] under [[a | the]] [[creative commons]] cc0"),
+    ("cc0", "cc0 1.0 universal"),
+    ("cc-by", "licensed under [[a | the]] [[creative commons]] cc by {{#}} [[international]] license"),
+    ("cc-by", "licensed under [[a | the]] cc by 4.0"),
+    ("cc-by", "licensed under [[a | the]] creative commons attribution {{#}} [[international]] license"),
+    ("cc-by-sa", "licensed under [[a | the]] [[creative commons]] cc by sa"),
+    ("cc-by-sa", "licensed under [[a | the]] creative commons attribution sharealike"),
+    ("cc-by-sa", "licensed under [[a | the]] creative commons attribution share alike"),
+    *((label, f"spdx license identifier: {words}") for words, label in _TAGGED.items()),
 ]
 
 
@@ -319,5 +358,14 @@ def _anchor(template: str) -> str:
     return max(mandatory, key=lambda w: (w not in _COMMON, len(w)))
 
 
+def strength(phrase_spans: Column, template_spans: Column) -> Column:
+    """How firmly a text names a license, 0 to 1: 1 for base phrases, tags, statements, whole notices
+    and whole licenses, 0.5 where only an opening or a reservation of rights was found, else 0."""
+    weak = F.forall(template_spans, lambda s: s["label"].endswith("-opening")
+                    | (s["label"] == "all-rights-reserved"))
+    return (F.when((F.size(phrase_spans) > 0) | ~weak, 1.0)
+            .when(F.size(template_spans) > 0, 0.5).otherwise(0.0))
+
+
 def labels_of(spans: Column) -> Column:
     return F.array_distinct(F.transform(spans, lambda s: s["label"]))
