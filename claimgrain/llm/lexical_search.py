@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField
 
 from claimgrain.llm.common import fields, lower_ascii, map_slices, written
 
@@ -238,8 +239,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, doc_key: str =
     wanted = (items.select(F.col(item_key).alias("item"), F.explode(item_terms(F.col(text))).alias("term"))
               .distinct())
     rows = docs.select(F.col(doc_key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    schema = fields(id_field, "key bigint, score bigint")
-    schema.fields[0].name, schema.names[0] = "item", "item"
+    schema = fields(StructField("item", id_field.dataType), "key bigint, score bigint")
     parts = []
     for ids, terms in _blocks(wanted):
         names = sorted({t for own in terms for t in own})

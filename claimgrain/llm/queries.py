@@ -68,7 +68,7 @@ def op2(spark, sf_dir):
 
 
 # ---- 3 ------------------------------------------------------------------------------------
-@register("op3_quality_rules", r"""
+QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
   list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -85,18 +85,42 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(t, '\P{Lu}', '', 'g')) AS BIGINT) AS n_capitals,
   CAST(len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) AS BIGINT) AS n_letter_words
   FROM w LEFT JOIN cov USING (r)),
-f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)"""
+
+#: The bit of every failed rule, written out beside the library's own list.
+FAIL_BITS_SQL = """CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN 100 * n_capitals > 40 * word_chars THEN 32 ELSE 0 END
+    + CASE WHEN 100 * n_letter_words < 70 * n_words THEN 64 ELSE 0 END AS BIGINT)"""
+
+
+@register("op3_quality_rules", QUALITY_SQL + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 40 * n_lines
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_capitals > 40 * word_chars
-    OR 100 * n_letter_words < 70 * n_words) AS kept FROM f
+    OR 100 * n_letter_words < 70 * n_words) AS kept, {FAIL_BITS_SQL} AS fail_bits, 'v1' AS policy FROM f
 """)
 def op3(spark, sf_dir):
     rows = quality_rules.apply_policy(
         quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
     base = F.col("fail_bits").bitwiseAND(quality_rules.mask(quality_rules.BASE_RULES)) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                       "n_repeat_words", base.alias("base_failed"), "kept")
+                       "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits", "policy")
+
+
+@register("quality_ablations", QUALITY_SQL + f""",
+b AS (SELECT {FAIL_BITS_SQL} AS bits FROM f),
+r(policy, rule, bit, held) AS (VALUES ('base', 'few_words', 1, 3), ('base', 'repeated_windows', 2, 3),
+  ('v1', 'few_words', 1, 127), ('v1', 'repeated_windows', 2, 127), ('v1', 'symbols', 4, 127),
+  ('v1', 'duplicate_lines', 8, 127), ('v1', 'word_length', 16, 127), ('v1', 'capitals', 32, 127),
+  ('v1', 'letterless_words', 64, 127))
+SELECT policy, rule, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits & held = bit) AS n_only
+FROM b, r GROUP BY policy, rule
+""")
+def quality_ablations(spark, sf_dir):
+    """What each rule rejects, and what only it rejects, under every policy."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
 # ---- 4 ------------------------------------------------------------------------------------
@@ -116,7 +140,21 @@ def op4(spark, sf_dir):
 
 
 # ---- 5 ------------------------------------------------------------------------------------
-@register("op5_sharding")
+@register("op5_sharding", """
+WITH poly AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b,
+    CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS digest FROM documents),
+c AS (SELECT r, doc_id, digest, CAST(octet_length(b) + 16 AS BIGINT) AS size,
+    xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(b), '..'),
+      lambda x: CAST('0x' || x AS BIGINT))), lambda a, x: xor(t[1 + (xor(a, x) & 255)], a >> 8)), 4294967295) AS text_crc32
+  FROM d, poly),
+p AS (SELECT *, sum(size) OVER w - size AS before, sum(size) OVER () AS total, row_number() OVER w AS place
+  FROM c WINDOW w AS (ORDER BY digest, doc_id NULLS FIRST, r ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CAST(before * 40 // total AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+""")
 def op5(spark, sf_dir):
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
@@ -242,7 +280,7 @@ def op10(spark, sf_dir):
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(both), ",").alias("labels"),
-        F.when(F.size(both) > 0, 1.0).otherwise(0.0).alias("score"))
+        license_scan.strength(plain, formed).alias("score"))
 
 
 # ---- 11 -----------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claimgrain.llm import mixing, ngram_join, queries, sharding, vector_search
+from claimgrain.llm import common, mixing, ngram_join, queries, sharding, vector_search
 from claimgrain.llm.components import connected_components
 from tests.llm.conftest import HARD_TEXTS
 
@@ -211,6 +211,38 @@ def test_components_equal_brute_force(spark, docs, seed, size, percent, monkeypa
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts, size, percent)
 
 
+def template_pages(n, seed=5):
+    """Pages of one 20-word wording with two words of their own in it: 0.82 alike, no links."""
+    rng = random.Random(seed)
+    wording = [f"common{i}" for i in range(20)]
+    pages = []
+    for i in range(n):
+        words = list(wording)
+        words[7:7] = [f"own{i}", f"own{i}b"]
+        pages.append(" ".join(words))
+    pages[n // 2] = " ".join(wording)  # a page of the bare wording, and a near copy of one page
+    return pages, rng
+
+
+def test_shared_wording_equals_brute_force(spark, docs):
+    pages, rng = template_pages(300)
+    long = [f"l{i}" for i in range(120)]
+    pages += [" ".join(long[:i] + [f"edit{i}"] + long[i + 1:]) for i in (3, 50, 51, 119)] + [pages[4]] * 5
+    texts = dict(enumerate(pages))
+    for size, percent in ((3, 90), (3, 60), (5, 80)):
+        got = ngram_join.jaccard_components(docs(list(texts.items())).repartition(5), size=size, percent=percent)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts, size, percent)
+
+
+def test_work_tables_are_erased(docs, tmp_path, monkeypatch):
+    names = iter(range(10_000))
+    monkeypatch.setattr(common, "work_folder", lambda spark, name: f"file://{tmp_path}/{name}-{next(names)}")
+    texts = planted(3)
+    ngram_join.jaccard_components(docs(list(texts.items()))).collect()
+    left = sorted(p.name.split("-")[0] for p in tmp_path.iterdir() if not p.name.startswith("."))
+    assert left == ["classes", "edges", "links", "links", "prefixes"]
+
+
 def test_join_edge_rows(docs):
     rows = [(None, "a b c d"), (5, "a b c d"), (3, "A b\tc d"), (3, "A b\tc d"), (9, None), (8, "")]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs(rows)).collect())
@@ -303,12 +335,54 @@ def test_pipeline_stages(spark):
     assert Counter(r.doc_id for r in last) == copies and all(r.restored and r.n_tokens > 0 for r in last)
 
 
-def test_pipeline_odd_rows(spark, docs):
+def pipeline_rows(docs, clash):
     rows = [(i, t, "aa" if i % 2 else None, None) for i, t in enumerate(HARD_TEXTS)]
     rows += [(None, "letters of a longer kind " * 3, "bb", "s")] * 3 + [(4, "twice the same id here", "bb", None)] * 2
-    table = docs(rows, clash=False)
+    df = docs(rows, clash=False)
+    for name in ("a.b", "_copies", "_name", "name", "row", "text.x", "copies", "rejected", "kept", "x`y") if clash else ():
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+def test_pipeline_odd_rows(spark, docs):
+    table = pipeline_rows(docs, clash=False)
     for table in (table, table.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, SF)
             assert name == "bpe" or out.columns == table.columns
             out.collect()
+
+
+def test_pipeline_keeps_its_columns_whatever_their_names(spark, docs):
+    plain, clashing = pipeline_rows(docs, clash=False), pipeline_rows(docs, clash=True)
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, plain, SF), stage(spark, clashing, SF)
+        if name != "bpe":
+            assert got.columns == clashing.columns
+            assert {r["a.b"] for r in got.collect()} <= {"clash"}
+        key = lambda r: (str(r.doc_id), str(getattr(r, "text", r.lang)))
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_near_duplicate_stage_keeps_unrelated_texts_of_one_id(spark, docs):
+    words = lambda k, n=30: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, words("a")), (1, words("b")), (2, words("a") + " end"), (3, words("b")), (0, words("c")), (0, words("c")),
+            (None, words("d")), (None, words("d")), (None, words("e")), (5, words("e")), (-7, words("f")), (6, words("f")),
+            (8, None), (8, None), (8, ""), (9, "short"), (10, "short"), (None, None)]
+    table = docs(rows, clash=False).withColumn("lang", F.concat(F.lit("l"), F.monotonically_increasing_id()))
+    first = corpus_pipeline.near_duplicate_stage(spark, table, SF).collect()
+    got = Counter((r.doc_id, r.text) for r in first)
+    assert got == Counter([(1, words("a")), (1, words("b")), (0, words("c")), (None, words("d")), (5, words("e")),
+                           (-7, words("f")), (8, None if (8, None) in got else ""), (9, "short"), (None, None)])
+    again = corpus_pipeline.near_duplicate_stage(spark, table.orderBy(F.desc("text")), SF).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, first))
+
+
+def test_mixing_stage_loses_no_row_of_a_shared_id(spark, docs):
+    rows = [(1, "one two three", None, "s"), (1, "four five six seven", None, "s"), (2, "w " * 40, None, "t"),
+            (None, "no id here", None, "s"), (3, None, None, "s"), (4, " ", None, None)]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, docs(rows), SF).collect())
+    taken = {r.doc_id: r for r in mixing.mix(docs(rows).withColumn("doc_id", F.coalesce(
+        F.col("doc_id").cast("string"), F.lit("text " + hashlib.md5(b"no id here").hexdigest())))).collect()}
+    assert taken["1"].taken > 0 and got[1, "one two three"] == got[1, "four five six seven"] >= 1
+    assert (3, None) not in got and (4, " ") not in got
