@@ -14,9 +14,9 @@ order.
 Copies are one class. Inside a token's bucket the members first meet one pivot, and what links
 becomes one component; only pairs of different components are looked at after that. So a large
 family of near copies costs its size and not its square, and no link between components is lost.
-For those pairs one side is cut first to documents that hold the token among their first few, which
-the smaller set of a linked pair does: a wording that thousands of pages share, behind words of
-their own, makes no pairs.
+Of such a pair one document holds the token among its first few, which the smaller set of a linked
+pair does, and the join key says so: a wording that thousands of pages share, behind words of their
+own, makes no pairs.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ SLICE = 16 << 20       # bytes of text handled at once
 PIVOT_BUCKET = 10      # frequent tokens are cut into buckets of about 2^10 members
 ORDER_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SKETCH = 8             # longs of the parity sketch
+BRIEF = 4              # of them that travel with the members of large buckets
 MAX_BITMAP = 1 << 27   # bits of the bitmap of wanted documents (16 MB)
 
 
@@ -251,10 +252,11 @@ def _may_link(n: Column, m: Column, pos_n: Column, pos_m: Column, first: Column,
             & (pos < _index_length(size, percent)))
 
 
-def _near(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
-    """The sketches differ in no more bits than linked sets differ in tokens."""
+def _near(a: str, b: str, n: Column, m: Column, percent: int, longs: int = SKETCH) -> Column:
+    """The sketches, or their first ``longs``, differ in no more bits than linked sets differ in
+    tokens."""
     apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}")))
-                 for i in range(SKETCH)), F.lit(0))
+                 for i in range(longs)), F.lit(0))
     return apart <= n + m - _least_overlap(n, m, percent) * 2
 
 
@@ -406,22 +408,25 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     mixed = (shares.groupBy("token").agg(F.count("*").alias("roots"),
                                          F.max_by("root", F.struct("n", "root")).alias("main"))
              .filter("roots > 1").select("token", "main"))
-    mixed = placed.join(mixed, "token").join(sketches, ["c", "node"])
-    # the smaller set of a linked pair holds the token in its index prefix: only such rows look
-    # for partners, and among larger sets alone; those of a token's main component only outside it
-    small = mixed.filter(F.col("pos") < _index_length(_size_of(F.col("nk")), percent))
-
-    def crossed(x: DataFrame, y: DataFrame) -> DataFrame:
-        size_x, size_y = _size_of(F.col("x.nk")), _size_of(F.col("y.nk"))
-        larger = (size_x < size_y) | ((size_x == size_y) & (F.col("x.node") < F.col("y.node")))
-        return x.alias("x").join(y.alias("y"), (
-            (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & larger
-            & (size_x * 100 >= size_y * percent) & _near("x", "y", size_x, size_y, percent))).select(
-            F.col("x.c").alias("c"), F.col("x.pos").alias("pos"), F.col("y.c").alias("other_c"),
-            F.col("y.pos").alias("other_pos"))
-
-    crossing = crossed(small.filter("root <> main"), mixed).unionByName(
-        crossed(small.filter("root = main"), mixed.filter("root <> main")))
+    brief = sketches.select("c", "nk", "node", *[f"s{i}" for i in range(BRIEF)])
+    mixed = placed.join(mixed, "token").join(brief, ["c", "node"])
+    # the smaller set of a linked pair holds the token in its index prefix: of two members one
+    # does, and one is outside the token's main component. Members that do not hold it there
+    # meet only those that do, so the join key says which are meant.
+    mixed = mixed.withColumn("early", F.col("pos") < _index_length(_size_of(F.col("nk")), percent))
+    meant = F.when(F.col("early"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    minor = mixed.filter("root <> main").withColumn("meets", F.explode(meant)).drop("main").alias("x")
+    other = mixed.alias("y")
+    size_x, size_y = _size_of(F.col("x.nk")), _size_of(F.col("y.nk"))
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    crossing = minor.join(other, (
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.meets") == F.col("y.early"))
+        & (F.col("x.root") != F.col("y.root")) & once
+        & _may_link(size_x, size_y, F.col("x.pos"), F.col("y.pos"), F.col("x.node") < F.col("y.node"),
+                    percent)
+        & _near("x", "y", size_x, size_y, percent, BRIEF))).select(
+        F.col("x.c").alias("c"), F.col("x.pos").alias("pos"), F.col("y.c").alias("other_c"),
+        F.col("y.pos").alias("other_pos"))
     crossing = first_place(crossing)
     fresh = filtered(crossing).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(fresh.select("a", "a_c", "b", "b_c"), rows, size, percent)
