@@ -26,6 +26,7 @@ ROWS_PER_CELL = 64        # of that sample, so that centres are means of somethi
 MAX_CELLS = 4096
 ROWS_PER_BLOCK = 50_000   # index rows that one task scores together
 QUERIES_PER_BLOCK = 5_000
+FIT_ROWS = 8192           # sample rows whose distances to all centres are held at once
 CALIBRATION = 256         # sample rows that stand for queries when the probes are chosen
 
 
@@ -66,8 +67,12 @@ def k_means(rows: np.ndarray, k: int, rounds: int, rng: np.random.Generator) ->
     k = min(k, len(rows))
     centres = rows[rng.choice(len(rows), k, replace=False)].copy()
     for _ in range(rounds):
-        far = (centres ** 2).sum(axis=1) - 2 * rows @ centres.T
-        own, gap = far.argmin(axis=1), far.min(axis=1) + (rows ** 2).sum(axis=1)
+        own, gap = np.empty(len(rows), np.int64), np.empty(len(rows))
+        for at in range(0, len(rows), FIT_ROWS):  # distances of some rows at a time
+            some = rows[at:at + FIT_ROWS]
+            far = (centres ** 2).sum(axis=1) - 2 * some @ centres.T
+            own[at:at + FIT_ROWS] = far.argmin(axis=1)
+            gap[at:at + FIT_ROWS] = far.min(axis=1) + (some ** 2).sum(axis=1)
         count = np.bincount(own, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, rows)

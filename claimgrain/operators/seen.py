@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimgrain.session import finished_folders, stored
 
-BUCKETS = 1024
+BUCKETS = 256
 BITS_PER_HASH = 12   # about one unseen hash in 250 passes the filter
 PROBES = 6
 

@@ -47,6 +47,8 @@ def create(base: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> int:
     """Write a table as version 0. Its columns do not include ``bucket``; keys are distinct and not
     null; an empty table is a version without buckets, whose schema is kept."""
     spark = base.sparkSession
+    if versions(spark, path):
+        raise ValueError(f"{path} holds a table already")
     _write(base, path, 0, key, buckets)
     base.limit(0).write.mode("overwrite").parquet(f"{path}/schema")
     present = base.select(_bucket(key, buckets).alias("b")).distinct().collect()

@@ -82,7 +82,7 @@ SELECT request_id, role, CASE WHEN restricted AND (request_id % 5 = 0 OR role =
     WHEN role = 'researcher' THEN 'role not permitted: researcher' ELSE 'permitted' END AS reason
 FROM requests"""))
 def access_gate(spark, sf):
-    gated = safety.access_gate(ad.requests(spark, sf), F.col("request_id") % 5 != 0)
+    gated = safety.access_gate(ad.request_roles(spark, sf), F.col("request_id") % 5 != 0)
     return gated.select("request_id", "role", "decision", "reason")
 
 
@@ -270,7 +270,7 @@ SELECT request_id, role, '{ad.RUN_AT}' AS logged_at, 'access_denied' AS event_ty
   '{{"rule":"SR-005","decision":"deny","reason":"role not permitted: researcher"}}' AS data
 FROM requests WHERE restricted AND role = 'researcher'"""))
 def gate_log(spark, sf):
-    gated = safety.access_gate(ad.requests(spark, sf), F.lit(True))
+    gated = safety.access_gate(ad.request_roles(spark, sf), F.lit(True))
     return gate_events(gated, ad.ntz(ad.RUN_AT)).select(
         "request_id", "role", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("logged_at"),
         "event_type", "data")

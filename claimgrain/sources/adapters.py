@@ -241,6 +241,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 2 == 0).alias("restricted"), F.when(key % 13 != 0, case).alias("case")))
 
 
+def request_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who asked for restricted guidance, without the texts that ``requests`` joins to them."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.alias("request_id"), _pick(ROLES, key % 3).alias("role"), (key % 2 == 0).alias("restricted"))
+
+
 def distinct_queries(requests: DataFrame) -> DataFrame:
     return requests.groupBy("query_id").agg(F.min("query").alias("query"))
 

@@ -35,6 +35,8 @@ def test_readers_keep_their_version(spark, tmp_path):
     base = {f"k{i}": "old" for i in range(500)}
     assert versions.create(table(spark), path, "key", 32) == 0
     pinned = versions.read(spark, path)
+    with pytest.raises(ValueError, match="already"):
+        versions.create(table(spark, 1), path, "key", 32)
     first = versions.change(spark, path, changes(spark, ("k7", "a", 1), ("k7", "b", 2), ("new", "c", 1)), "key", "n", 32)
     assert first == 1 and versions.versions(spark, path) == [0, 1]
     assert content(pinned) == base                       # a reader that was there before
