@@ -40,7 +40,6 @@ SLICE = 16 << 20       # bytes of text handled at once
 PIVOT_BUCKET = 10      # frequent tokens are cut into buckets of about 2^10 members
 ORDER_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SKETCH = 8             # longs of the parity sketch
-BRIEF = 4              # of them that travel with the members of large buckets
 MAX_BITMAP = 1 << 27   # bits of the bitmap of wanted documents (16 MB)
 
 
@@ -252,11 +251,10 @@ def _may_link(n: Column, m: Column, pos_n: Column, pos_m: Column, first: Column,
             & (pos < _index_length(size, percent)))
 
 
-def _near(a: str, b: str, n: Column, m: Column, percent: int, longs: int = SKETCH) -> Column:
-    """The sketches, or their first ``longs``, differ in no more bits than linked sets differ in
-    tokens."""
+def _near(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
+    """The sketches differ in no more bits than linked sets differ in tokens."""
     apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}")))
-                 for i in range(longs)), F.lit(0))
+                 for i in range(SKETCH)), F.lit(0))
     return apart <= n + m - _least_overlap(n, m, percent) * 2
 
 
@@ -346,10 +344,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = written(classes.groupBy("c", "nk").agg(F.min("key").alias("node")), "classes")
 
     # buckets of the first order: members, by 64 bits of their fingerprint, and pivots
+    # a place is twice its number, plus one behind the index prefix of its set: of a pair that
+    # links, the smaller set holds its first shared token in that prefix
+    late = (F.col("pos") >= _index_length(_size_of(F.col("nk")), percent)).cast("int")
     spread = (table.filter("p0 IS NOT NULL")
-              .select("c", F.posexplode(F.arrays_zip("p0", "salt")).alias("pos", "t"))
+              .select("c", "nk", F.posexplode(F.arrays_zip("p0", "salt")).alias("pos", "t"))
               .select(F.col("t.p0").alias("token"), F.col("t.salt").alias("salt"), "c",
-                      F.col("pos").cast("int").alias("pos")))
+                      (F.col("pos") * 2 + late).cast("int").alias("pos")))
     sorted_rows = spread.repartition("token", "salt").sortWithinPartitions(
         "token", "salt", "pos", "c")
     live, live_at = written_at(sorted_rows.mapInArrow(
@@ -390,8 +391,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # of the places two documents share, the first one in each prefix matters
     first_place = lambda rows: rows.groupBy("c", "other_c").agg(
         F.min(F.struct("pos", "other_pos")).alias("p")).select("c", "other_c", "p.*")
-    stars = first_place(live.filter("c <> pivot_c").select(
-        "c", "pos", F.col("pivot_c").alias("other_c"), F.col("pivot_pos").alias("other_pos")))
+    stars = first_place(live.filter("c <> pivot_c AND (pos % 2 = 0 OR pivot_pos % 2 = 0)").select(
+        "c", F.expr("pos div 2").cast("int").alias("pos"), F.col("pivot_c").alias("other_c"),
+        F.expr("pivot_pos div 2").cast("int").alias("other_pos")))
     tried, tried_at = written_at(filtered(stars), "tried")
     links = _verified(tried, rows, size, percent)
     release(spark)
@@ -404,16 +406,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     placed, placed_at = written_at(live.select("token", "c", "pos").join(roots, "c"), "placed")
     for done in (live_at, joined_at):
         erase(spark, done)
-    shares = placed.groupBy("token", "root").agg(F.count("*").alias("n"))
-    mixed = (shares.groupBy("token").agg(F.count("*").alias("roots"),
-                                         F.max_by("root", F.struct("n", "root")).alias("main"))
-             .filter("roots > 1").select("token", "main"))
-    brief = sketches.select("c", "nk", "node", *[f"s{i}" for i in range(BRIEF)])
-    mixed = placed.join(mixed, "token").join(brief, ["c", "node"])
-    # the smaller set of a linked pair holds the token in its index prefix: of two members one
-    # does, and one is outside the token's main component. Members that do not hold it there
-    # meet only those that do, so the join key says which are meant.
-    mixed = mixed.withColumn("early", F.col("pos") < _index_length(_size_of(F.col("nk")), percent))
+    placed = placed.select("token", "c", F.expr("pos div 2").cast("int").alias("pos"),
+                           (F.col("pos") % 2 == 0).alias("early"), "node", "root")
+    shares = placed.groupBy("token", "root").agg(F.count("*").alias("n"),
+                                                 F.max(F.col("early").cast("int")).alias("early"))
+    largest = F.struct("n", "root")
+    tokens = (shares.groupBy("token").agg(
+        F.count("*").alias("roots"), F.max_by("root", largest).alias("main"), F.sum("early").alias("early_roots"),
+        F.max_by("early", largest).alias("early_main"))
+        .filter("roots > 1 AND early_roots > 0")
+        .select("token", "main", F.expr("early_roots > early_main").alias("early_minor")))
+    # of two members one holds the token in its index prefix, and one is outside the token's main
+    # component. Members that do not hold it there meet only those that do: the join key says
+    # which are meant, and those that nobody asks for are left out.
+    mixed = (placed.join(tokens, "token").filter("early OR root <> main OR early_minor").drop("early_minor")
+             .join(sketches, ["c", "node"]))
     meant = F.when(F.col("early"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
     minor = mixed.filter("root <> main").withColumn("meets", F.explode(meant)).drop("main").alias("x")
     other = mixed.alias("y")
@@ -424,7 +431,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         & (F.col("x.root") != F.col("y.root")) & once
         & _may_link(size_x, size_y, F.col("x.pos"), F.col("y.pos"), F.col("x.node") < F.col("y.node"),
                     percent)
-        & _near("x", "y", size_x, size_y, percent, BRIEF))).select(
+        & _near("x", "y", size_x, size_y, percent))).select(
         F.col("x.c").alias("c"), F.col("x.pos").alias("pos"), F.col("y.c").alias("other_c"),
         F.col("y.pos").alias("other_pos"))
     crossing = first_place(crossing)
