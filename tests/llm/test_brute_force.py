@@ -117,7 +117,7 @@ TAGGED = [
     ("Licensed under the Mozilla Public License, version 2.0", "mpl-2"),
     ("licensed under the terms of the GNU Affero General Public License, version 3", "agpl-3"),
     ("Licensed under the ISC license.", "isc"), ("Licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
-    ("Licensed under CC BY 4.0", "cc-by"), ("licensed under CC BY-SA 4.0", "cc-by-sa"), ("Released under CC0", None), ("released under the CC0", "cc0"),
+    ("Licensed under CC BY 4.0", "cc-by"), ("licensed under CC BY-SA 4.0", "cc-by-sa"), ("Released under CC0", "cc0"), ("released under the CC0", "cc0"),
     ("licensed under a Creative Commons Attribution-ShareAlike 4.0 license", "cc-by-sa"), ("CC0 1.0 Universal", "cc0"),
     ("This is free and unencumbered software released into the public domain.", "unlicense"), ("mozilla public license", None),
 ]
