@@ -7,11 +7,13 @@ import unicodedata
 from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from claimgrain.functions.embedding import SLICE_BYTES, slices
+
 # Unicode whitespace as one class, so that Java, RE2 and Python agree on what a blank is.
 BLANK = (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
@@ -66,14 +68,21 @@ def strip_blank(col: Column) -> Column:
     return F.trim(col, F.lit(BLANK_CHARS))
 
 
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+def _mapped(column: pa.Array, change) -> pa.Array:
+    """``change`` of every text that is not null; the strings of a slice are held at a time."""
+    done = [pa.array([None if s is None else change(s) for s in some.to_pylist()], pa.string())
+            for some in slices(column, SLICE_BYTES)]
+    return pa.concat_arrays(done)
+
+
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return _mapped(text, lambda s: unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf(StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+@F.arrow_udf(StringType())
+def _unescape(text: pa.Array) -> pa.Array:
+    return _mapped(text, html.unescape)
 
 
 # Marked as non-deterministic so that the optimizer never copies the columns built on them
@@ -230,9 +239,9 @@ class _Page(HTMLParser):
         return " ".join(page.nodes)
 
 
-@F.pandas_udf(StringType())
-def _tree_text(html_text: pd.Series) -> pd.Series:
-    return html_text.map(_Page.text, na_action="ignore")
+@F.arrow_udf(StringType())
+def _tree_text(html_text: pa.Array) -> pa.Array:
+    return _mapped(html_text, _Page.text)
 
 
 _tree_text = _tree_text.asNondeterministic()

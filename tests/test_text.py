@@ -141,3 +141,15 @@ def test_sentence_groups(spark):
     assert got[:3] == ["See Dr. Who now", "It was vs. them", "Was it"]
     groups = one(spark, raw, lambda c: chunking.sentence_groups(chunking.sentences(c)))
     assert len(groups) == 2 and groups[0].startswith("See Dr. Who now It was vs. them Was it")
+
+
+def test_texts_are_handled_in_slices():
+    """However many rows a batch has, the strings and words of about a megabyte stand at a time."""
+    import pyarrow as pa
+
+    from claimgrain.functions import embedding
+    column = pa.array(["x" * 40, None, "", "y" * 100, "é" * 30, "z"])
+    cut = list(embedding.slices(column, 100))
+    assert pa.concat_arrays(cut).equals(column) and len(cut) == 3
+    assert [sum(len((s or "").encode()) for s in part.to_pylist()) for part in cut] == [40, 100, 61]
+    assert [len(part) for part in embedding.slices(column[:0], 100)] == [0]
