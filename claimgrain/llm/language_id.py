@@ -8,13 +8,14 @@ narrow margin to the second is a rejection.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from claimgrain.llm.common import fields, map_slices
+from claimgrain.functions.embedding import SLICE_BYTES, slices
 
 #: Bounds of the sample a model is fitted on.
 MAX_LANGUAGES = 64         # the most frequent ones
@@ -132,11 +133,13 @@ def classify(docs: DataFrame, model: dict[str, bytes], key: str = "doc_id", text
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     loaded: list[Classifier] = []
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    # a scalar function: keys, which may be whole rows, stay in the JVM
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(column: pa.Array) -> pa.Array:
         if not loaded:
             loaded.append(Classifier(shipped.value))
         names, found, scores = loaded[0].names, [], []
-        for value in batch.column(1).to_pylist():
+        for value in chain.from_iterable(some.to_pylist() for some in slices(column, SLICE_BYTES)):
             if value is None:
                 found.append(UNKNOWN)
                 scores.append(0.0)
@@ -145,10 +148,10 @@ def classify(docs: DataFrame, model: dict[str, bytes], key: str = "doc_id", text
             ranked = sorted(zip(sizes, names))
             found.append(ranked[0][1])
             scores.append(1.0 - ranked[0][0] / ranked[1][0] if len(ranked) > 1 else 1.0)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-            names=["key", "lang_pred", "score"])
+        return pa.StructArray.from_arrays(
+            [pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    judged = map_slices(rows, run, fields(rows.schema["key"], "lang_pred string, score double"))
+    # marked so that readers of the result do not run it again
+    judged = rows.select("key", judge.asNondeterministic()("text").alias("found")).select("key", "found.*")
     rejected = (F.col("score") < margin) | (F.col("lang_pred") == UNKNOWN)
     return judged.select(F.col("key").alias(key), "lang_pred", "score", rejected.alias("rejected"))

@@ -34,9 +34,10 @@ from claimgrain.llm.components import components_at
 
 SHINGLE = 3
 PERCENT = 90           # links have 100 * intersection >= 90 * union
-MEMO_WORDS = 300_000   # word fingerprints remembered per task
+MEMO_WORDS = 100_000   # word fingerprints remembered per task
 LEVEL_SLOTS = 1 << 22  # bytes of the level table that every task gets, whatever the corpus
-SLICE = 16 << 20       # bytes of text handled at once
+SLICE = 16 << 20       # bytes of text that give one batch
+PART = 1 << 20         # bytes of those that are strings and words at once
 PIVOT_BUCKET = 10      # frequent tokens are cut into buckets of about 2^10 members
 ORDER_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SKETCH = 8             # longs of the parity sketch
@@ -87,6 +88,13 @@ def shingle_sets(texts: list[str | None], memo: _Words, size: int) -> list[np.nd
     return out
 
 
+def _sets_of(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """``shingle_sets`` of a column; only a part of it stands as Python strings at a time."""
+    memo, step = _Words(), max(1, int(len(texts) * PART / max(texts.nbytes, 1)))
+    for start in range(0, len(texts), step):
+        yield from shingle_sets(texts.slice(start, step).to_pylist(), memo, size)
+
+
 def _frequent(rows: DataFrame, size: int) -> DataFrame:
     """``token, seen``: tokens that stand in two documents or more of one slice of texts.
 
@@ -94,7 +102,7 @@ def _frequent(rows: DataFrame, size: int) -> DataFrame:
     more than a few times sqrt(2S) documents are practically always seen; rarer ones only make
     small buckets. Any outcome gives a valid order."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(1).to_pylist(), _Words(), size)
+        sets = list(_sets_of(batch.column(1), size))
         tokens, seen = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64),
                                  return_counts=True)
         kept = seen > 1
@@ -144,7 +152,7 @@ def _prefixes(rows: DataFrame, levels, size: int, percent: int) -> DataFrame:
         level_of, seen = levels.value, set()
         c, nk, sketches, parts, salts, others = [], [], [], [], [], ([], [])
         blank = [None] * SKETCH
-        for tokens in shingle_sets(batch.column(1).to_pylist(), _Words(), size):
+        for tokens in _sets_of(batch.column(1), size):
             n = len(tokens)
             digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
             signed = (digest & (1 << 64) - 1) - (1 << 63)
@@ -284,7 +292,7 @@ def _sets(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
         bit = batch.column(2).to_numpy()
         hit = np.flatnonzero(shipped.value[bit >> 3] >> (bit & 7) & 1)
         chosen = batch.take(pa.array(hit))
-        sets = [t.tobytes() for t in shingle_sets(chosen.column(1).to_pylist(), _Words(), size)]
+        sets = [t.tobytes() for t in _sets_of(chosen.column(1), size)]
         c = [(xxhash.xxh3_128_intdigest(t) & (1 << 64) - 1) - (1 << 63) for t in sets]
         return pa.RecordBatch.from_arrays(
             [chosen.column(0), pa.array(c, pa.int64()), pa.array(sets, pa.binary())],

@@ -316,3 +316,12 @@ def test_license_markup_errors():
     for bad in ("[[ open", "closed ]]", "{{3}} first"):
         with pytest.raises(ValueError):
             license_scan.Automaton([("x", bad)])
+
+
+def test_language_keys_stay_in_the_jvm(spark, capsys):
+    """Keys may be whole rows; only the text goes to Python."""
+    from claimgrain.llm import language_id
+    table = spark.createDataFrame([(1, "some words", "x" * 50)], "doc_id long, text string, wide string")
+    language_id.classify(table.selectExpr("struct(*) AS row", "text"), {"aa": b"some words"}, key="row").explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan

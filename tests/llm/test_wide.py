@@ -380,3 +380,15 @@ def test_mixing_stage_loses_no_row_of_a_shared_id(spark, docs):
         F.col("doc_id").cast("string"), F.lit("text " + hashlib.md5(b"no id here").hexdigest())))).collect()}
     assert taken["1"].taken > 0 and got[1, "one two three"] == got[1, "four five six seven"] >= 1
     assert (3, None) not in got and (4, " ") not in got
+
+
+def test_shingles_hold_a_part_of_the_strings(monkeypatch):
+    import pyarrow as pa
+    seen, whole = [], ngram_join.shingle_sets
+    monkeypatch.setattr(ngram_join, "PART", 2000)
+    monkeypatch.setattr(ngram_join, "shingle_sets", lambda texts, *rest: seen.append(len(texts)) or whole(texts, *rest))
+    texts = [None, "", *(f"row {i} has some words of its own {i * i}" for i in range(500))]
+    got = list(ngram_join._sets_of(pa.array(texts), 3))
+    want = whole(texts, ngram_join._Words(), 3)
+    assert max(seen) < 100 and len(got) == len(want)
+    assert all(a.tolist() == b.tolist() for a, b in zip(got, want))
