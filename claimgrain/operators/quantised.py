@@ -15,6 +15,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -25,8 +26,10 @@ from claimgrain.session import stored
 TRAINING_ROWS = 65_536    # sample that the quantiser is fitted on, at most
 ROWS_PER_CELL = 64        # of that sample, so that centres are means of something
 MAX_CELLS = 4096
-ROWS_PER_BLOCK = 50_000   # index rows that one task scores together
-QUERIES_PER_BLOCK = 5_000
+ROWS_PER_BLOCK = 250_000  # index rows that one task scores together (about 12 MB)
+QUERIES_PER_BLOCK = 1_000
+QUERIES_AT_ONCE = 32      # of a block, while it is scored
+SEGMENT = 16_384          # index rows whose scores are held at once
 FIT_ROWS = 8192           # sample rows whose distances to all centres are held at once
 CALIBRATION = 256         # sample rows that stand for queries when the probes are chosen
 
@@ -42,10 +45,14 @@ class Quantiser:
 
     def nearest(self, unit: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` cells whose centres are nearest to each row, nearest first."""
-        far = (self.centres ** 2).sum(axis=1) - 2 * unit @ self.centres.T
         n = min(n, len(self.centres))
-        top = np.argpartition(far, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(top, np.take_along_axis(far, top, 1).argsort(axis=1, kind="stable"), 1)
+        own, out = (self.centres ** 2).sum(axis=1), np.empty((len(unit), n), np.int64)
+        for at in range(0, len(unit), 1024):  # distances of some rows at a time
+            far = own - 2 * unit[at:at + 1024] @ self.centres.T
+            top = np.argpartition(far, n - 1, axis=1)[:, :n]
+            out[at:at + 1024] = np.take_along_axis(
+                top, np.take_along_axis(far, top, 1).argsort(axis=1, kind="stable"), 1)
+        return out
 
     def codes(self, unit: np.ndarray, cells: np.ndarray) -> np.ndarray:
         parts, _, width = self.books.shape
@@ -55,21 +62,32 @@ class Quantiser:
             out[:, p] = ((book ** 2).sum(axis=1) - 2 * rest[:, p] @ book.T).argmin(axis=1)
         return out
 
-    def scores(self, unit: np.ndarray, cell: int, codes: np.ndarray, along: np.ndarray) -> np.ndarray:
-        """Approximate inner products of queries with the coded rows of one cell.
+    def tables(self, unit: np.ndarray) -> np.ndarray:
+        """Products of queries with all entries of all books (queries x parts x codes)."""
+        parts, _, width = self.books.shape
+        return np.einsum("qpw,pcw->qpc", unit.reshape(len(unit), parts, width), self.books)
+
+    def fixed(self, cells: np.ndarray, codes: np.ndarray, along: np.ndarray) -> np.ndarray:
+        """The part of a coded row's score that no query changes.
 
         ``along`` has the exact products of the rows with their centre, so codes only stand for the
         product of what is left of row and query: their error shrinks as both near the centre.
         """
-        parts, _, width = self.books.shape
-        centre = self.centres[cell]
-        left = ((unit - centre) * self.spread[cell]).reshape(len(unit), parts, width)
-        tables = np.einsum("qpw,pcw->qpc", left, self.books)
-        out = (unit @ centre - centre @ centre)[:, None] + along[None, :]
-        for p in range(parts):
-            out += tables[:, p][:, codes[:, p]]
+        own = self.tables(self.centres)
+        out = along - (self.centres ** 2).sum(axis=1)[cells]
+        for p in range(codes.shape[1]):
+            out -= self.spread[cells] * own[cells, p, codes[:, p]]
         return out
 
+    def scores(self, unit: np.ndarray, tables: np.ndarray, cell: int, codes: np.ndarray,
+               fixed: np.ndarray) -> np.ndarray:
+        """Approximate inner products of queries, with their ``tables``, and coded rows of one cell."""
+        out = np.zeros((len(unit), len(codes)))
+        for p in range(codes.shape[1]):
+            out += tables[:, p].take(codes[:, p], axis=1)
+        out *= self.spread[cell]
+        return out + (unit @ self.centres[cell])[:, None] + fixed[None, :]
+
 
 def k_means(rows: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """Centres of at most ``k`` groups; a group that loses its rows restarts at a far row."""
@@ -171,21 +189,9 @@ def index(corpus: DataFrame, quantiser: Quantiser) -> DataFrame:
     return rows.mapInArrow(place, "id string, cell int, code binary, along double")
 
 
-def _probes(queries: DataFrame, shipped) -> DataFrame:
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cells = shipped.value.nearest(_unit(_matrix(batch.column(1))), shipped.value.probes)
-                each = np.repeat(np.arange(batch.num_rows), cells.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.take(pa.array(each)).columns, pa.array(cells.ravel(), pa.int32())],
-                    names=["query_id", "vector", "cell"])
-
-    return queries.mapInArrow(look, "query_id string, vector array<double>, cell int")
-
-
 def cut_cells(indexed: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """``cell, cuts``: into how many blocks each cell is cut, one row per cell."""
+    """``cell, cuts``: into how many blocks each cell is cut, one row per cell, for an index that is
+    stored by cell."""
     return indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("cuts"))
 
 
@@ -196,6 +202,61 @@ def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.round((_unit(_matrix(a)) * _unit(_matrix(b))).sum(axis=1), SCORE_PLACES))
 
 
+def _best(near: np.ndarray, at: np.ndarray, rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` highest scores of each query with their places, equal scores by rank of the id."""
+    if near.shape[1] <= n:
+        return near, at
+    top = np.argpartition(-near, n - 1, axis=1)[:, :n]
+    cut = np.take_along_axis(near, top, 1).min(axis=1)
+    crowded = ((near >= cut[:, None]).sum(axis=1) > n) & (cut > -np.inf)
+    for q in np.flatnonzero(crowded):
+        tied = np.flatnonzero(near[q] >= cut[q])
+        top[q] = tied[np.lexsort((rank[at[q, tied]], -near[q, tied]))[:n]]
+    return np.take_along_axis(near, top, 1), np.take_along_axis(at, top, 1)
+
+
+def _block_topk(rows: pa.Table, asks: pa.Table, quantiser: Quantiser, n: int) -> Iterator[tuple]:
+    """``(queries, rows, scores)`` of the ``n`` best rows of a block for some queries at a time, as
+    places in ``asks`` and ``rows``. Rows of cells that a query does not probe are not its own."""
+    ids = rows["id"].combine_chunks()
+    rank = np.empty(len(ids), np.int64)
+    rank[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    cells = rows["cell"].to_numpy()
+    place = np.argsort(cells, kind="stable")
+    bounds = np.searchsorted(cells[place], np.arange(len(quantiser.centres) + 1))
+    codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
+    fixed = quantiser.fixed(cells, codes, rows["along"].to_numpy())[place]
+    codes, rank = codes[place], rank[place]
+    vectors = _unit(_matrix(asks["vector"]))
+    for start in range(0, len(vectors), QUERIES_AT_ONCE):
+        unit = vectors[start:start + QUERIES_AT_ONCE]
+        tables, probed = quantiser.tables(unit), np.zeros((len(unit), len(quantiser.centres)), bool)
+        np.put_along_axis(probed, quantiser.nearest(unit, quantiser.probes), True, axis=1)
+        near, at = np.empty((len(unit), 0)), np.empty((len(unit), 0), np.int64)
+        held, held_at = [], []
+        for cell in np.flatnonzero(probed.any(axis=0) & (bounds[1:] > bounds[:-1])):
+            asking = np.flatnonzero(probed[:, cell])
+            for low in range(bounds[cell], bounds[cell + 1], SEGMENT):
+                some = slice(low, min(low + SEGMENT, bounds[cell + 1]))
+                own = np.full((len(unit), some.stop - low), -np.inf)
+                own[asking] = quantiser.scores(unit[asking], tables[asking], cell, codes[some], fixed[some])
+                held.append(np.where(np.isnan(own), np.inf, own))  # as Spark orders them
+                held_at.append(np.arange(low, some.stop))
+                if sum(map(len, held_at)) >= SEGMENT:
+                    near, at = _merged(near, at, held, held_at, rank, n)
+                    held, held_at = [], []
+        near, at = _merged(near, at, held, held_at, rank, n)
+        who, column = np.nonzero(near > -np.inf)
+        yield who + start, place[at[who, column]], near[who, column]
+
+
+def _merged(near, at, held: list, held_at: list, rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best of what was best so far and of further rows."""
+    new = np.concatenate([np.empty(0, np.int64), *held_at])
+    return _best(np.concatenate([near, *held], axis=1),
+                 np.concatenate([at, np.broadcast_to(new, (len(at), len(new)))], axis=1), rank, n)
+
+
 def search(queries: DataFrame, corpus: DataFrame, indexed: DataFrame, quantiser: Quantiser, k: int = 10, *,
            candidates: int | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Approximate cosine top-k: ``query_id, id, similarity, retrieval_rank``, similarities exact.
@@ -204,45 +265,36 @@ def search(queries: DataFrame, corpus: DataFrame, indexed: DataFrame, quantiser:
     table. A query meets the codes of its nearest cells, keeps ``candidates`` rows (32 k) by code
     and ranks those by their vectors; equal similarities rank by id. Null vectors take no part.
 
-    Only codes and candidates are shuffled. A cell that holds a third of the corpus is cut into
-    blocks by id hash, a cell that a third of the queries probe into blocks of queries, so no task
-    holds more than one block of either.
+    Only codes and candidates are shuffled. Index and queries are cut into blocks by id hash, and each
+    pair of blocks is one task, which keeps the best candidates of a query over all its cells: a query
+    hands on ``candidates`` rows per block of the index, not per cell. A cell that holds a third of the
+    corpus is spread over the blocks like any other.
     """
     candidates = 32 * k if candidates is None else candidates
-    shipped = corpus.sparkSession.sparkContext.broadcast(quantiser)
+    spark = corpus.sparkSession
+    shipped = spark.sparkContext.broadcast(quantiser)
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").filter("vector IS NOT NULL")
     corpus = corpus.select(F.col("id").cast("string").alias("id"), "vector")
-    probes = _probes(queries, shipped)
-    asked = probes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("int").alias("parts"))
-    # one row per cell, 4,096 at most
-    layout = cut_cells(indexed, rows_per_block).join(F.broadcast(asked), "cell")
-    pieces = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (indexed.join(F.broadcast(layout), "cell")
-            .withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
-            .withColumn("part", pieces("parts")).select("cell", "cut", "part", "id", "code", "along"))
-    right = (probes.join(F.broadcast(layout), "cell")
-             .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
-             .withColumn("cut", pieces("cuts")).select("cell", "cut", "part", "query_id", "vector"))
+    cuts, n_queries = max(1, ceil(indexed.count() / rows_per_block)), queries.count()
+    # few blocks of the index leave cores idle unless there are more of queries
+    wanted = min(ceil(n_queries / QUERIES_AT_ONCE), ceil(2 * spark.sparkContext.defaultParallelism / cuts))
+    parts = max(1, ceil(n_queries / QUERIES_PER_BLOCK), wanted)
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = indexed.withColumn("cut", block("id", cuts)).withColumn("part", every(parts))
+    right = queries.withColumn("part", block("query_id", parts)).withColumn("cut", every(cuts))
     schema = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("near", pa.float64())])
 
     def score(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        out = {"query_id": [], "id": [], "near": []}
+        found = []
         if rows.num_rows and asks.num_rows:
-            ids = np.array(rows["id"].to_pylist(), dtype=object)
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in rows["code"].to_pylist()])
-            along, names = rows["along"].to_numpy(), asks["query_id"].to_pylist()
-            unit, cell = _unit(_matrix(asks["vector"])), rows["cell"][0].as_py()
-            for start in range(0, len(names), 32):
-                near = shipped.value.scores(unit[start:start + 32], cell, codes, along)
-                n = min(candidates, len(ids))
-                for name, own in zip(names[start:start + 32], near):
-                    top = np.argpartition(-own, n - 1)[:n]
-                    out["query_id"] += [name] * n
-                    out["id"] += ids[top].tolist()
-                    out["near"] += own[top].tolist()
-        return pa.Table.from_pydict(out, schema=schema)
-
-    found = (left.groupBy("cell", "cut", "part").cogroup(right.groupBy("cell", "cut", "part"))
+            names, ids = (t[c].combine_chunks() for t, c in ((asks, "query_id"), (rows, "id")))
+            for who, at, near in _block_topk(rows, asks, shipped.value, candidates):
+                found.append(pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(who)), ids.take(pa.array(at)), pa.array(near)], schema=schema))
+        return pa.Table.from_batches(found, schema=schema)
+
+    found = (left.groupBy("cut", "part").cogroup(right.groupBy("cut", "part"))
              .applyInArrow(score, "query_id string, id string, near double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
     kept = (found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= candidates)

@@ -201,3 +201,31 @@ def test_recall_of_the_registered_queries(spark, name, k, column):
         asked = vectors.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
         want = {(r.query_id, r.id) for r in retrieval.vector_topk(asked, vectors, k).collect()}
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_a_query_hands_on_its_best_per_block_not_per_cell():
+    """Also with many copies: of equal scores the smaller ids stay."""
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    unit = retrieval._unit(rng.standard_normal((400, 8)))
+    unit[200:] = unit[:200]
+    quantiser = quantised.Quantiser(unit[:16], np.ones(16), rng.standard_normal((4, 32, 2)) * 0.3, 9)
+    cells = quantiser.nearest(unit, 1)[:, 0]
+    codes = quantiser.codes(unit, cells)
+    ids = rng.permutation([f"v{i:03}" for i in range(400)]).tolist()
+    rows = pa.table({"id": ids, "cell": pa.array(cells, pa.int32()), "code": [c.tobytes() for c in codes],
+                     "along": (unit * quantiser.centres[cells]).sum(axis=1)})
+    asks = pa.table({"query_id": [str(i) for i in range(40)], "vector": unit[:40].tolist()})
+    found = {}
+    for who, at, near in quantised._block_topk(rows, asks, quantiser, 7):
+        for q, r in zip(who, at):
+            found.setdefault(int(q), set()).add(ids[r])
+    probed = quantiser.nearest(unit[:40], 9)
+    for q in range(40):
+        score = {}
+        for r in np.flatnonzero(np.isin(cells, probed[q])):
+            rest = np.concatenate([quantiser.books[p, codes[r, p]] for p in range(4)])
+            centre = quantiser.centres[cells[r]]
+            score[ids[r]] = round(float((unit[q] - centre) @ rest + unit[q] @ centre - centre @ centre
+                                        + unit[r] @ centre), 9)
+        assert found[q] == set(sorted(score, key=lambda i: (-score[i], i))[:7])
