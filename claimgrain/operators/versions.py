@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgrain.operators.ingest import upsert
-from claimgrain.session import finished_folders, remove_folder
+from claimgrain.session import finished_folders, numbered_folders, remove_folder, stored_at
 
 BUCKETS = 256
 
@@ -51,8 +51,8 @@ def create(base: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> int:
         raise ValueError(f"{path} holds a table already")
     _write(base, path, 0, key, buckets)
     base.limit(0).write.mode("overwrite").parquet(f"{path}/schema")
-    present = base.select(_bucket(key, buckets).alias("b")).distinct().collect()
-    _commit(spark, path, 0, {r["b"]: 0 for r in present})
+    present = numbered_folders(spark, f"{path}/rows/made=0", "bucket")
+    _commit(spark, path, 0, dict.fromkeys(present, 0))
     return 0
 
 
@@ -75,14 +75,18 @@ def change(spark: SparkSession, path: str, changes: DataFrame, key: str, order:
     its key or is added. Returns its number.
 
     Only buckets that hold a changed key are read and written. At most ``buckets`` small numbers reach
-    the driver. Without changes the newest version stays. Writers that start from one version agree on
+    the driver. The changes are made once, into a table of the work folder that goes with the call. Without changes the newest version stays. Writers that start from one version agree on
     the number of the next; the slower one fails when it commits and changes nothing.
     """
     last = versions(spark, path)[-1]
-    touched = sorted(r["b"] for r in changes.select(_bucket(key, buckets).alias("b")).distinct().collect())
-    if not touched:
-        return last
-    _write(upsert(read(spark, path, last, touched), changes, key, order), path, last + 1, key, buckets)
+    changes, made_at = stored_at(changes, "changes")
+    try:
+        touched = sorted(r["b"] for r in changes.select(_bucket(key, buckets).alias("b")).distinct().collect())
+        if not touched:
+            return last
+        _write(upsert(read(spark, path, last, touched), changes, key, order), path, last + 1, key, buckets)
+    finally:
+        remove_folder(spark, made_at)
     _commit(spark, path, last + 1, _layout(spark, path, last) | {b: last + 1 for b in touched})
     return last + 1
 

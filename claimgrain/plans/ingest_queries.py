@@ -8,7 +8,7 @@ from claimgrain.functions import ids
 from claimgrain.operators import ingest, versions
 from claimgrain.plans import sqltext as q
 from claimgrain.plans.registry import register
-from claimgrain.session import work_folder
+from claimgrain.session import stored, work_folder
 from claimgrain.sources import adapters as ad
 
 
@@ -58,8 +58,9 @@ UNION ALL SELECT 'new-' || chunk_id, 1, content_hash || ':2' FROM chunks WHERE d
 
 
 def _changes(spark, sf):
-    """Every fourth document is changed twice, every fourth brings new chunks, in one batch."""
-    base = ad.chunks(spark, sf).select("doc_id", "chunk_id", "evidence_tier", "content_hash")
+    """Every fourth document is changed twice, every fourth brings new chunks, in one batch. Base and
+    changes read the chunks several times; they are cut and hashed once and stored without text."""
+    base = stored(ad.chunks(spark, sf).select("doc_id", "chunk_id", "evidence_tier", "content_hash"), "chunks")
     kind = F.col("doc_id") % 4
     versions = base.filter(kind <= 1).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
     changes = versions.select(

@@ -83,17 +83,20 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return system.exists(where) and system.getFileStatus(where).isDirectory()
 
 
-def finished_folders(spark: SparkSession, path: str, key: str) -> dict[int, str]:
-    """Number -> path of the folders ``key=number`` that a write has finished."""
+def numbered_folders(spark: SparkSession, path: str, key: str) -> dict[int, str]:
+    """Number -> path of the folders ``key=number``."""
     system, where = _place(spark, path)
     if not system.exists(where):
         return {}
-    found = {}
-    for entry in system.listStatus(where):
-        name = entry.getPath().getName()
-        if name.startswith(f"{key}=") and system.exists(_place(spark, f"{path}/{name}/_SUCCESS")[1]):
-            found[int(name.split("=")[1])] = f"{path}/{name}"
-    return found
+    names = [entry.getPath().getName() for entry in system.listStatus(where)]
+    return {int(name.split("=")[1]): f"{path}/{name}" for name in names if name.startswith(f"{key}=")}
+
+
+def finished_folders(spark: SparkSession, path: str, key: str) -> dict[int, str]:
+    """``numbered_folders`` that a write has finished."""
+    system, _ = _place(spark, path)
+    return {number: folder for number, folder in numbered_folders(spark, path, key).items()
+            if system.exists(_place(spark, f"{folder}/_SUCCESS")[1])}
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

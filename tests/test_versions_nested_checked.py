@@ -181,3 +181,20 @@ def test_checked_kinds_over_all_documents(spark):
     assert len(got) == len(texts)
     for r in got:
         assert (r.n_card, r.n_ipv4, r.n_account, r.masked) == plain_checked(texts[r.doc_id])
+
+
+def test_a_version_makes_its_rows_once(spark, tmp_path):
+    path, made = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        made.add(1)
+        return value
+
+    counted = counted.asNondeterministic()
+    versions.create(table(spark, 60).withColumn("v", counted("v")), path, "key", 4)
+    assert made.value == 60
+    versions.change(spark, path, changes(spark, *[(f"k{i}", "b", 1) for i in range(9)]).withColumn("v", counted("v")),
+                    "key", "n", 4)
+    assert made.value == 69
+    assert Counter(content(versions.read(spark, path)).values()) == {"old": 51, "b": 9}
